@@ -28,8 +28,19 @@ FROM t WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.language_id import LanguageId, held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = LanguageId.fit(docs.where(~held_out("doc_id")))
+    return model.predict(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {
+        "op3_exact_dedup": op3_exact_dedup,
+        "op4_language_id": op4_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
