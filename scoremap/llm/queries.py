@@ -36,10 +36,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"])
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.warc import archive_pages, read_archives
+
+    back = read_archives(archive_pages(table(spark, sf_dir, "pages")))
+    return back.select(
+        F.expr("try_cast(record_id as bigint)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
+        "op6_warc": op6_warc,
     }
 
 
