@@ -49,11 +49,27 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scoremap.llm.bpe import Tokenizer, ids_text
+
+    bpe = Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
         "op6_warc": op6_warc,
+        "op9_bpe": op9_bpe,
     }
 
 
