@@ -49,6 +49,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.common import materialize
+    from scoremap.llm.media_chunks import read_back, store
+
+    held = store(table(spark, sf_dir, "documents"), ["doc_id"])
+    payload = F.substring("media", 45, 2**31 - 1)
+    read = read_back(held).select(
+        "payload_id",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring("media", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+    return held.index.join(materialize(read, "read"), "payload_id").select("doc_id", "n_bytes", *read.columns[1:])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
         "op6_warc": op6_warc,
+        "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
     }
 
