@@ -82,6 +82,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("_rid").withColumn("weight", F.round("weight", 9))
+
+
+def _op10_sql() -> str:
+    from scoremap.llm.mixing import mix_sql
+
+    return mix_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
@@ -89,8 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": op6_warc,
         "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": _op10_sql()}
