@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from scoremap.llm.common import table
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.html_extract import extract
+
+    text = extract(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoremap.llm.exact_dedup import exact_dedup
 
@@ -96,6 +103,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_extract": op2_html_extract,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
         "op6_warc": op6_warc,
