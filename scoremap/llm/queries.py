@@ -43,6 +43,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"])
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.bagminhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents")).drop("_rid")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoremap.llm.warc import archive_pages, read_archives
 
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extract": op2_html_extract,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
+        "op5_bagminhash": op5_bagminhash,
         "op6_warc": op6_warc,
         "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
