@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from scoremap.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).drop("_rid")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoremap.llm.html_extract import extract
 
@@ -109,6 +115,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_html_extract": op2_html_extract,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_language_id": op4_language_id,
