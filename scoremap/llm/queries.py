@@ -68,6 +68,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.suffix_dedup import suffix_dedup
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoremap.llm.common import materialize
     from scoremap.llm.media_chunks import read_back, store
@@ -121,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_bagminhash": op5_bagminhash,
         "op6_warc": op6_warc,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
