@@ -122,6 +122,12 @@ def _op10_sql() -> str:
     return mix_sql()
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -134,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 
