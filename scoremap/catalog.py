@@ -1,15 +1,6 @@
 """The registered queries of the library and their SQL twins."""
 
-from __future__ import annotations
+from scoremap.plans.oracle import oracle_sql
+from scoremap.plans.queries import queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
