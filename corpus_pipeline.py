@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoremap.llm import bagminhash, exact_dedup, mixing
 from scoremap.llm.bpe import Tokenizer, ids_text
-from scoremap.llm.common import materialize, row_id, small_side, table
+from scoremap.llm.common import materialize, row_id, table, without_rows
 from scoremap.llm.language_id import LanguageId
 
 #: The pipeline mixes to the tokens that are left, so sources repeat at most so often.
@@ -24,10 +24,9 @@ MAX_REPEATS = 2.0
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no language model explains, go."""
-    numbered = row_id(docs)
     model = LanguageId.fit(docs)
-    rejected = model.predict(numbered, ["_rid"]).where("rejected").select("_rid")
-    return numbered.join(small_side(materialize(rejected, "rejected")), "_rid", "left_anti").select(*docs.columns)
+    rejected = model.predict(row_id(docs), ["_rid"]).where("rejected").select("_rid")
+    return without_rows(docs, materialize(rejected, "rejected"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

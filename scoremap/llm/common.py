@@ -60,5 +60,19 @@ def row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the frame does not have (names differ by case at least)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``row_id`` is in the materialised ``_rid``."""
+    name = free_name(df, "_rid")
+    return row_id(df, name).join(small_side(dropped).withColumnRenamed("_rid", name), name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

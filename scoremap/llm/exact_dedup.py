@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoremap.llm.common import materialize, row_id, small_side
+from scoremap.llm.common import materialize, row_id, small_side, without_rows
 
 #: A chunk ends behind vowel, consonant, space, a-m, n-z (about one place in two
 #: thousand of Latin text), at 64 code points at least and 4096 at most.
@@ -92,4 +92,4 @@ def _ranks(base: DataFrame, doubtful: DataFrame, bits: int) -> DataFrame:
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns."""
     dropped = materialize(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select("_rid"), "dropped")
-    return row_id(docs).join(small_side(dropped), "_rid", "left_anti").drop("_rid")
+    return without_rows(docs, dropped)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoremap.llm.common import materialize, row_id, small_side
+from scoremap.llm.common import free_name, materialize, row_id, small_side
 
 WAYS, ROUNDS = 64, 4
 #: Where the target entropy lies between the natural mixture's (0) and the uniform (1).
@@ -124,8 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The input rows, each as often as the mixture asks for."""
     copies = materialize(mix(docs, id_col, text_col, source_col, **options).where("n_copies <> 1").select("_rid", "n_copies"), "copies")
-    placed = row_id(docs).join(small_side(copies), "_rid", "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long"))).where("n_copies > 0")
-    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*docs.columns)
+    rid, n, each = (free_name(docs, c) for c in ("_rid", "_copies", "_copy"))
+    placed = row_id(docs, rid).join(small_side(copies).toDF(rid, n), rid, "left").withColumn(n, F.coalesce(n, F.lit(1).cast("long"))).where(F.col(n) > 0)
+    return placed.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sql(docs: str = "documents") -> str:
