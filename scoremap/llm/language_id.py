@@ -27,6 +27,9 @@ SAMPLE_ROWS = 1500
 CALIBRATION_ROWS = 500
 #: Bits per character above the 99.9th percentile of the calibration rows.
 REJECT_MARGIN = 0.75
+#: A text of n characters must lie above the level by so much over the root of n:
+#: three standard errors, as a character's surprise varies by about three bits.
+ERROR_BITS = 9.0
 #: Code points handled at once in a task.
 BLOCK = 1 << 20
 #: Characters after which the evidence for the score no longer grows.
@@ -226,7 +229,7 @@ def _predict(model_of):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = model_of.value
         for batch in batches:
-            lang, score, bits = [], [], []
+            lang, score, bits, least = [], [], [], []
             for block in _blocks(iter(batch.column(batch.num_columns - 1).to_pylist())):
                 ce, sizes = entropies(models, block)
                 best = ce.argmin(axis=1)
@@ -236,9 +239,10 @@ def _predict(model_of):
                 lang += [models.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)]
                 score += [float(s) if n else 0.0 for s, n in zip(share, sizes, strict=True)]
                 bits += [float(v) if n else None for v, n in zip(low, sizes, strict=True)]
+                least += [float(v) - ERROR_BITS / n**0.5 if n else None for v, n in zip(low, sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_char"],
+                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(least, pa.float64())],
+                names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_char", "bits_at_least"],
             )
 
     return predict
@@ -278,18 +282,19 @@ class LanguageId:
             return cls(None, {})
         out = cls(build(langs, grams4["lang"].map(number).to_numpy(np.int64), g, grams4["n"].to_numpy(), fold), {})
         rest = known.where((place >= share) & (place < share * more)).select("_lang", "_t")
-        seen = out._apply(rest).where("lang_pred = _lang").groupBy("_lang").agg(F.percentile_approx("bits_per_char", 0.999, 10000).alias("q"))
+        seen = out._apply(rest).where("lang_pred = _lang").groupBy("_lang").agg(F.percentile_approx("bits_at_least", 0.999, 10000).alias("q"))
         out.levels = {r["_lang"]: r["q"] + REJECT_MARGIN for r in seen.collect() if r["q"] is not None}
         return out
 
     def _apply(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with its last column, the text, replaced by the three results."""
+        """``rows`` with its last column, the text, replaced by the results."""
         shared = rows.sparkSession.sparkContext.broadcast(self.models)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        return rows.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double, bits_per_char double")
+        return rows.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double, bits_per_char double, bits_at_least double")
 
     def predict(self, rows: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
-        """Per row: the key columns, lang_pred, score (0 to 1), bits_per_char and rejected.
+        """Per row: the key columns, lang_pred, score (0 to 1), bits_per_char,
+        bits_at_least (the same less the error of a short text) and rejected.
 
         Null texts, empty texts and texts without a letter are ``und``, score 0 and
         rejected; so is everything if nothing could be learned. Equal texts get
@@ -297,6 +302,6 @@ class LanguageId:
         """
         slim = rows.select(*key_cols, F.col(text_col).alias("_text"))
         if self.models is None:
-            return slim.select(*key_cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_char"), F.lit(True).alias("rejected"))
+            return slim.select(*key_cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_char"), F.lit(None).cast("double").alias("bits_at_least"), F.lit(True).alias("rejected"))
         level = F.coalesce(*[F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in self.levels.items()], F.lit(float("inf")))
-        return self._apply(slim).withColumn("rejected", F.col("bits_per_char").isNull() | (F.col("bits_per_char") > level))
+        return self._apply(slim).withColumn("rejected", F.col("bits_per_char").isNull() | (F.col("bits_at_least") > level))
