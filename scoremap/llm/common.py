@@ -12,12 +12,25 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 16 << 20
 
 
+#: Rows of documents and pages are large, so that Spark's default of 10000 rows in an
+#: Arrow batch would make tens of MB at once in every Python worker.
+BATCH_ROWS = "1000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
     It lies under ``spark.checkpoint.dir``. Where that is unset, a local session
     gets a temporary folder of its own and a cluster gets one in the warehouse.
     """
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.startswith("local"):
