@@ -17,6 +17,7 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -71,30 +72,32 @@ def merged(word: Column, table: Column) -> Column:
     """The pieces of a word: the pair of lowest rank, leftmost first, is joined
     until no pair has a rank. ``r[i]`` is the rank of pieces i and i+1."""
     pair = lambda a, b: F.coalesce(rank_of(table, F.concat(a, b)), F.lit(NO_RANK))
-    chars = F.split(word, "(?!^)")
+    none = F.array().cast("array<int>")
     begin = _let(
-        chars,
+        F.split(word, ""),
         lambda p: F.struct(
             p.alias("p"),
-            F.when(F.size(p) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: pair(F.get(p, i), F.get(p, i + 1)))).alias("r"),
+            F.when(F.size(p) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: pair(F.get(p, i), F.get(p, i + 1)))).alias("r"),
         ),
     )
 
     def join(s: Column) -> Column:
         p, r = s["p"], s["r"]
 
-        def at(i: Column) -> Column:  # i: 1-based place of the pair
-            new = F.concat(F.get(p, i - 1), F.get(p, i))
-            left = F.when(i > 1, F.array(pair(F.get(p, i - 2), new))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < F.size(p), F.array(pair(new, F.get(p, i + 1)))).otherwise(F.array().cast("array<int>"))
+        def at(i: Column, new: Column) -> Column:  # the pieces i and i+1 become one
+            ranks = F.transform(
+                r,
+                lambda v, k: F.when(k == i, F.lit(None)).when(k == i - 1, pair(F.get(p, i - 1), new)).when(k == i + 1, pair(new, F.get(p, i + 2))).otherwise(v),
+            )
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r) + 1)).alias("r"),
+                F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))).alias("p"),
+                F.filter(ranks, lambda v: v.isNotNull()).alias("r"),
             )
 
-        return _let(F.array_min(r), lambda low: F.when(low < NO_RANK, _let(F.array_position(r, low).cast("int"), at)).otherwise(s))
+        found = lambda i: _let(F.concat(F.get(p, i), F.get(p, i + 1)), lambda new: at(i, new))
+        return _let(F.array_min(r), lambda low: F.when(low < NO_RANK, _let(F.array_position(r, low).cast("int") - 1, found)).otherwise(s))
 
-    steps = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(F.array().cast("array<int>"))
+    steps = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(none)
     return F.aggregate(steps, begin, lambda s, _: join(s))["p"]
 
 
@@ -127,6 +130,26 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i]] for i in range(n) if alive[i]]
 
 
+def spaced(text: str) -> tuple[str, list[str]]:
+    """``text`` cut before each single space that stands between two characters
+    which are no white space: the first part, and the others without that space.
+
+    Splitting patterns of this kind (an optional space before letters, digits or
+    other signs; runs of white space apart) always begin a word there, so parts can
+    be split into words one by one, and each distinct part only once.
+    """
+    first, *rest = text.split(" ")
+    if not any(not p or p[0].isspace() or p[-1].isspace() for p in rest) and first and not first[-1].isspace():
+        return first, rest
+    out = [first]
+    for p in rest:
+        if p and out[-1] and not p[0].isspace() and not out[-1][-1].isspace():
+            out.append(p)
+        else:
+            out[-1] += " " + p
+    return out[0], out[1:]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[int]]]:
     """Each batch, its texts (null is empty) and the block of each: blocks follow
     from the partition and the code points read before, so every pass agrees."""
@@ -149,89 +172,111 @@ class Tokenizer:
             raise ValueError(f"no rank for the bytes {missing}")
 
     def _words(self, rows: DataFrame) -> DataFrame:
-        """``block, word``: the distinct words of each block."""
+        """``block, word``: the distinct words of each block, but for long ones."""
         pattern = self.pattern
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = regex.compile(pattern).findall
-            give = lambda at, seen: pa.RecordBatch.from_arrays([pa.array([at] * len(seen), pa.int64()), pa.array([latin(w.encode("utf-8", "replace")) for w in seen], pa.string())], names=["block", "word"])
-            now, seen = None, set()
+
+            def give(at: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
+                some = [w for x in seen if len(w := latin(x.encode("utf-8", "replace"))) <= LONG_WORD]
+                for k in range(0, len(some), 1 << 16):
+                    part = some[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
+
+            def found(firsts: set[str], parts: set[str]) -> set[str]:
+                out: set[str] = set()
+                for x in firsts:
+                    out.update(find(x))
+                for x in parts:
+                    out.update(find(" " + x))
+                return out
+
+            now, firsts, parts = None, set(), set()
             for _, texts, blocks in _texts(batches):
                 for t, at in zip(texts, blocks, strict=True):
                     if at != now:
-                        if seen:
-                            yield give(now, sorted(seen))
-                        now, seen = at, set()
-                    seen.update(find(t))
-            if seen:
-                yield give(now, sorted(seen))
+                        yield from give(now, found(firsts, parts))
+                        now, firsts, parts = at, set(), set()
+                    first, rest = spaced(t)
+                    firsts.add(first)
+                    parts.update(rest)
+            yield from give(now, found(firsts, parts))
 
         return rows.mapInArrow(words, "block long, word string")
 
     def encode_words(self, words: DataFrame) -> DataFrame:
-        """``word string`` (Latin-1) with ``ids array<int>`` beside all else."""
-        table = rank_map(self.ranks)
-        ranks = self.ranks
+        """``word string`` (Latin-1, LONG_WORD bytes at most) with ``ids array<int>``."""
+        word = F.col("word")
 
-        def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = [merge_by_heap(w.encode("latin-1"), ranks) for w in batch.column("word").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        def ids(table: Column) -> Column:
+            pieces = F.transform(merged(word, table), lambda p: rank_of(table, p))
+            return _let(rank_of(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(pieces))
 
-        whole = rank_of(table, F.col("word"))
-        short = words.where(F.length("word") <= LONG_WORD).withColumn("ids", _let(whole, lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(F.transform(merged(F.col("word"), table), lambda p: rank_of(table, p)))))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields)
-        long = words.where(F.length("word") > LONG_WORD).mapInArrow(by_heap, f"{fields}, ids array<int>")
-        return short.unionByName(long)
+        # bound once, so that the plan holds and prints the literal a single time
+        return words.withColumn("ids", _let(rank_map(self.ranks), ids))
 
     def encode(self, rows: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
         """The key columns and ``ids array<int>`` of every row; null and empty texts
-        have no ids. Special tokens are ordinary text. ``rows`` must give the same
-        partitions each time it is read, as files do."""
+        have no ids. Special tokens are ordinary text. Words of more than LONG_WORD
+        bytes are merged where they occur. ``rows`` must give the same partitions
+        each time it is read, as files do."""
         slim = rows.select(*key_cols, F.col(text_col).alias("_text"))
         folder = f"{shared_dir(rows.sparkSession)}/words"
-        held = self._words(slim.select("_text")).groupBy("word").agg(F.collect_list("block").alias("blocks"))
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        coded = self.encode_words(held).select(F.explode("blocks").alias("block"), "word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+        held = self._words(slim.select("_text")).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+        coded = self.encode_words(held).select(F.explode("blocks").alias("block"), "word", "ids")
         coded.repartition(parts, "block").write.partitionBy("block").parquet(folder)
         pattern, ranks = self.pattern, self.ranks
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, now, ids = regex.compile(pattern).findall, None, {}
+            find, now, ids, seen = regex.compile(pattern).findall, None, {}, {}
             fs, base = pafs.FileSystem.from_uri(folder)
 
-            def known(block: int) -> dict[str, str]:
+            def known(block: int) -> dict[str, bytes]:
                 out = {}
                 for info in fs.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True)):
                     if info.path.endswith(".parquet"):
                         with fs.open_input_file(info.path) as f:
-                            got = pq.ParquetFile(f)
-                            for part in got.iter_batches(1 << 16, columns=["word", "ids"]):
-                                out.update((w.encode("latin-1").decode("utf-8"), i) for w, i in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                            for part in pq.ParquetFile(f).iter_batches(1 << 16, columns=["word", "ids"]):
+                                lists = part.column(1)
+                                flat = np.asarray(lists.flatten(), np.int32).tobytes()
+                                ends = (np.cumsum(lists.value_lengths()) * 4).tolist()
+                                out.update((w.encode("latin-1").decode(), flat[a:b]) for w, a, b in zip(part.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True))
                 return out
 
-            def one(word: str) -> str:
+            def one(word: str) -> bytes:
                 if (got := ids.get(word)) is None:
-                    got = ids[word] = " ".join(map(str, merge_by_heap(word.encode("utf-8", "replace"), ranks)))
+                    got = ids[word] = np.array(merge_by_heap(word.encode("utf-8", "replace"), ranks), np.int32).tobytes()
                 return got
 
+            def part(x: str) -> bytes:
+                if (got := seen.get(x)) is None:
+                    got = seen[x] = b"".join(map(one, find(" " + x)))
+                return got
+
+            def whole(text: str) -> bytes:
+                first, rest = spaced(text)
+                return b"".join(map(one, find(first))) + b"".join(map(part, rest))
+
             for batch, texts, blocks in _texts(batches):
                 at = 0
                 while at < len(texts):  # results of about a million code points at a time
                     out, size, first = [], 0, at
                     while at < len(texts) and size < 1 << 20:
                         if blocks[at] != now:
-                            now = blocks[at]
+                            now, ids, seen = blocks[at], {}, {}
                             ids = known(now)
-                        out.append(" ".join(map(one, find(texts[at]))))
+                        out.append(whole(texts[at]))
                         size += len(texts[at])
                         at += 1
-                    part = batch.slice(first, at - first)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.string())], names=[*part.schema.names[:-1], "_ids"])
+                    some = batch.slice(first, at - first)
+                    offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=[*some.schema.names[:-1], "ids"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-        done = slim.mapInArrow(rewrite, f"{fields}, _ids string")
-        return done.select(*key_cols, F.when(F.col("_ids") == "", F.array().cast("array<int>")).otherwise(F.split("_ids", " ").cast("array<int>")).alias("ids"))
+        return slim.mapInArrow(rewrite, f"{fields}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated."""
