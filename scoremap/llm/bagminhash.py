@@ -8,9 +8,13 @@ agree in a component with probability equal to their weighted Jaccard similarity
 shingle is given up as soon as its next point is later than all components.
 
 Bands of components make candidates, and every link is verified on the multisets. A
-bucket first compares all members with one of them; what that leaves in different
-components is then compared pair by pair, except where the distance to that one
-member already rules a link out (weighted Jaccard distance is a metric).
+bucket first compares all members with one of them, and then, in a few more rounds,
+those outside the component of another one with that. Rows that this leaves in different
+components, and that their distance to that member does not keep apart (weighted
+Jaccard distance is a metric), meet again by their rarest shingles: bags of similarity
+t share one of the first n - ceil(t n) + 1 shingles of the larger and of the first
+n - ceil(2 t n / (1 + t)) + 1 of the smaller, in any fixed order. So many short texts
+around one common passage do not all meet each other.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoremap.llm.common import materialize, row_id, small_side
+from scoremap.llm.common import materialize, row_id, small_side, without_rows
 from scoremap.llm.components import components
 from scoremap.llm.shingles import Hasher, bags, mix, overlap
 
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.8
 #: Code points that a task hashes at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Rounds of comparing buckets with another member before the exact rest.
+TURNS = 3
 #: Members of a star that one group compares with its centre.
 GROUP = 512
 
@@ -185,7 +191,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = materialize(verify(texts, materialize(star.where(F.col("bound") >= threshold).select("a", "b"), "star")), "checked")
     near = checked.where(F.col("j") >= threshold).select("a", "b")
     labels = components(near)
-    rest = _rest(buckets, checked, labels, threshold, ratio)
+    for turn in range(TURNS):
+        pairs = _outside(buckets, checked, labels, threshold, ratio, turn)
+        if pairs.isEmpty():
+            break
+        got = verify(texts, pairs)
+        checked = materialize(checked.unionByName(got), "checked")
+        near = checked.where(F.col("j") >= threshold).select("a", "b")
+        labels = components(near)
+    rest = _rest(texts, buckets, checked, labels, threshold, ratio)
     if not rest.isEmpty():
         more = materialize(verify(texts, rest), "more").where(F.col("j") >= threshold).select("a", "b")
         labels = components(near.unionByName(more))
@@ -197,35 +211,77 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return every.join(groups, "c").select("_rid", F.col("_id").alias(id_col), F.col("f.id").alias("class_id"), "class_size", (F.col("f.rid") == F.col("_rid")).alias("kept"))
 
 
-def _rest(buckets: DataFrame, checked: DataFrame, labels: DataFrame, threshold: float, ratio) -> DataFrame:
-    """The pairs of a bucket that lie in different components and may be linked."""
+def _outside(buckets: DataFrame, checked: DataFrame, labels: DataFrame, threshold: float, ratio, turn: int) -> DataFrame:
+    """The pairs of a bucket's pseudo-random member with those of other components."""
+    placed = buckets.select("key", "_rid", "n").join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))
+    centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("_rid", F.lit(turn)).alias("h"), "_rid", "n", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "m")
+    met = placed.join(centres, "key").where((F.col("c") != F.col("m.c")) & (ratio(F.col("n"), F.col("m.n")) >= threshold))
+    pairs = met.select(F.col("m._rid").alias("a"), F.col("_rid").alias("b")).distinct()
+    seen = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return materialize(pairs.join(seen, ["a", "b"], "left_anti"), "outside")
+
+
+def _rest(texts: DataFrame, buckets: DataFrame, checked: DataFrame, labels: DataFrame, threshold: float, ratio) -> DataFrame:
+    """The pairs in different components that may be linked."""
     far = 1 - threshold + 1e-9
     label = lambda name, out: labels.select(F.col("v").alias(name), F.col("c").alias(out))
-    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("_rid"), (1 - F.col("j")).alias("d"))
+    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("_rid"), (1 - F.col("j")).alias("d")).distinct()
+    centre = F.col("_rid") == F.col("centre")
     # lo and hi enclose the distance to the centre
     placed = (
         buckets.join(known, ["centre", "_rid"], "left")
         .join(label("_rid", "c"), "_rid", "left")
         .join(label("centre", "cc"), "centre", "left")
-        .select("key", "_rid", "n", "centre", F.coalesce("c", "_rid").alias("c"), F.coalesce("cc", "centre").alias("cc"), F.when(F.col("_rid") == F.col("centre"), F.lit(0.0)).otherwise(F.coalesce("d", 1 - ratio(F.col("cn"), F.col("n")))).alias("lo"), F.when(F.col("_rid") == F.col("centre"), F.lit(0.0)).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
-    )
+        .select(
+            "key", "_rid", "centre", F.coalesce("c", "_rid").alias("c"), F.coalesce("cc", "centre").alias("cc"),
+            F.when(centre, F.lit(0.0)).otherwise(F.coalesce("d", 1 - ratio(F.col("cn"), F.col("n")))).alias("lo"),
+            F.when(centre, F.lit(0.0)).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"),
+        )
+    )
     placed = materialize(placed, "placed")
-    strays = placed.where("c <> cc").groupBy("key").agg(F.min("lo").alias("least"))
-    # of the centre's own component, only rows near enough to the nearest stray
+    # strays near enough to another stray or to a row of the centre's own component
+    strays = placed.where("c <> cc").groupBy("key").agg(F.min("lo").alias("least"), F.count("*").alias("strays"))
     left = placed.join(strays, "key").where((F.col("_rid") != F.col("centre")) & ((F.col("c") != F.col("cc")) | (F.col("hi") >= F.col("least") - far)))
-    left = materialize(left.select("key", "_rid", "n", "c", "cc", "lo", "hi"), "left")
-    x, y = left.where("c <> cc").alias("x"), left.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where(
-        (F.col("x.c") != F.col("y.c"))
-        & (F.col("x.lo") - F.col("y.hi") <= far)
-        & (F.col("y.lo") - F.col("x.hi") <= far)
-        & (ratio(F.col("x.n"), F.col("y.n")) >= threshold)
-    )
-    pairs = pairs.select(F.least("x._rid", "y._rid").alias("a"), F.greatest("x._rid", "y._rid").alias("b")).distinct()
-    return materialize(pairs.join(checked, ["a", "b"], "left_anti"), "rest")
+    groups = left.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    alone = materialize(left.join(groups, "key", "left_semi").select("_rid", "c").distinct(), "left")
+    tokens = materialize(texts.join(small_side(alone), "_rid").select("_rid", "c", "_text").mapInArrow(_tokens, "_rid long, c long, n int, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rarest = tokens.join(often, "token").groupBy("_rid", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
+    n, slack = F.col("n"), 1e-9
+    probe = n - F.ceil(n * threshold - slack).cast("int") + 1
+    index = n - F.ceil(n * (2 * threshold / (1 + threshold)) - slack).cast("int") + 1
+    first = rarest.select("_rid", "c", "n", index.alias("index"), F.posexplode(F.slice("t", F.lit(1), probe)).alias("pos", "x")).select("_rid", "c", "n", "pos", (F.col("pos") < F.col("index")).alias("indexed"), F.col("x.token").alias("token"))
+    first = materialize(first, "rarest")
+    x, y = first.where("indexed").alias("x"), first.alias("y")
+    size = lambda side: F.struct(f"{side}.n", f"{side}._rid")
+    # the first shingle that two bags share leaves room for the overlap they need
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    enough = room >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - slack
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.c") != F.col("y.c")) & (size("x") < size("y")) & (F.col("x.n") >= F.col("y.n") * (threshold - slack)) & enough)
+    pairs = met.select(F.least("x._rid", "y._rid").alias("a"), F.greatest("x._rid", "y._rid").alias("b")).distinct()
+    seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of a text; repeats of a shingle are told apart by number."""
+    hasher = Hasher()
+    for batch in batches:
+        rid, c, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for a, b in _blocks(text):
+            found = bags(text[a:b], hasher)
+            size = np.array([int(w.sum()) for _, w in found], np.int64)
+            feature = np.repeat(np.concatenate([f for f, _ in found]), np.concatenate([w for _, w in found]))
+            weight = np.concatenate([w for _, w in found])
+            nth = np.arange(len(feature)) - np.repeat(np.cumsum(weight) - weight, weight)
+            with np.errstate(over="ignore"):
+                token = mix(feature + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(rid[a:b], size)), pa.array(np.repeat(c[a:b], size)), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(token)], names=["_rid", "c", "n", "token"]
+            )
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, one of each class, with all their columns."""
     dropped = materialize(near_dedup(docs, id_col, text_col).where(~F.col("kept")).select("_rid"), "dropped")
-    return row_id(docs).join(small_side(dropped), "_rid", "left_anti").drop("_rid")
+    return without_rows(docs, dropped)
