@@ -24,11 +24,14 @@ from scoremap.llm.shingles import Hasher, mix
 MATCH = 200
 K = 64
 #: Bytes that a task hashes, and that one index covers, at once.
-BLOCK = 2 << 20
-INDEX_BYTES = 2 << 20
-#: An anchor with more distinct contexts than this is dealt out window by window.
-MANY = 4096
+BLOCK = 1 << 20
+INDEX_BYTES = 1 << 20
+#: An anchor with more distinct contexts than this is dealt out by ranges of windows.
+MANY = 512
+RANGE = 8
 SEPARATOR = 0xFF  # no byte of UTF-8
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+SPAN_TYPE = "array<struct<a:int,b:int>>"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -70,26 +73,35 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hasher: Has
     return own, found - starts[own], h[found].view(np.int64), context.view(np.int64)
 
 
-def suffix_order(t: np.ndarray) -> np.ndarray:
-    """The suffix array, by doubling the sorted prefixes from seven bytes on."""
+def to_separator(t: np.ndarray) -> np.ndarray:
+    """Bytes from each place to the next separator; ``t`` ends with one."""
+    ends = np.flatnonzero(t == SEPARATOR)
+    return ends[np.searchsorted(ends, np.arange(len(t)))] - np.arange(len(t))
+
+
+def suffix_order(t: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The suffix array, by doubling the sorted prefixes from seven bytes on. Every
+    separator is a letter of its own, in order of place."""
     n = len(t)
     padded = np.concatenate([t.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for j in range(7):  # nine bits a byte: what is behind the end is smaller than any
-        key = (key << np.uint64(9)) | padded[j : j + n]
+    for j in range(7):  # nine bits a byte; nothing counts behind a separator
+        key = (key << np.uint64(9)) | np.where(room >= j, padded[j : j + n], np.uint64(0))
     order = np.argsort(key, kind="stable")
+    s = key[order]
+    new = np.concatenate([[False], (s[1:] != s[:-1]) | (room[order][1:] < 7)]).cumsum()
     have = 7
     while True:
-        s = key[order]
-        new = np.concatenate([[False], s[1:] != s[:-1]]).cumsum()
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if not n or new[-1] == n - 1 or have >= n:
+        if new[-1] == n - 1 or have >= n:
             return order
         after = np.zeros(n, np.int64)
         after[: n - have] = rank[have:] + 1
         key = rank * np.int64(n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        s = key[order]
+        new = np.concatenate([[False], s[1:] != s[:-1]]).cumsum()
         have *= 2
 
 
@@ -97,28 +109,27 @@ class RunIndex:
     """Runs of the transform of ``t`` and, per run, the suffixes at its two ends."""
 
     def __init__(self, t: np.ndarray):
-        self.t = t
-        order = suffix_order(t)
-        last = np.where(order > 0, t.astype(np.int16)[order - 1], np.int16(-1))  # the byte before each suffix
-        head = np.concatenate([[True], last[1:] != last[:-1]]) if len(t) else np.zeros(0, bool)
+        self.t, self.room = t, to_separator(t)
+        order = suffix_order(t, self.room)
+        last = np.where(order > 0, t[order - 1], np.uint8(SEPARATOR))  # the byte before each suffix
+        head = np.concatenate([[True], (last[1:] != last[:-1]) | (last[1:] == SEPARATOR)])
         first = np.flatnonzero(head)
-        end = np.append(first[1:], len(t)) - 1 if len(t) else first
+        end = np.append(first[1:], len(t)) - 1
         self.run_bytes, self.run_sizes = last[first], end - first + 1
         # (suffix at the run's end, its neighbour in the next run), both directions
         self.up = self._sample(order[first[1:]], order[first[1:] - 1])
         self.down = self._sample(order[end[:-1]], order[end[:-1] + 1])
         # the ends of the whole order have no neighbour on one side
-        self.top, self.bottom = (order[0], order[-1]) if len(t) else (0, 0)
+        self.top, self.bottom = order[0], order[-1]
 
     def _sample(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted suffixes and the bytes that each shares with its neighbour."""
-        n = len(self.t)
         padded = np.concatenate([self.t, np.zeros(8, np.uint8)])
         words = np.lib.stride_tricks.sliding_window_view(padded, 8)
         shared, live = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(live):
             p, q = a[live] + shared[live], b[live] + shared[live]
-            room = n - np.maximum(p, q)
+            room = np.minimum(self.room[p], self.room[q])
             live, p, q, room = live[room > 0], p[room > 0], q[room > 0], room[room > 0]
             differ = words[p] != words[q]
             same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
@@ -147,6 +158,8 @@ class RunIndex:
 def match_starts(pieces: list[bytes], match: int = MATCH) -> list[np.ndarray]:
     """Per piece, the starts of ``match`` bytes that also start elsewhere, in this or
     another piece. Matches do not run over the end of a piece."""
+    if not pieces:
+        return []
     t = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
     found = RunIndex(t).longest()
     out, at = [], 0
@@ -218,8 +231,8 @@ def _snippets(texts: DataFrame, asked: DataFrame, match: int, k: int) -> DataFra
 
 
 def _by_index(snippets: DataFrame, match: int) -> DataFrame:
-    """``h, c, starts``: which match starts each context has, from the place of its
-    anchor. Anchors of a partition are indexed INDEX_BYTES at a time."""
+    """``h, c, some``: the repeated runs of each context, from the place of its anchor.
+    Anchors of a partition are indexed INDEX_BYTES at a time."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
@@ -242,8 +255,8 @@ def _by_index(snippets: DataFrame, match: int) -> DataFrame:
                 if len(s):
                     h.append(r[0])
                     c.append(r[1])
-                    out.append((s - r[3]).tolist())
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["h", "c", "starts"])
+                    out.append(_spans(s - r[3], match))
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(out, SPANS)], names=["h", "c", "some"])
 
         rows, size, group, held = [], 0, None, []
         for batch in batches:
@@ -261,29 +274,63 @@ def _by_index(snippets: DataFrame, match: int) -> DataFrame:
             yield solve(rows)
 
     parts = int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return snippets.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(look_up, "h long, c long, starts array<int>")
+    return snippets.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(look_up, f"h long, c long, some {SPAN_TYPE}")
 
 
-def _by_window(snippets: DataFrame, match: int) -> DataFrame:
-    """The same for anchors with very many contexts: each window by itself, counted
-    by Spark under the place of the anchor in it and a 128-bit digest."""
+def _spans(starts: np.ndarray, match: int) -> list[dict[str, int]]:
+    """Sorted starts as runs: those at most ``match`` apart overlap or touch."""
+    cut = np.flatnonzero(np.diff(starts) > match)
+    first, last = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + match
+    return [{"a": int(a), "b": int(b)} for a, b in zip(first, last, strict=True)]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
 
+def _window_keys(snippets: DataFrame, match: int, width: int) -> DataFrame:
+    """``h, c, off, w``: a key of the bytes that the windows which begin ``off`` to
+    ``off + width - 1`` bytes before the anchor have in common. With an array column
+    ``offs``, only windows within RANGE of one of these."""
+    near = "offs" in snippets.columns
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            h, c, pos, start = (batch.column(n).to_numpy().astype(np.int64) for n in ("h", "c", "pos", "start"))
+            pieces = batch.column("piece").to_pylist()
+            size = np.array([len(p) for p in pieces], np.int64)
+            base = np.cumsum(size) - size
+            prefix = hasher.prefix(np.frombuffer(b"".join(pieces), np.uint8))
+            low, high = np.maximum(0, pos + match - start - size), pos - start
+            wanted = [set(x) for x in batch.column("offs").to_pylist()] if near else None
+            for off in range(0, int(high.max(initial=-1)) + 1, width):
+                ok = (off <= high) & (off + width - 1 >= low)
+                if near:
+                    ok &= np.array([off - off % RANGE in x for x in wanted])
+                i = np.flatnonzero(ok)
+                a = base[i] + high[i] - off
+                w = hasher.between(prefix, a, a + match - width + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(c[i]), pa.array(np.full(len(i), off, np.int32)), pa.array(w)], names=["h", "c", "off", "w"])
+
+    cols = ["h", "c", "pos", "start", "piece"] + ["offs"] * near
+    return snippets.select(cols).mapInArrow(keys, "h long, c long, off int, w long")
+
+
+def _twice(keys: DataFrame) -> DataFrame:
+    """The rows whose key occurs at least twice, with all offsets of a context."""
+    again = materialize(keys.groupBy("h", "off", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "off", "w"), "twice")
+    return keys.join(small_side(again), ["h", "off", "w"], "left_semi").groupBy("h", "c").agg(F.collect_list("off").alias("offs"))
+
+
+def _by_window(snippets: DataFrame, match: int) -> DataFrame:
+    """The same for anchors with very many contexts, counted by Spark: first by what
+    RANGE windows in a row have in common, then each window of the ranges that repeat."""
+    some = materialize(_twice(_window_keys(snippets, match, RANGE)), "ranges")
+    fine = _twice(_window_keys(snippets.join(some, ["h", "c"]), match, 1))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, off, digest = [], [], [], []
-            for gram, context, _, pos, start, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for s in range(len(piece) - match + 1):
-                    h.append(gram)
-                    c.append(context)
-                    off.append(start + s - pos)
-                    digest.append(hashlib.blake2b(piece[s : s + match], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(digest, pa.binary())], names=["h", "c", "off", "digest"])
+            out = [_spans(np.sort(-np.array(x, np.int64)), match) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, SPANS)], names=["h", "c", "some"])
 
-    each = materialize(snippets.mapInArrow(windows, "h long, c long, off int, digest binary"), "windows")
-    twice = each.groupBy("h", "off", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    return each.join(twice, ["h", "off", "digest"]).groupBy("h", "c").agg(F.collect_list("off").alias("starts"))
+    return fine.mapInArrow(spans, f"h long, c long, some {SPAN_TYPE}")
 
 
 def repeated_runs(texts: DataFrame, match: int = MATCH, k: int = K, many: int = MANY) -> DataFrame:
@@ -303,15 +350,15 @@ def repeated_runs(texts: DataFrame, match: int = MATCH, k: int = K, many: int =
     whole = contexts.where("n > 1").select("h", "c")
     back = match - k
     full = again.join(whole, ["h", "c"]).select("_rid", F.array(F.struct(F.greatest(F.col("pos") - back, F.lit(0)).alias("a"), (F.col("pos") + match).alias("b"))).alias("some"))
-    lone = contexts.where("n = 1").join(marks, ["h", "c"]).select("_rid", F.transform("starts", lambda s: F.struct((F.col("pos") + s).alias("a"), (F.col("pos") + s + match).alias("b"))).alias("some"))
+    lone = contexts.where("n = 1").join(marks, ["h", "c"]).select("_rid", F.transform("some", lambda s: F.struct((F.col("pos") + s["a"]).alias("a"), (F.col("pos") + s["b"]).alias("b"))).alias("some"))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [joined([(x["a"], x["b"]) for part in row for x in part]) for row in batch.column(1).to_pylist()]
-            runs = pa.array([[{"a": a, "b": b} for a, b in x] for x in lists], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            runs = pa.array([[{"a": a, "b": b} for a, b in x] for x in lists], SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), runs], names=["_rid", "runs"])
 
-    return full.unionByName(lone).groupBy("_rid").agg(F.collect_list("some").alias("some")).mapInArrow(tidy, "_rid long, runs array<struct<a:int,b:int>>")
+    return full.unionByName(lone).groupBy("_rid").agg(F.collect_list("some").alias("some")).mapInArrow(tidy, f"_rid long, runs {SPAN_TYPE}")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, k: int = K, many: int = MANY) -> DataFrame:
@@ -327,7 +374,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = materialize(repeated_runs(base.select("_rid", "_text"), match, k, many), "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
             ids, rids, texts, lists = batch.columns
             raw, out, kept = [_raw(t) for t in texts.to_pylist()], [], []
@@ -336,8 +382,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 edges = [0, *(e for s in mine for e in s), len(r)]
                 out.append([{"a": a, "b": b} for a, b in mine])
                 kept.append(b"".join(r[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([rids, ids, pa.array([len(r) for r in raw], pa.int64()), pa.array(out, span), pa.array(kept, pa.binary())], names=["_rid", "_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([rids, ids, pa.array([len(r) for r in raw], pa.int64()), pa.array(out, SPANS), pa.array(kept, pa.binary())], names=["_rid", "_id", "n_bytes", "spans", "kept"])
 
     kind = base.schema["_id"].dataType.simpleString()
     ready = base.join(small_side(runs), "_rid", "left").select("_id", "_rid", "_text", "runs")
-    return ready.mapInArrow(cut, f"_rid long, _id {kind}, n_bytes long, spans array<struct<a:int,b:int>>, kept binary").withColumnRenamed("_id", id_col)
+    return ready.mapInArrow(cut, f"_rid long, _id {kind}, n_bytes long, spans {SPAN_TYPE}, kept binary").withColumnRenamed("_id", id_col)
