@@ -5,7 +5,8 @@ the character 4-grams of a bounded sample of labelled rows; from the counts come
 for every order, a sorted array of n-gram hashes with one log-probability per
 language and a sorted array of context hashes with one back-off weight per
 language. A text gets the language of lowest cross-entropy per character, and is
-rejected when even that is above what labelled rows outside the sample show.
+rejected when even that is above what labelled rows outside the sample show. These
+rows are set apart before the sample is drawn, at every size of the table.
 """
 
 from __future__ import annotations
@@ -19,12 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoremap.llm.common import materialize
+
 ORDER = 4
 #: Labelled rows per language that the models are fitted on, in expectation: the
 #: documented bound of the sample. Drawn by a hash of the id.
 SAMPLE_ROWS = 1500
-#: Labelled rows per language, outside the sample, that set the rejection level.
-CALIBRATION_ROWS = 500
+#: Labelled rows per language, outside the sample, that set the rejection level; of a
+#: small language this share of its rows is held out for that.
+CALIBRATION_ROWS, CALIBRATION_SHARE = 500, 0.2
+#: A language with fewer calibration rows than this takes the level of all languages
+#: together, or its own if that is higher; below FIT_ALL rows none are held out.
+MIN_CALIBRATION, FIT_ALL = 50, 8
 #: Bits per character above the 99.9th percentile of the calibration rows.
 REJECT_MARGIN = 0.75
 #: A text of n characters must lie above the level by so much over the root of n:
@@ -268,12 +275,13 @@ class LanguageId:
         langs = sorted(counts)
         if not langs:
             return cls(None, {})
-        share = F.create_map(*[F.lit(v) for k in langs for v in (k, sample_rows / counts[k])])[F.col("_lang")]
-        more = 1 + calibration_rows / sample_rows
+        apart = {k: min(calibration_rows / n, CALIBRATION_SHARE) if n >= FIT_ALL else 0.0 for k, n in counts.items()}
+        by_lang = lambda of: F.create_map(*[F.lit(v) for k in langs for v in (k, of(k))])[F.col("_lang")]
+        held, upto = by_lang(lambda k: apart[k]), by_lang(lambda k: apart[k] + sample_rows / counts[k])
         place = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / float(1 << 20)
         known = known.where(F.col("_t").isNotNull())
         fold = fold_table()
-        sample = known.where(place < share).select("_lang", "_t")
+        sample = known.where((place >= held) & (place < upto)).select("_lang", "_t")
         grams4 = sample.mapInArrow(_count(spark.sparkContext.broadcast(fold)), "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toPandas()
         number = {k: i for i, k in enumerate(langs)}
         a, b = grams4["a"].to_numpy(np.int64), grams4["b"].to_numpy(np.int64)
@@ -281,9 +289,16 @@ class LanguageId:
         if not len(g):
             return cls(None, {})
         out = cls(build(langs, grams4["lang"].map(number).to_numpy(np.int64), g, grams4["n"].to_numpy(), fold), {})
-        rest = known.where((place >= share) & (place < share * more)).select("_lang", "_t")
-        seen = out._apply(rest).where("lang_pred = _lang").groupBy("_lang").agg(F.percentile_approx("bits_at_least", 0.999, 10000).alias("q"))
-        out.levels = {r["_lang"]: r["q"] + REJECT_MARGIN for r in seen.collect() if r["q"] is not None}
+        right = materialize(out._apply(known.where(place < held).select("_lang", "_t")).where("lang_pred = _lang").select("_lang", "bits_at_least"), "calibration")
+        q = F.percentile_approx("bits_at_least", 0.999, 10000).alias("q")
+        own = {r["_lang"]: (r["n"], r["q"]) for r in right.groupBy("_lang").agg(F.count("*").alias("n"), q).collect()}
+        # without any calibration row: the bits of a character that nothing is known of
+        pooled = right.agg(q).first()["q"]
+        for k in langs:
+            n, level = own.get(k, (0, None))
+            if n < MIN_CALIBRATION:
+                level = max((v for v in (level, pooled) if v is not None), default=None)
+            out.levels[k] = -out.models.floor if level is None else level + REJECT_MARGIN
         return out
 
     def _apply(self, rows: DataFrame) -> DataFrame:
@@ -303,5 +318,5 @@ class LanguageId:
         slim = rows.select(*key_cols, F.col(text_col).alias("_text"))
         if self.models is None:
             return slim.select(*key_cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_char"), F.lit(None).cast("double").alias("bits_at_least"), F.lit(True).alias("rejected"))
-        level = F.coalesce(*[F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in self.levels.items()], F.lit(float("inf")))
+        level = F.coalesce(*[F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in self.levels.items()])
         return self._apply(slim).withColumn("rejected", F.col("bits_per_char").isNull() | (F.col("bits_at_least") > level))

@@ -78,6 +78,21 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in empty.predict(frame, ["doc_id"]).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("sizes", [{"aa": 400, "bb": 60, "cc": 12}, {"aa": 3, "bb": 3}])
+def test_unknown_language_is_rejected_on_small_tables(spark, sizes):
+    rng = random.Random(9)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    rows = [(1000 * k + i, make(alphabets[lang]), lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    # unknown letters, and known ones of all languages mixed
+    planted = [(10000 + i, make("αβγδεζηθ"), None) for i in range(20)] + [(20000 + i, make("".join(alphabets.values()) + "pqrstuvw"), None) for i in range(20)]
+    model = language_id.LanguageId.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.levels) == set(sizes) and all(math.isfinite(v) for v in model.levels.values())
+    got = {r["doc_id"]: r["rejected"] for r in model.predict(spark.createDataFrame(rows + planted, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert all(got[i] for i, _, _ in planted)
+    assert sum(got[i] for i, _, _ in rows) <= 0.01 * len(rows)
+
+
 def test_mixing_budget_and_repeats(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaaab")) for i in range(900)] + [(2000, None, None), (2001, "", "c"), (2002, "x y", None), (2002, "x y", None)]
