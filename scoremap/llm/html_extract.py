@@ -4,8 +4,9 @@ One page per host lends its block structure as the seed. Every page of the host
 aligned to the seed by simple tree matching (runs of like siblings count as one
 repeating node), and Spark counts over all pages how often each text stands in each
 seed node. Texts that most pages share are template; the varying slots are content,
-unless markup or the host-wide share of link text says that a slot is a menu,
-notice, advert, form or comment thread.
+inside and outside <article> and <main>, unless markup or the host-wide share of link
+text says that a slot is a menu, notice, advert, form or comment thread. Where these
+two elements hold most of a host's text, less link text makes a menu outside them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from scoremap.llm.common import materialize, row_id, small_side
 MIN_PAGES, MIN_SHARE = 5, 0.6
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINK_SHARE = 0.6
+#: The same for slots that lie outside <article> and <main> on a host that has over
+#: half of its text in them.
+OUTSIDE_LINK_SHARE = 0.3
 #: Beyond this many pairs of children, siblings align in order without weighing.
 DP_CELLS = 250_000
 
@@ -48,13 +52,15 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0
 
 
 class Node:
-    """A block element; a leaf holds the text of one block and is labelled '#'."""
+    """A block element; a leaf holds the text of one block and is labelled '#', and
+    is ``marked`` if it is in an <article> or <main> outside boilerplate."""
 
-    __slots__ = ("bad", "children", "label", "links", "seed", "tag", "text")
+    __slots__ = ("bad", "children", "label", "links", "marked", "seed", "tag", "text")
 
     def __init__(self, tag: str, label: str, bad: bool = False, text: str = "", links: int = 0):
         self.tag, self.label, self.bad, self.text, self.links = tag, label, bad, text, links
         self.children: list[Node] = []
+        self.marked = False
         self.seed: int | None = None
 
 
@@ -86,7 +92,9 @@ def parse(html: str | None) -> Node:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                stack[-1].children.append(Node("#", "#", text=words, links=min(links, len(words))))
+                leaf = Node("#", "#", text=words, links=min(links, len(words)))
+                leaf.marked = any(x.tag in ("article", "main") for x in stack) and not any(x.bad for x in stack)
+                stack[-1].children.append(leaf)
             text.clear()
         links = 0
 
@@ -274,43 +282,21 @@ def leaves(node: Node, slot: int | None = None) -> Iterator[tuple[Node, int | No
         stack += [(c, s) for c in reversed(n.children)]
 
 
-def _inside(node: Node, tag: str) -> list[Node]:
-    """Outermost elements of a tag outside boilerplate."""
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if n.bad:
-            continue
-        if n.tag == tag:
-            out.append(n)
-        else:
-            stack += reversed(n.children)
-    return out
-
-
 def kept_blocks(root: Node, wrapper: dict) -> list[str]:
     """The texts of the content blocks. ``wrapper``: const (seed number -> keys of
     template texts) and menus (seed numbers of link slots)."""
     const, menus = wrapper.get("const", {}), set(wrapper.get("menus", ()))
 
-    def content(top: Node) -> list[str]:
-        out, stack = [], [(top, None)]
-        while stack:
-            n, s = stack.pop()
-            s = n.seed if n.seed is not None else s
-            if n.bad or n.seed in menus:
-                continue
-            if n.tag == "#" and text_key(n.text) not in const.get(str(s), ()):
-                out.append(n.text)
-            stack += [(c, s) for c in reversed(n.children)]
-        return out
-
-    for tag in ("article", "main"):
-        found = [b for b in map(content, _inside(root, tag)) if b]
-        if found:
-            most = max(sum(map(len, b)) for b in found)
-            return [t for b in found if 4 * sum(map(len, b)) >= most for t in b]
-    return content(root)
+    out, stack = [], [(root, None)]
+    while stack:
+        n, s = stack.pop()
+        s = n.seed if n.seed is not None else s
+        if n.bad or n.seed in menus:
+            continue
+        if n.tag == "#" and text_key(n.text) not in const.get(str(s), ()):
+            out.append(n.text)
+        stack += [(c, s) for c in reversed(n.children)]
+    return out
 
 
 def _host(url: Column) -> Column:
@@ -349,20 +335,25 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
                 seen: dict[tuple[int, int], list[int]] = {}
                 for n, s in leaves(_with_seed(parse(html), seed)):
                     if s is not None:
-                        x = seen.setdefault((s, text_key(n.text)), [0, 0])
+                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0])
                         x[0] += len(n.text)
                         x[1] += n.links
-                rows += [(host, s, k, 1, c, l) for (s, k), (c, l) in seen.items()]
-                rows.append((host, -1, 0, 1, 0, 0))  # the page itself
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "key", "n", "chars", "links"])
-
-    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, node int, key long, n long, chars long, links long")
-    texts = materialize(seen.groupBy("host", "node", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")), "texts")
+                        x[2] += len(n.text) * n.marked
+                rows += [(host, s, k, 1, *x) for (s, k), x in seen.items()]
+                rows.append((host, -1, 0, 1, 0, 0, 0))  # the page itself
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "key", "n", "chars", "links", "marked"])
+
+    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, node int, key long, n long, chars long, links long, marked long")
+    sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked")]
+    texts = materialize(seen.groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums), "texts")
     total = texts.where("node = -1").select("host", F.col("n").alias("pages"))
-    slots = texts.where("node >= 0").groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    menus = slots.where(F.col("links") > LINK_SHARE * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("menus"))
+    slots = texts.where("node >= 0").groupBy("host", "node").agg(*sums)
+    marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"))
+    outside = F.col("marks") & (2 * F.col("marked") < F.col("chars"))
+    limit = F.when(outside, OUTSIDE_LINK_SHARE).otherwise(LINK_SHARE)
+    menus = slots.join(marking, "host").where(F.col("links") > limit * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("menus"))
     often = texts.where(f"node >= 0 and n >= {MIN_PAGES}").join(total, "host").where(F.col("n") > MIN_SHARE * F.col("pages"))
     const = often.groupBy("host", "node").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "keys"))).alias("const"))
     both = found.join(menus, "host", "left").join(const, "host", "left")

@@ -189,6 +189,23 @@ def test_html_main_text(spark, tag):
     assert got[50] == "" and got[51] == "" and got[52] == "only text <b> 1 < 2" and got[53] == "whole\ncut &am" and got[None] == "x"
 
 
+def extracted(spark, pages, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", p) for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+
+
+def test_text_outside_article_stays(spark):
+    menu = "<nav><a href=/>Home</a></nav>"
+    links = "<div class=more>See <a href=/{i}>what we wrote {i}</a> before</div>"
+    posts = [f"{menu}<div class=post-body><h1>Title {i}</h1><p>Body of page {i} in a div</div><article><p>Reader {i} likes it</article>" for i in range(8)]
+    assert extracted(spark, posts) == {i: f"Title {i}\nBody of page {i} in a div\nReader {i} likes it" for i in range(8)}
+    behind = [f"{menu}<article><h1>Title {i}</h1><p>A long first part of page {i} that is in the article</article><p>It runs on behind {i}{links.format(i=i)}" for i in range(8)]
+    assert extracted(spark, behind) == {i: f"Title {i}\nA long first part of page {i} that is in the article\nIt runs on behind {i}" for i in range(8)}
+    short = [f"{menu}<main><article><p>Short {i}</article><article><p>{f'a much longer article {i} ' * 9}</article><article><p>Brief {i}</article></main>" for i in range(3)]
+    assert extracted(spark, short) == {i: f"Short {i}\n{f'a much longer article {i} ' * 9}".rstrip() + f"\nBrief {i}" for i in range(3)}
+
+
 def test_tree_matching_pairs_like_nodes():
     tree = html_extract.parse("<body><div class=a><p>x</div><div class=b><p>y</div></body>")
     seed, _ = html_extract.numbered(html_extract.skeleton([tree]))
