@@ -2,8 +2,8 @@
 
 One page per host lends its block structure as the seed. Every page of the host is
 aligned to the seed by simple tree matching (runs of like siblings count as one
-repeating node), and Spark counts over all pages how often each text stands in each
-seed node. Texts that most pages share are template; the varying slots are content,
+repeating node), and Spark counts over all distinct pages how often each text stands
+in each seed node. Texts that most pages share are template; the varying slots are content,
 inside and outside <article> and <main>, unless markup or the host-wide share of link
 text says that a slot is a menu, notice, advert, form or comment thread. Where these
 two elements hold most of a host's text, less link text makes a menu outside them.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from scoremap.llm.common import materialize, row_id, small_side
 
-#: A text is template when so many pages of the host have it in the same node.
+#: A text is template when so many pages of the host have it in the same node; pages
+#: of equal html count as one.
 MIN_PAGES, MIN_SHARE = 5, 0.6
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINK_SHARE = 0.6
@@ -320,7 +321,7 @@ def seeds(pages: DataFrame) -> DataFrame:
             trees = [json.dumps(numbered(skeleton([parse(h)]))[0], separators=(",", ":")) for h in htmls]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.string())], names=["host", "seed"])
 
-    chosen = pages.where("html <> ''").groupBy("host").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "_rid")).alias("f")).select(F.col("f._rid").alias("_rid"))
+    chosen = pages.where("html <> '' and host <> ''").groupBy("host").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "_rid")).alias("f")).select(F.col("f._rid").alias("_rid"))
     chosen = materialize(chosen, "chosen")
     return materialize(pages.join(small_side(chosen), "_rid", "left_semi").select("host", "html").mapInArrow(outline, "host string, seed string"), "seeds")
 
@@ -329,9 +330,16 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
     """``host, seed, wrapper``: what all pages of the host show about its seed."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
             for host, html, seed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = text_key(html or "")
+                if (host, page) in done:
+                    continue
+                if len(done) > 1 << 20:
+                    done.clear()
+                done.add((host, page))
                 seen: dict[tuple[int, int], list[int]] = {}
                 for n, s in leaves(_with_seed(parse(html), seed)):
                     if s is not None:
@@ -339,15 +347,16 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
                         x[0] += len(n.text)
                         x[1] += n.links
                         x[2] += len(n.text) * n.marked
-                rows += [(host, s, k, 1, *x) for (s, k), x in seen.items()]
-                rows.append((host, -1, 0, 1, 0, 0, 0))  # the page itself
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "key", "n", "chars", "links", "marked"])
+                rows += [(host, page, s, k, 1, *x) for (s, k), x in seen.items()]
+                rows.append((host, page, -1, 0, 1, 0, 0, 0))  # the page itself
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked"])
 
-    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, node int, key long, n long, chars long, links long, marked long")
+    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long")
     sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked")]
-    texts = materialize(seen.groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums), "texts")
+    # copies of a page in other tasks show the same rows
+    texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums), "texts")
     total = texts.where("node = -1").select("host", F.col("n").alias("pages"))
     slots = texts.where("node >= 0").groupBy("host", "node").agg(*sums)
     marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"))
@@ -363,9 +372,9 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, text``, one row per page.
 
-    Null and empty html give an empty text; a null or odd url is a host of its own
-    kind (''). Hosts with few pages have no template texts, so markup alone decides
-    there. Cut-off pages keep the text that they have. Pages must come from files.
+    Null and empty html give an empty text; pages of a null or odd url share
+    nothing, so they have no wrapper. Hosts with few pages have no template texts, and
+    there, as without a wrapper, markup alone decides. Cut-off pages keep the text that they have. Pages must come from files.
     """
     base = row_id(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", _host(F.col("url")))
     wrappers = induce(base.select("host", "html"), seeds(base.select("_rid", "host", "id", "html")))

@@ -206,6 +206,15 @@ def test_text_outside_article_stays(spark):
     assert extracted(spark, short) == {i: f"Short {i}\n{f'a much longer article {i} ' * 9}".rstrip() + f"\nBrief {i}" for i in range(3)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda i: f"<nav>n</nav><h1>Title {i}</h1><p>First of {i}</p><p>Second of {i}</p>"
+    text = lambda i: f"Title {i}\nFirst of {i}\nSecond of {i}"
+    assert extracted(spark, [page(0)] * 9 + [page(1)]) == {**{i: text(0) for i in range(9)}, 9: text(1)}
+    rows = [(i, None, f"<h1>Introduction</h1><p>Page {i} of some site</p>") for i in range(8)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Introduction\nPage {i} of some site" for i in range(8)}
+
+
 def test_tree_matching_pairs_like_nodes():
     tree = html_extract.parse("<body><div class=a><p>x</div><div class=b><p>y</div></body>")
     seed, _ = html_extract.numbered(html_extract.skeleton([tree]))
