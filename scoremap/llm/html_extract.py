@@ -44,9 +44,22 @@ DROPPED = frozenset("head nav aside footer form menu dialog noscript template se
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table article section div body html blockquote main".split())
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|masthead|(?:site|page|global|top)[_-]?header|footer|foot|sidebar|side|widgets?|related|recommend(?:ed|ations?)?|shar(?:e|ing)|social|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|responses?|repl(?:y|ies)|discussion|pagination|pager|toolbar|search|copyright|legal|disclaimer|skip(?:link)?|hidden|visually-hidden)(?=$|[\s_-])"
+def _words(names: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{names})(?=$|[\s_-])")
+
+
+#: Words of classes and ids that name boilerplate.
+BOILER = _words(
+    r"ads?|adverts?|advertisements?|adslot|sponsor(?:ed|s)?|promo|nav(?:bar|igation)?|breadcrumbs?|masthead|(?:site|page|global|top)[_-]?header|footer|sidebar|cookies?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|pagination|pager|toolbar|skip(?:link)?|hidden|visually-hidden"
+)
+#: Words that also stand for content: a node of these, and one inside the content
+#: whose id has any of all these words, is dropped only if the host's pages agree.
+SUSPECT = _words(
+    r"banner|menu|foot|side|widgets?|related|recommend(?:ed|ations?)?|shar(?:e|ing)|social|consent|notices?|alerts?|subscription|respond|responses?|repl(?:y|ies)|discussion|search|copyright|legal|disclaimer|promotion"
 )
+#: They agree if so much of its text is template or links.
+AGREED_SHARE = 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = re.compile(r"(?:^|\s)(?:navigation|banner|contentinfo|complementary|search|form|alert|alertdialog|dialog|menu|menubar|toolbar)(?=$|\s)")
 ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
@@ -56,30 +69,37 @@ class Node:
     """A block element; a leaf holds the text of one block and is labelled '#', and
     is ``marked`` if it is in an <article> or <main> outside boilerplate."""
 
-    __slots__ = ("bad", "children", "label", "links", "marked", "seed", "tag", "text")
+    __slots__ = ("bad", "children", "label", "links", "marked", "seed", "suspect", "tag", "text")
 
     def __init__(self, tag: str, label: str, bad: bool = False, text: str = "", links: int = 0):
         self.tag, self.label, self.bad, self.text, self.links = tag, label, bad, text, links
         self.children: list[Node] = []
-        self.marked = False
+        self.marked = self.suspect = False
         self.seed: int | None = None
 
 
-def _attributes(tag: str, rest: str) -> tuple[str, bool]:
-    """The class and id words of a start tag, and whether it marks boilerplate."""
-    words, role, hidden = "", "", False
+def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """The class and id words of a start tag, whether it marks boilerplate, and
+    whether it may. ``inside``: the element is part of the content."""
+    classes, ids, role, hidden = "", "", "", False
     for m in ATTR.finditer(rest):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id"):
-            words += " " + value
+        if name == "class":
+            classes += " " + value
+        elif name == "id":
+            ids += " " + value
         elif name == "role":
             role += " " + value
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
         else:
             hidden |= value != "false" and (name == "hidden" or value == "true")
-    bad = hidden or bool(ROLES.search(role)) or (tag not in ("html", "body", "article", "main") or "comment" in words) and bool(BOILER.search(words))
-    return " ".join(sorted(words.split())), bad
+    words = classes + ids
+    named = tag not in ("html", "body", "article", "main") or "comment" in words
+    sure = classes if inside or tag in HEADINGS else words
+    bad = hidden or bool(ROLES.search(role)) or named and bool(BOILER.search(sure))
+    doubt = classes if tag in HEADINGS else words
+    return " ".join(sorted(words.split())), bad, named and not bad and bool(SUSPECT.search(doubt) or BOILER.search(doubt))
 
 
 def parse(html: str | None) -> Node:
@@ -159,7 +179,7 @@ def parse(html: str | None) -> Node:
             if muted:
                 if tag == muted[-1]:
                     muted.append(tag)
-            elif "=" in m[3] and _attributes(tag, m[3])[1]:
+            elif "=" in m[3] and _attributes(tag, m[3], True)[1]:
                 muted.append(tag)
             elif tag == "a":
                 in_link = 1
@@ -183,10 +203,11 @@ def parse(html: str | None) -> Node:
         flush()
         if tag == "hr":
             continue
-        words, bad = _attributes(tag, m[3]) if m[3] else ("", False)
         inside = any(x.tag in ("article", "main") for x in stack)
+        words, bad, suspect = _attributes(tag, m[3], inside) if m[3] else ("", False, False)
         bad = bad or tag in DROPPED or (tag == "header" and not inside)
         node = Node(tag, f"{tag} {words}" if words else tag, bad)
+        node.suspect = suspect and not bad
         stack[-1].children.append(node)
         stack.append(node)
     close_to(1)
@@ -272,27 +293,37 @@ def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def leaves(node: Node, slot: int | None = None) -> Iterator[tuple[Node, int | None]]:
-    """Text leaves in page order with the seed number of the nearest paired node."""
-    stack = [(node, slot)]
+def watched(node: Node) -> Iterator[tuple[Node, int | None, int]]:
+    """Text leaves in page order with the seed number of the nearest paired node, and
+    of the nearest suspect one that is paired (-1: none)."""
+    stack = [(node, None, -1)]
     while stack:
-        n, s = stack.pop()
-        s = n.seed if n.seed is not None else s
+        n, s, w = stack.pop()
+        if n.seed is not None:
+            s = n.seed
+            w = s if n.suspect else w
         if n.tag == "#":
-            yield n, s
-        stack += [(c, s) for c in reversed(n.children)]
+            yield n, s, w
+        stack += [(c, s, w) for c in reversed(n.children)]
+
+
+def leaves(node: Node) -> Iterator[tuple[Node, int | None]]:
+    """Text leaves in page order with the seed number of the nearest paired node."""
+    for n, s, _ in watched(node):
+        yield n, s
 
 
 def kept_blocks(root: Node, wrapper: dict) -> list[str]:
     """The texts of the content blocks. ``wrapper``: const (seed number -> keys of
-    template texts) and menus (seed numbers of link slots)."""
-    const, menus = wrapper.get("const", {}), set(wrapper.get("menus", ()))
+    template texts), menus (seed numbers of link slots) and agreed (seed numbers of
+    suspect nodes that are boilerplate)."""
+    const, menus, agreed = wrapper.get("const", {}), set(wrapper.get("menus", ())), set(wrapper.get("agreed", ()))
 
     out, stack = [], [(root, None)]
     while stack:
         n, s = stack.pop()
         s = n.seed if n.seed is not None else s
-        if n.bad or n.seed in menus:
+        if n.bad or n.seed in menus or n.suspect and n.seed in agreed:
             continue
         if n.tag == "#" and text_key(n.text) not in const.get(str(s), ()):
             out.append(n.text)
@@ -341,22 +372,22 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
                     done.clear()
                 done.add((host, page))
                 seen: dict[tuple[int, int], list[int]] = {}
-                for n, s in leaves(_with_seed(parse(html), seed)):
+                for n, s, w in watched(_with_seed(parse(html), seed)):
                     if s is not None:
-                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0])
+                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0, w])
                         x[0] += len(n.text)
                         x[1] += n.links
                         x[2] += len(n.text) * n.marked
                 rows += [(host, page, s, k, 1, *x) for (s, k), x in seen.items()]
-                rows.append((host, page, -1, 0, 1, 0, 0, 0))  # the page itself
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked"])
+                rows.append((host, page, -1, 0, 1, 0, 0, 0, -1))  # the page itself
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked", "suspect"])
 
-    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long")
+    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long, suspect long")
     sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked")]
     # copies of a page in other tasks show the same rows
-    texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums), "texts")
+    texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums, F.max("suspect").alias("suspect")), "texts")
     total = texts.where("node = -1").select("host", F.col("n").alias("pages"))
     slots = texts.where("node >= 0").groupBy("host", "node").agg(*sums)
     marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"))
@@ -365,8 +396,12 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
     menus = slots.join(marking, "host").where(F.col("links") > limit * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("menus"))
     often = texts.where(f"node >= 0 and n >= {MIN_PAGES}").join(total, "host").where(F.col("n") > MIN_SHARE * F.col("pages"))
     const = often.groupBy("host", "node").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "keys"))).alias("const"))
-    both = found.join(menus, "host", "left").join(const, "host", "left")
-    return materialize(both.select("host", "seed", F.to_json(F.struct("menus", "const")).alias("wrapper")), "wrappers")
+    template = (F.col("n") >= MIN_PAGES) & (F.col("n") > MIN_SHARE * F.col("pages"))
+    doubted = texts.where("suspect >= 0").join(total, "host").groupBy("host", "suspect")
+    doubted = doubted.agg(F.sum("chars").alias("chars"), F.sum(F.when(template, F.col("chars")).otherwise(F.col("links"))).alias("poor"))
+    agreed = doubted.where(F.col("poor") > AGREED_SHARE * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("suspect")).alias("agreed"))
+    both = found.join(menus, "host", "left").join(const, "host", "left").join(agreed, "host", "left")
+    return materialize(both.select("host", "seed", F.to_json(F.struct("menus", "const", "agreed")).alias("wrapper")), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -215,6 +215,15 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Introduction\nPage {i} of some site" for i in range(8)}
 
 
+def test_titles_as_ids_are_content(spark):
+    menu = "<div class=related><p>Also read</p><a href=/{i}>Other page {i}</a></div><div id=search>Search this site</div>"
+    body = '<h2 id="discussion">Discussion {i}</h2><section id="related-work"><p>Work {i}</section><h3 id="search-results">Results {i}</h3><div id="legal-history"><p>Law {i}, <span class="search">found {i}</span></div><div id="comments-on-ads">Remarks {i}</div><div class=ad>Buy {i}</div>'
+    want = "Discussion {i}\nWork {i}\nResults {i}\nLaw {i}, found {i}\nRemarks {i}"
+    got = extracted(spark, [menu.format(i=i) + "<article>" + body.format(i=i) + "</article>" for i in range(8)])
+    assert got == {i: want.format(i=i) for i in range(8)}
+    assert extracted(spark, ["<article>" + body.format(i=0) + "</article>"]) == {0: want.format(i=0)}
+
+
 def test_tree_matching_pairs_like_nodes():
     tree = html_extract.parse("<body><div class=a><p>x</div><div class=b><p>y</div></body>")
     seed, _ = html_extract.numbered(html_extract.skeleton([tree]))
