@@ -31,7 +31,7 @@ LINK_SHARE = 0.6
 #: The same for slots that lie outside <article> and <main> on a host that has over
 #: half of its text in them.
 OUTSIDE_LINK_SHARE = 0.3
-#: Beyond this many pairs of children, siblings align in order without weighing.
+#: Beyond this many pairs of children, siblings align in halves, in linear space.
 DP_CELLS = 250_000
 
 BLOCK = frozenset(
@@ -248,7 +248,7 @@ def _weight(members: list[Node], seed: list, memo: dict) -> int:
     key = (id(members[0]), seed[2])
     if key not in memo:
         first = next((m for m in members if m.children), members[0])
-        memo[key] = 1 + _table(runs(first.children), seed[1], memo)[-1][-1]
+        memo[key] = 1 + _ends(runs(first.children), seed[1], memo)[-1]
     return memo[key]
 
 
@@ -265,28 +265,47 @@ def _table(a: list[list[Node]], b: list, memo: dict) -> list[list[int]]:
     return rows
 
 
+def _ends(a: list[list[Node]], b: list, memo: dict) -> list[int]:
+    """The last row of ``_table``, in linear space."""
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            best = max(row[j], last[j + 1])
+            if x[0].label == y[0]:
+                best = max(best, last[j] + _weight(x, y, memo))
+            row.append(best)
+        last = row
+    return last
+
+
+def _pairs(a: list[list[Node]], b: list, memo: dict) -> Iterator[tuple[list[Node], list]]:
+    """The pairs of a heaviest alignment of siblings. Beyond DP_CELLS the first is cut
+    in two, and the second where the halves weigh most together (Hirschberg)."""
+    if len(a) > 1 and len(a) * len(b) > DP_CELLS:
+        mid = len(a) // 2
+        head, tail = _ends(a[:mid], b, memo), _ends(a[mid:][::-1], b[::-1], memo)
+        cut = max(range(len(b) + 1), key=lambda j: head[j] + tail[len(b) - j])
+        yield from _pairs(a[:mid], b[:cut], memo)
+        yield from _pairs(a[mid:], b[cut:], memo)
+        return
+    table, i, j = _table(a, b, memo), len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            yield a[i], b[j]
+
+
 def align(members: list[Node], seed: list, memo: dict) -> None:
     """Set ``seed`` on every node that simple tree matching pairs with the seed."""
     for m in members:
         m.seed = seed[2]
-        a, b = runs(m.children), seed[1]
-        if len(a) * len(b) > DP_CELLS:
-            j = 0
-            for x in a:
-                k = next((k for k in range(j, len(b)) if b[k][0] == x[0].label), None)
-                if k is not None:
-                    align(x, b[k], memo)
-                    j = k + 1
-            continue
-        table, i, j = _table(a, b, memo), len(a), len(b)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                align(a[i], b[j], memo)
+        for x, y in _pairs(runs(m.children), seed[1], memo):
+            align(x, y, memo)
 
 
 def text_key(text: str) -> int:

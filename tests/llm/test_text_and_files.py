@@ -232,3 +232,18 @@ def test_tree_matching_pairs_like_nodes():
     slots = {n.text: s for n, s in html_extract.leaves(other)}
     same = {n.text: s for n, s in html_extract.leaves(html_extract._with_seed(html_extract.parse("<body><div class=a><p>x</div><div class=b><p>y</div></body>"), __import__("json").dumps(seed)))}
     assert slots["z"] == same["y"] and slots["z"] != same["x"]
+
+
+def test_halved_alignment_is_as_heavy(monkeypatch):
+    rng = random.Random(11)
+    page = lambda: "<body>" + "".join(f"<div class={rng.choice('abcd')}><p>x</p></div>" for _ in range(rng.randint(1, 25)))
+    for _ in range(40):
+        seed, _ = html_extract.numbered(html_extract.skeleton([html_extract.parse(page())]))
+        html, paired = page(), []
+        for cells in (10**6, 4):
+            monkeypatch.setattr(html_extract, "DP_CELLS", cells)
+            tree = html_extract.parse(html)
+            html_extract.align([tree], seed, {})
+            body = tree.children[0]
+            paired.append(sum(r[0].seed is not None for r in html_extract.runs(body.children)))
+        assert paired[0] == paired[1]
