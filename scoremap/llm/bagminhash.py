@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoremap.llm.common import materialize, row_id, small_side, without_rows
-from scoremap.llm.components import components
+from scoremap.llm.common import discard, materialize, row_id, small_side, without_rows
+from scoremap.llm.components import contracted, joined, merged, order_of
 from scoremap.llm.shingles import Hasher, bags, mix, overlap
 
 BANDS, ROWS = 24, 4
@@ -182,27 +182,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = materialize(sketch(texts, bands, rows), "sketches")
     # rows with the same multiset stand together from here on
     copies = materialize(made.groupBy("bag").agg(F.min("_rid").alias("rep")), "copies")
-    reps = made.join(copies.select(F.col("rep").alias("_rid")), "_rid", "left_semi")
+    reps = made.join(small_side(copies).select(F.col("rep").alias("_rid")), "_rid", "left_semi")
     members = reps.select("_rid", "n", F.explode("keys").alias("key"))
-    centres = members.groupBy("key").agg(F.min(F.struct("_rid", "n")).alias("r"), F.count("*").alias("k")).where("k > 1").select("key", F.col("r._rid").alias("centre"), F.col("r.n").alias("cn"))
-    buckets = materialize(members.join(centres, "key"), "buckets")
+    first = F.min(F.struct(order_of("_rid").alias("o"), "n")).alias("r")
+    centres = materialize(members.groupBy("key").agg(first, F.count("*").alias("k")).where("k > 1").select("key", F.col("r.o.v").alias("centre"), F.col("r.n").alias("cn")), "centres")
+    # both sides are plain reads, so that Spark can split the members of a large bucket
+    buckets = materialize(members.join(small_side(centres), "key"), "buckets")
+    discard(centres)
     ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
     star = buckets.where(F.col("_rid") != F.col("centre")).select(F.col("centre").alias("a"), F.col("_rid").alias("b"), ratio(F.col("cn"), F.col("n")).alias("bound")).distinct()
     checked = materialize(verify(texts, materialize(star.where(F.col("bound") >= threshold).select("a", "b"), "star")), "checked")
-    near = checked.where(F.col("j") >= threshold).select("a", "b")
-    labels = components(near)
+    linked = lambda pairs: pairs.where(F.col("j") >= threshold).select("a", "b")
+    labels = joined(linked(checked))
     for turn in range(TURNS):
         pairs = _outside(buckets, checked, labels, threshold, ratio, turn)
-        if pairs.isEmpty():
+        if not pairs._row_bytes:
             break
-        got = verify(texts, pairs)
+        got = materialize(verify(texts, pairs), "got")
+        # only what links different components goes on
+        labels = merged(labels, joined(contracted(linked(got), labels)))
         checked = materialize(checked.unionByName(got), "checked")
-        near = checked.where(F.col("j") >= threshold).select("a", "b")
-        labels = components(near)
     rest = _rest(texts, buckets, checked, labels, threshold, ratio)
-    if not rest.isEmpty():
-        more = materialize(verify(texts, rest), "more").where(F.col("j") >= threshold).select("a", "b")
-        labels = components(near.unionByName(more))
+    if rest._row_bytes:
+        more = materialize(verify(texts, rest), "more")
+        labels = merged(labels, joined(contracted(linked(more), labels)))
     of_rep = copies.join(labels, F.col("rep") == F.col("v"), "left").select("bag", F.coalesce("c", "rep").alias("c"))
     of_row = made.select("_rid", "bag").join(of_rep, "bag").select("_rid", "c")
     every = materialize(of_row.join(base.select("_rid", "_id"), "_rid"), "classes")
