@@ -43,13 +43,8 @@ def geom(kind: Column, srid: Column, polys: Column) -> Column:
 
 
 def map_vertices(polys: Column, vertex) -> Column:
-    """``polys`` with ``vertex(x, y) -> (x, y)`` applied to every vertex."""
-
-    def one(v: Column) -> Column:
-        x, y = vertex(v["x"], v["y"])
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(polys, lambda rings: F.transform(rings, lambda ring: F.transform(ring, one)))
+    """``polys`` with ``vertex(x, y) -> struct<x,y>`` applied to every vertex."""
+    return F.transform(polys, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda v: vertex(v["x"], v["y"]))))
 
 
 def _let(value: Column, body) -> Column:
@@ -117,7 +112,8 @@ def geojson_to_geom(kind: Column, coordinates: Column, srid: int = WGS84) -> Col
     """From the text of ``coordinates``, whose depth follows the type."""
 
     def build(s: Column) -> Column:
-        polys = F.transform(s["p"], lambda rings: F.transform(rings, lambda r: F.transform(r, lambda v: F.struct(F.get(v, 0).alias("x"), F.get(v, 1).alias("y")))))
+        some = F.filter(s["p"], lambda rings: F.size(rings) > 0)  # an empty Polygon has no ring
+        polys = F.transform(some, lambda rings: F.transform(rings, lambda r: F.transform(r, lambda v: F.struct(F.get(v, 0).alias("x"), F.get(v, 1).alias("y")))))
         return F.when(polys.isNotNull(), geom(s["kind"], F.lit(srid), polys))
 
     json = F.when(kind == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]"))).when(kind == "MultiPolygon", coordinates)
@@ -136,14 +132,28 @@ def project_xy(lon: Column, lat: Column) -> tuple[Column, Column]:
     return (rho * F.sin(theta) + _FALSE_EAST) / _FOOT, (RHO0 - rho * F.cos(theta)) / _FOOT
 
 
-def unproject_xy(x: Column, y: Column) -> tuple[Column, Column]:
-    """Feet to degrees (longitude, latitude), by six fixed-point steps."""
-    east, north = x * _FOOT - _FALSE_EAST, RHO0 - y * _FOOT
-    t = F.pow(F.sqrt(east * east + north * north) / SCALE, F.lit(1 / CONE))
-    lat = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(6):
-        lat = math.pi / 2 - 2 * F.atan(t * F.pow(2 / (1 + F.sin(lat) * _E) - 1, F.lit(_E / 2)))
-    return F.degrees(F.atan2(east, north) / CONE + _LON0), F.degrees(lat)
+def _projected(lon: Column, lat: Column) -> Column:
+    rho = F.pow(_t_of(F.radians(lat)), F.lit(CONE)) * SCALE
+    theta = (F.radians(lon) - _LON0) * CONE
+    at = lambda s: F.struct(((s["rho"] * F.sin(s["theta"]) + _FALSE_EAST) / _FOOT).alias("x"), ((RHO0 - s["rho"] * F.cos(s["theta"])) / _FOOT).alias("y"))
+    return _let(F.struct(rho.alias("rho"), theta.alias("theta")), at)
+
+
+def _unprojected(x: Column, y: Column) -> Column:
+    """Feet to degrees (longitude, latitude), by six fixed-point steps; what the steps
+    share is computed once per vertex."""
+
+    def degrees(s: Column, t: Column) -> Column:
+        lat = math.pi / 2 - 2 * F.atan(t)
+        for _ in range(6):
+            lat = math.pi / 2 - 2 * F.atan(t * F.pow(2 / (1 + F.sin(lat) * _E) - 1, F.lit(_E / 2)))
+        return F.struct(F.degrees(F.atan2(s["east"], s["north"]) / CONE + _LON0).alias("x"), F.degrees(lat).alias("y"))
+
+    def steps(s: Column) -> Column:
+        t = F.pow(F.sqrt(s["east"] * s["east"] + s["north"] * s["north"]) / SCALE, F.lit(1 / CONE))
+        return _let(t, lambda t: degrees(s, t))
+
+    return _let(F.struct((x * _FOOT - _FALSE_EAST).alias("east"), (RHO0 - y * _FOOT).alias("north")), steps)
 
 
 def _moved(g: Column, source: int, target: int, vertex) -> Column:
@@ -158,12 +168,12 @@ def _moved(g: Column, source: int, target: int, vertex) -> Column:
 
 def project(g: Column) -> Column:
     """4326 to 2263; a geometry that is there already stays, another SRID raises."""
-    return _moved(g, WGS84, STATE_PLANE, project_xy)
+    return _moved(g, WGS84, STATE_PLANE, _projected)
 
 
 def unproject(g: Column) -> Column:
     """2263 to 4326, with the same rules."""
-    return _moved(g, STATE_PLANE, WGS84, unproject_xy)
+    return _moved(g, STATE_PLANE, WGS84, _unprojected)
 
 
 def circle(x: Column, y: Column, r: Column, segments: int) -> Column:

@@ -50,6 +50,12 @@ def percent_label(score: Column, zero_is_missing: bool = False) -> Column:
     return F.when(shown, F.format_string("Score: %.1f%%", s * 100))
 
 
+def hover_label(layer: Column, name: Column, score: Column) -> Column:
+    """What a feature shows under the pointer: a deployment its name, if it has one, a
+    sidewalk its score, unless that is missing or 0, and any other layer nothing."""
+    return F.when((layer == "deployments") & (name != ""), name).when(layer == "sidewalks", percent_label(score, zero_is_missing=True))
+
+
 def default_score(score: Column) -> Column:
     return F.coalesce(known(score), F.lit(0.0))
 

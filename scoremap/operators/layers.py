@@ -46,9 +46,12 @@ def dome_planar(sites: DataFrame, radius: float = 400.0, height: float = 150.0,
     """
     angle = F.col("ring") * (math.pi / (rings - 1))
     x, y = G.project_xy(F.col("lon"), F.col("lat"))
-    flat = _rings(sites, rings).withColumns({"radius": F.cos(angle) * radius, "height": F.sin(angle) * height})
+    # once per site: below the rings' explosion the planar point is a plain column
+    flat = _rings(sites.withColumns({"_x": x, "_y": y}), rings).withColumns({"radius": F.cos(angle) * radius, "height": F.sin(angle) * height})
     flat = flat if keep_empty else flat.where("radius > 1e-9")
-    return flat.withColumn("geometry", G.unproject(G.buffer_point(x, y, F.col("radius"), quad_segs)))
+    # a ring is a short row that becomes many vertices, and sites may fill one file only
+    flat = flat.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return flat.withColumn("geometry", G.unproject(G.buffer_point(F.col("_x"), F.col("_y"), F.col("radius"), quad_segs))).drop("_x", "_y")
 
 
 def dome_geographic(sites: DataFrame, radius: float = 0.004, height: float = 250.0, rings: int = 15, points: int = 32) -> DataFrame:

@@ -30,5 +30,8 @@ def pick(points: DataFrame, features: DataFrame, cell: float, point_id: str = "p
     used = boxed.select("_level").distinct().agg(F.collect_set("_level")).scalar()
     probes = points.where("x is not null and y is not null").withColumn("_level", F.explode(used))
     probes = probes.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
-    met = probes.join(placed, ["_level", "_cx", "_cy"])
+    # the bounding box in the join: the ring test then sees few pairs of a cell
+    near = F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1"))
+    same = [F.col(f"p.{c}") == F.col(f"f.{c}") for c in ("_level", "_cx", "_cy")]
+    met = probes.alias("p").join(placed.alias("f"), [*same, near])
     return met.where(G.inside(F.col("x"), F.col("y"), F.col(geometry)["polys"])).select(point_id, feature_id)

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = 1024
+#: Slices of a range of values: STEPS coarse ones of STEPS fine ones each.
+STEPS = 32
+ACCURACY = 20000
 
 
-def running_counts(counts: DataFrame, key: str, value: str, n: str, slices: int = SLICES) -> DataFrame:
-    """``counts`` (a row per key and value) with ``_below`` and ``_total``: rows of the
-    key with a smaller value, and all.
+def with_slices(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_slice``: ranges of values, numbered in order from 0, that hold
+    about as many rows each, by approximate quantiles of the whole frame; so an outlier
+    does not push all others into one. Equal values are in one slice; null is in 0.
+    Values are numbers or times. The quantiles, STEPS squared numbers, are found first.
+    """
+    n, kind = STEPS * STEPS, df.schema[value].dataType.typeName()
+    number = F.unix_micros(F.col(value).cast("timestamp")) if kind.startswith("timestamp") else F.col(value)
+    cuts = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)], ACCURACY)).first()[0]
+    if not cuts:
+        return df.withColumn("_slice", F.lit(0))
+    flat = F.array(*[F.lit(c) for c in cuts])
+    coarse = sum((F.when(number > cuts[(i + 1) * STEPS - 1], 1).otherwise(0) for i in range(STEPS - 1)), F.lit(0))
+    fine = F.size(F.filter(F.slice(flat, F.col("_coarse") * STEPS + 1, F.lit(STEPS - 1)), lambda c: c < number))
+    return df.withColumn("_coarse", coarse).withColumn("_slice", F.col("_coarse") * STEPS + F.when(number.isNull(), 0).otherwise(fine)).drop("_coarse")
+
+
+def running_counts(counts: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    """``counts`` (a row per key and value) with ``_below`` and ``_total``: the sum of
+    ``n`` over the key's smaller values, and over all.
 
-    Values fall into equal slices of the whole range; windows run inside a slice, and
-    over the at most ``slices`` slice totals of a key.
+    Windows run inside a slice of values, and over the slice totals of a key.
     """
-    low, high = counts.agg(F.min(value)).scalar(), counts.agg(F.max(value)).scalar()
-    place = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - low, high - low) * slices), F.lit(slices - 1)), F.lit(0)).cast("int")
-    sliced = counts.withColumn("_slice", place)
+    sliced = with_slices(counts, value)
     totals = sliced.groupBy(key, "_slice").agg(F.sum(n).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(key)).alias("_total"))

@@ -96,6 +96,21 @@ SELECT ordinal, 'Deployment location: ' || s_name AS description, ring, round(ra
         "dome_rings": f"SELECT s_suppkey AS ordinal, ring, round(cos(ring * ({math.pi / 14!r}::DOUBLE)) * 400, 6) AS radius, round(sin(ring * ({math.pi / 14!r}::DOUBLE)) * 150, 6) AS height, ring > 6 AS is_empty FROM supplier, range(15) AS t(ring)",
         "dome_geographic": f"""WITH g AS (SELECT s_suppkey AS ordinal, {slon} AS lon, {slat} AS lat, level, cos(level / 14::DOUBLE * ({math.pi / 2!r}::DOUBLE)) * 0.004::DOUBLE AS radius, sin(level / 14::DOUBLE * ({math.pi / 2!r}::DOUBLE)) * 250 AS height FROM supplier, range(15) AS t(level))
 SELECT ordinal, level, round(height, 6) AS height, round((1 - level / 14::DOUBLE) * 0.3::DOUBLE, 9) AS opacity, k, round(lon + radius * {c32}, 9) AS x, round(lat + radius * {s32}, 9) AS y FROM g, range(33) AS u(k)""",
+        "geojson_features": f"""WITH {_boxes()},
+p AS (SELECT s_suppkey, poly, loop, '[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY k) || ']' AS ring FROM v GROUP BY ALL),
+q AS (SELECT s_suppkey, poly, '[' || string_agg(ring, ',' ORDER BY loop) || ']' AS rings FROM p GROUP BY ALL),
+m AS (SELECT s_suppkey, string_agg(rings, ',' ORDER BY poly) AS c FROM q GROUP BY ALL)
+SELECT s_suppkey, '{{"type":"Feature","properties":{{"id":' || s_suppkey || ',"name":"' || s_name || '","video":null}},"geometry":{{"type":' || CASE WHEN s_suppkey % 5 = 0 THEN '"MultiPolygon","coordinates":[' || c || ']' ELSE '"Polygon","coordinates":' || c END || '}}}}' AS feature
+FROM m JOIN supplier USING (s_suppkey)""",
+        "csv_layer": f"WITH {_boxes()} SELECT v.*, s_acctbal AS score FROM v JOIN supplier USING (s_suppkey)",
+        "geojson_layer": f"WITH {_boxes()} SELECT v.*, 'segments' AS layer, s_name FROM v JOIN supplier USING (s_suppkey)",
+        "boundary_layer": f"""WITH p AS (SELECT s_suppkey, 'B' || s_suppkey % 5 AS boro_name, k, {slon} + CASE WHEN k IN (1, 2) THEN 0.001::DOUBLE ELSE 0 END AS lon, {slat} + CASE WHEN k = 2 THEN 0.001::DOUBLE ELSE 0 END AS lat FROM supplier, range(4) AS t(k))
+SELECT boro_name, s_suppkey, k, round({sx}, 3) AS x, round({sy}, 3) AS y FROM p""",
+        "layer_files": "SELECT 'size ' || p_size % 4 AS layer, '{\"p_partkey\":' || p_partkey || '}' AS feature FROM part WHERE p_size % 4 IN (1, 3)",
+        "feed_files": "SELECT c_name AS title, c_mktsegment AS description, '/blog/' || c_custkey || '/' AS link FROM customer",
+        "markdown_docs": "SELECT n_name AS title, 'nobody' AS author, 'a: ' || r_name AS description, r_name || ',Land' AS tags, TIMESTAMP '2023-02-14 23:49:00' AS pub_date, false AS draft FROM nation JOIN region ON n_regionkey = r_regionkey",
+        "hover_labels": """SELECT 'sidewalks' AS layer, l_orderkey AS id, l_linenumber AS n, CASE WHEN l_discount <> 0 THEN printf('Score: %.1f%%', l_discount * 100) END AS label FROM lineitem
+UNION ALL SELECT 'deployments', p_partkey, NULL, CASE WHEN p_size % 3 > 0 THEN p_name END FROM part UNION ALL SELECT 'cbs', c_custkey, NULL, NULL FROM customer""",
         "visible_layers": """SELECT * FROM (SELECT 'sidewalks' AS layer, s_suppkey AS id, s_acctbal AS score, NULL::VARCHAR AS name FROM supplier
 UNION ALL SELECT 'cbs', c_custkey, NULL, NULL FROM customer UNION ALL SELECT 'deployments', n_nationkey, NULL, n_name FROM nation) WHERE layer IN ('sidewalks', 'deployments')""",
         "pick_points": f"""WITH p AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey * 37 % 1000 + 0.25::DOUBLE AS x, l_suppkey * 91 % 1000 + 0.25::DOUBLE AS y FROM lineitem),
@@ -119,8 +134,8 @@ SELECT id, draft, concat_ws(',', CASE WHEN t THEN NULL ELSE 'title' END, CASE WH
         "tag_page": "SELECT p_partkey AS id FROM part WHERE lower(p_brand) = 'brand#12' OR lower(p_type) = 'brand#12'",
         "recent_docs": "SELECT doc_id AS id, source FROM documents ORDER BY id DESC LIMIT 6",
         "reverse_docs": "SELECT doc_id AS id, source FROM documents ORDER BY id DESC",
-        "feed_items": "SELECT left(text, 30) AS title, lang AS description, '/blog/' || doc_id || '/' AS link FROM documents",
-        "doc_pages": "SELECT doc_id AS id, left(text, 30) AS title, lang AS description FROM documents",
+        "feed_items": "SELECT text AS title, lang AS description, '/blog/' || doc_id || '/' AS link FROM documents",
+        "doc_pages": "SELECT doc_id AS id, text AS title, lang AS description FROM documents",
         "outline": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)(<h[1-6][^>]*>.*?</h[1-6]>)', 1) AS hs FROM pages),
 u AS (SELECT page_id, unnest(hs) AS x, generate_subscripts(hs, 1) - 1 AS pos FROM h)
 SELECT page_id, pos, substr(x, 3, 1)::INT AS depth, trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ') AS text FROM u""",

@@ -19,13 +19,23 @@ from scoremap.operators.pick import pick
 from scoremap.operators.simplify import simplify
 from scoremap.plans.inputs import boxes, lat, lon, sites_of, table
 from scoremap.sources import literals as lit_tables
+from scoremap.sources import readers
 from scoremap.sources.writers import doc_pages as pages_of
-from scoremap.sources.writers import feature, feed_items as items_of
+from scoremap.sources.writers import feature, feed_items as items_of, write_features, write_feed, write_layers
 from scoremap.streaming.selection import selection_stream
 
 LINE = ["l_orderkey", "l_linenumber"]
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local[")
+        base = "file://" + tempfile.mkdtemp(prefix="scoremap-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.normalise(table(spark, sf_dir, "lineitem").select(*LINE, "l_extendedprice", "l_returnflag"), "l_extendedprice")
 
@@ -135,6 +145,72 @@ def geojson_features(spark, sf_dir):
     return seg.select("s_suppkey", feature(F.col("g"), id=F.col("s_suppkey"), name=F.col("s_name"), video=F.lit(None).cast("string")).alias("feature"))
 
 
+def csv_layer(spark, sf_dir):
+    """Scored segments written as CSV with WKT and read back."""
+    path = _place(spark, "csv")
+    boxes(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"), F.col("wkt").alias("geometry")).write.option("header", True).option("escape", '"').csv(path)
+    back = readers.read_scored_csv(spark, path, id_col="id")
+    return L.vertices(back.select(F.col("segment_id").cast("long").alias("s_suppkey"), "score", "geometry"))
+
+
+def geojson_layer(spark, sf_dir):
+    """Features written one per line and read back, beside a layer that is not there."""
+    path = _place(spark, "geojson")
+    seg = boxes(table(spark, sf_dir, "supplier"), "s_suppkey")
+    write_features(seg.select("s_suppkey", "s_name", G.wkt_to_geom(F.col("wkt")).alias("geometry")), path)
+    layers = readers.read_layers(spark, {"segments": path, "none": f"{path}-none"}, lines=True, srid=G.STATE_PLANE)
+    back = L.assemble(**{k: v for k, v in layers.items() if v is not None})
+    return L.vertices(back.select("layer", F.col("properties")["s_suppkey"].cast("long").alias("s_suppkey"), F.col("properties")["s_name"].alias("s_name"), "geometry"))
+
+
+def boundary_layer(spark, sf_dir):
+    """Boundaries in degrees written as features and read into the plane."""
+    path = _place(spark, "boundaries")
+    k = F.col("s_suppkey")
+    corner = lambda a, b: F.struct((lon(k) + a).alias("x"), (lat(k) + b).alias("y"))
+    ring = F.array(corner(0.0, 0.0), corner(0.001, 0.0), corner(0.001, 0.001), corner(0.0, 0.0))
+    seg = table(spark, sf_dir, "supplier").select(F.concat(F.lit("B"), k % 5).alias("BoroName"), k.alias("n"), G.geom(F.lit("Polygon"), F.lit(G.WGS84), F.array(F.array(ring))).alias("geometry"))
+    write_features(seg, path)
+    back = readers.read_boundaries(spark, path, lines=True).select("boro_name", F.col("attrs")["n"].cast("long").alias("s_suppkey"), "geometry")
+    return L.vertices(back).select("boro_name", "s_suppkey", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def layer_files(spark, sf_dir):
+    """Layers written apart; reading one of them touches only its own files."""
+    path = _place(spark, "layers")
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("size "), F.col("p_size") % 4).alias("layer"), F.to_json(F.struct("p_partkey")).alias("feature"))
+    write_layers(parts, path)
+    return spark.read.parquet(f"{path}/features").where("layer in ('size 1', 'size 3')").select("layer", "feature")
+
+
+def feed_files(spark, sf_dir):
+    """Feed items written as XML and read back."""
+    path = _place(spark, "feed")
+    c = table(spark, sf_dir, "customer")
+    write_feed(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(None).cast("timestamp").alias("pub_date"), F.col("c_mktsegment").alias("description")), path)
+    return spark.read.option("rowTag", "item").schema("title string, description string, link string").xml(path)
+
+
+def markdown_docs(spark, sf_dir):
+    """A Markdown file per nation, read and typed."""
+    path = _place(spark, "docs")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+    front = ["---", "title: '%s'", "author: nobody", "description: \"a: %s\"", "pubDate: 2023-02-14 23:49", "imgUrl: a.png", "tags:", "  - %s", "  - Land", "---", "## A heading", "Text."]
+    text = F.format_string("\n".join(front), "n_name", "r_name", "r_name")
+    n.select(F.col("n_nationkey").alias("doc"), text.alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    docs, _ = docs_ops.validated(docs_ops.typed(readers.read_docs(spark, path, glob="part-*")))
+    return docs.select("title", "author", "description", F.array_join("tags", ",").alias("tags"), F.col("pub_date").cast("timestamp_ntz").alias("pub_date"), "draft")
+
+
+def hover_labels(spark, sf_dir):
+    layers = L.assemble(
+        sidewalks=table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_discount").alias("score")),
+        deployments=table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("name")),
+        cbs=table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(0.5).alias("score")),
+    )
+    return layers.select("layer", "id", "n", S.hover_label(F.col("layer"), F.col("name"), F.col("score")).alias("label"))
+
+
 def visible_layers(spark, sf_dir):
     layers = L.assemble(
         sidewalks=table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")),
@@ -238,7 +314,7 @@ def reverse_docs(spark, sf_dir):
 
 def _feed_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("title"), F.lit(None).cast("timestamp").alias("pub_date"), F.col("lang").alias("description"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.lit(None).cast("timestamp").alias("pub_date"), F.col("lang").alias("description"))
 
 
 def feed_items(spark, sf_dir):
@@ -277,12 +353,11 @@ def selection_changes(spark, sf_dir):
 def selection_toggle_stream(spark, sf_dir):
     """The same machine over the events as a file stream, run until it has read all;
     the result is what the stream has written to its sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="scoremap-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    place = f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
+    place = _place(spark, "stream")
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # the path may be a file or a folder: a stream reads folders
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
     clicks = events.select("event_id", "ts", "user_id", F.when(F.col("value") >= 5, F.col("event_type")).alias("item"))
     query = selection_stream(clicks).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -307,6 +382,7 @@ ALL = [
     map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
     circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
     tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, lookup_sites, known_sites, line_ordinal,
+    csv_layer, geojson_layer, boundary_layer, layer_files, feed_files, markdown_docs, hover_labels,
 ]
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 # They must be these for right results.
 SITES = [
     # ordinal, name, lat, lon, video, video_id, start_s, end_s
-    (0, "Elmhurst, Queens", 40.738536, -73.887267, "elmhurst_deployment.mp4", None, 44, 62),
-    (1, "Sutton Place, Manhattan", 40.758890, -73.958457, "sutton_place_deployment.mp4", None, 21, 43),
-    (2, "Herald Square, Manhattan", 40.748422, -73.988275, "herald_square_deployment.mp4", None, 63, 83),
-    (3, "Jackson Heights, Queens", 40.747379, -73.889690, "jackson_heights_deployment.mp4", None, 85, 100),
+    (0, "Elmhurst, Queens", 40.738536, -73.887267, "elmhurst_deployment.mp4", "o52MZ1AHyjA", 44, 62),
+    (1, "Sutton Place, Manhattan", 40.758890, -73.958457, "sutton_place_deployment.mp4", "o52MZ1AHyjA", 21, 43),
+    (2, "Herald Square, Manhattan", 40.748422, -73.988275, "herald_square_deployment.mp4", "o52MZ1AHyjA", 63, 83),
+    (3, "Jackson Heights, Queens", 40.747379, -73.889690, "jackson_heights_deployment.mp4", "o52MZ1AHyjA", 85, 100),
 ]
 SITE_SCHEMA = "ordinal int, name string, lat double, lon double, video string, video_id string, start_s int, end_s int"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,18 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False, srid: int
     return features.select("properties", G.geojson_to_geom(g["type"], g["coordinates"], srid).alias("geometry"))
 
 
+def read_layers(spark: SparkSession, paths: dict[str, str], lines: bool = False, srid: int = G.WGS84) -> dict[str, DataFrame | None]:
+    """A frame per layer; None for one that cannot be loaded, so that the others show."""
+
+    def load(path: str) -> DataFrame | None:
+        try:
+            return read_geojson(spark, path, lines, srid)
+        except AnalysisException:  # no such path, or none that can be read
+            return None
+
+    return {name: load(path) for name, path in paths.items()}
+
+
 def read_boundaries(spark: SparkSession, path: str, name: str = "BoroName", lines: bool = False) -> DataFrame:
     """``boundary_id, boro_name, attrs, geometry`` in the plane's coordinates."""
     rows = read_geojson(spark, path, lines)

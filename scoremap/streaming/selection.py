@@ -20,8 +20,7 @@ def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
     active, out = state.get[0] if state.exists else None, []
     for item in rows["item"]:
-        item = None if pd.isna(item) else item
-        active = step(active, item)
+        active = step(active, None if pd.isna(item) else item)
         out.append(active)
     state.update((active,))
     yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "item": rows["item"], "active": out})
@@ -31,6 +30,8 @@ def selection_stream(events: DataFrame) -> DataFrame:
     """``event_id, user_id, item, active`` of a stream ``event_id, ts, user_id, item``.
 
     Events are put in order of time and id within a micro-batch; rows that come in a
-    later one are applied then. State is one item per user, in the state store.
+    later one are applied then. State is one item per user, in the state store. A
+    user's events of one micro-batch are held together, so bound the micro-batch
+    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source).
     """
     return events.groupBy("user_id").applyInPandasWithState(_run, OUTPUT, "active string", "append", GroupStateTimeout.NoTimeout)
