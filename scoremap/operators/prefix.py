@@ -37,8 +37,8 @@ def running_counts(counts: DataFrame, key: str, value: str, n: str) -> DataFrame
     sliced = with_slices(counts, value)
     totals = sliced.groupBy(key, "_slice").agg(F.sum(n).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(key)).alias("_total"))
+    totals = totals.select(F.col(key).alias("_of_key"), F.col("_slice").alias("_of_slice"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(key)).alias("_total"))
     inside = Window.partitionBy(key, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    joined = placed.join(totals, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_s")))
-    return joined.withColumn("_below", F.col("_before") + F.col("_in")).drop("_key", "_s", "_slice", "_in", "_before")
+    joined = placed.join(totals, F.col(key).eqNullSafe(F.col("_of_key")) & (F.col("_slice") == F.col("_of_slice")))
+    return joined.withColumn("_below", F.col("_before") + F.col("_in")).drop("_of_key", "_of_slice", "_slice", "_in", "_before")
