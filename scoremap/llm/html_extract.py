@@ -1,12 +1,14 @@
 """Main text by wrapper induction over the pages of a host.
 
-One page per host lends its block structure as the seed. Every page of the host is
-aligned to the seed by simple tree matching (runs of like siblings count as one
+A few pages of a host, merged by partial tree alignment, lend their block structure as
+the seed. Every page of the host is aligned to the seed by simple tree matching (runs of like siblings count as one
 repeating node), and Spark counts over all distinct pages how often each text stands
-in each seed node. Texts that most pages share are template; the varying slots are content,
-inside and outside <article> and <main>, unless markup or the host-wide share of link
-text says that a slot is a menu, notice, advert, form or comment thread. Where these
-two elements hold most of a host's text, less link text makes a menu outside them.
+in each seed node, and how much of a node's text is links or stands under a boilerplate
+name. Texts that most pages share are template; of the varying slots those are content
+that the host's pages do not show to be a menu, notice, advert, form or comment thread.
+Where <article> and <main> hold most of a host's text, less link text makes a menu
+outside them. A page is cut by its wrapper; its own markup decides only on elements that
+the wrapper lacks, and on hidden ones.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,12 @@ LINK_SHARE = 0.6
 #: The same for slots that lie outside <article> and <main> on a host that has over
 #: half of its text in them.
 OUTSIDE_LINK_SHARE = 0.3
+#: A node is boilerplate by its name if so much of its text on the host stands there.
+NAMED_SHARE = 0.5
+#: Elements nested deeper become siblings, as in browsers (whose limit is 512).
+MAX_DEPTH = 200
+#: Pages of a host that its seed is merged from, and nodes beyond which it is not grown.
+SEED_PAGES, SEED_NODES = 8, 5000
 #: Beyond this many pairs of children, siblings align in halves, in linear space.
 DP_CELLS = 250_000
 
@@ -43,7 +52,11 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes svg mat
 DROPPED = frozenset("head nav aside footer form menu dialog noscript template select button canvas object video audio fieldset".split())
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+#: Containers whose label says nothing.
+BARE = frozenset("div section td center".split())
 SCOPE = frozenset("ul ol dl table article section div body html blockquote main".split())
+
+
 def _words(names: str) -> re.Pattern:
     return re.compile(rf"(?:^|[\s_-])(?:{names})(?=$|[\s_-])")
 
@@ -66,21 +79,30 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0
 
 
 class Node:
-    """A block element; a leaf holds the text of one block and is labelled '#', and
-    is ``marked`` if it is in an <article> or <main> outside boilerplate."""
+    """A block element; a leaf holds the text of one block and is labelled '#'.
+
+    ``hidden`` elements never show, ``named`` ones have the tag or name of boilerplate,
+    ``suspect`` ones a name that may mean that. ``inside`` an <article> or <main>, or
+    ``dead`` (hidden or named), are passed on to all that an element holds."""
 
-    __slots__ = ("bad", "children", "label", "links", "marked", "seed", "suspect", "tag", "text")
+    __slots__ = ("children", "dead", "hidden", "inside", "label", "links", "named", "seed", "suspect", "tag", "text")
 
-    def __init__(self, tag: str, label: str, bad: bool = False, text: str = "", links: int = 0):
-        self.tag, self.label, self.bad, self.text, self.links = tag, label, bad, text, links
+    def __init__(self, tag: str, label: str, parent: Node | None = None, hidden: bool = False, named: bool = False, suspect: bool = False, text: str = "", links: int = 0):
+        self.tag, self.label, self.hidden, self.named, self.suspect, self.text, self.links = tag, label, hidden, named, suspect, text, links
         self.children: list[Node] = []
-        self.marked = self.suspect = False
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.dead = hidden or named or parent is not None and parent.dead
         self.seed: int | None = None
 
+    @property
+    def marked(self) -> bool:
+        return self.inside and not self.dead
 
-def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, bool]:
-    """The class and id words of a start tag, whether it marks boilerplate, and
-    whether it may. ``inside``: the element is part of the content."""
+
+def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, bool, bool]:
+    """The class and id words of a start tag, whether the element is hidden or has a
+    role outside the text, whether it is named as boilerplate, and whether it may be.
+    ``inside``: the element is part of the content."""
     classes, ids, role, hidden = "", "", "", False
     for m in ATTR.finditer(rest):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -97,15 +119,16 @@ def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, b
     words = classes + ids
     named = tag not in ("html", "body", "article", "main") or "comment" in words
     sure = classes if inside or tag in HEADINGS else words
-    bad = hidden or bool(ROLES.search(role)) or named and bool(BOILER.search(sure))
+    bad = named and bool(BOILER.search(sure))
     doubt = classes if tag in HEADINGS else words
-    return " ".join(sorted(words.split())), bad, named and not bad and bool(SUSPECT.search(doubt) or BOILER.search(doubt))
+    return " ".join(sorted(words.split())), hidden or bool(ROLES.search(role)), bad, named and not bad and bool(SUSPECT.search(doubt) or BOILER.search(doubt))
 
 
 def parse(html: str | None) -> Node:
     """The tree of block elements with their text. Any input gives a tree."""
     root = Node("#root", "#root")
     stack, text, links, in_link, muted = [root], [], 0, 0, []
+    opened: Counter[str] = Counter()
     src = html or ""
 
     def flush() -> None:
@@ -113,15 +136,23 @@ def parse(html: str | None) -> Node:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                leaf = Node("#", "#", text=words, links=min(links, len(words)))
-                leaf.marked = any(x.tag in ("article", "main") for x in stack) and not any(x.bad for x in stack)
-                stack[-1].children.append(leaf)
+                leaf = Node("#", "#", stack[-1], text=words, links=min(links, len(words)))
+                hold(leaf)
             text.clear()
         links = 0
 
+    def hold(node: Node) -> None:
+        """Hang a node under the innermost open element, but not deeper than MAX_DEPTH;
+        beyond that it takes over what its element is."""
+        if len(stack) > MAX_DEPTH:
+            node.hidden, node.named = node.hidden or stack[-1].hidden, node.named or stack[-1].named
+        stack[min(len(stack), MAX_DEPTH) - 1].children.append(node)
+
     def close_to(depth: int) -> None:
         nonlocal in_link
         flush()
+        for x in stack[depth:]:
+            opened[x.tag] -= 1
         del stack[depth:]
         in_link = 0
         muted.clear()
@@ -154,7 +185,7 @@ def parse(html: str | None) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK or tag in DROPPED:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[depth].tag == tag:
                         close_to(depth)
                         break
@@ -179,7 +210,7 @@ def parse(html: str | None) -> Node:
             if muted:
                 if tag == muted[-1]:
                     muted.append(tag)
-            elif "=" in m[3] and _attributes(tag, m[3], True)[1]:
+            elif "=" in m[3] and any(_attributes(tag, m[3], True)[1:3]):
                 muted.append(tag)
             elif tag == "a":
                 in_link = 1
@@ -192,7 +223,7 @@ def parse(html: str | None) -> Node:
                     break
                 if stack[depth].tag in SCOPE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in CLOSES[tag]:
                     close_to(depth)
@@ -203,25 +234,33 @@ def parse(html: str | None) -> Node:
         flush()
         if tag == "hr":
             continue
-        inside = any(x.tag in ("article", "main") for x in stack)
-        words, bad, suspect = _attributes(tag, m[3], inside) if m[3] else ("", False, False)
-        bad = bad or tag in DROPPED or (tag == "header" and not inside)
-        node = Node(tag, f"{tag} {words}" if words else tag, bad)
-        node.suspect = suspect and not bad
-        stack[-1].children.append(node)
+        inside = stack[-1].inside
+        words, hidden, named, suspect = _attributes(tag, m[3], inside) if m[3] else ("", False, False, False)
+        named = named or tag in DROPPED or (tag == "header" and not inside)
+        node = Node(tag, f"{tag} {words}" if words else tag, stack[-1], hidden, named, suspect and not hidden and not named)
+        hold(node)
         stack.append(node)
+        opened[tag] += 1
     close_to(1)
     return root
 
 
+def _kind(node: Node) -> tuple:
+    """What makes neighbours repeat: the label, for bare containers also what they hold."""
+    return (node.label, *sorted({c.label for c in node.children})) if node.label in BARE else (node.label,)
+
+
 def runs(children: list[Node]) -> list[list[Node]]:
-    """Siblings in order, with a run of equal labels as one repeating node."""
+    """Siblings in order, with a run of like ones as one repeating node."""
     out: list[list[Node]] = []
+    last = None
     for c in children:
-        if out and out[-1][0].label == c.label:
+        kind = _kind(c)
+        if kind == last:
             out[-1].append(c)
         else:
             out.append([c])
+        last = kind
     return out
 
 
@@ -241,6 +280,33 @@ def numbered(tree: list, at: int = 0) -> tuple[list, int]:
     return [tree[0], kids, mine], at
 
 
+def grown(tree: list, page: Node) -> list:
+    """Partial tree alignment: the structure with what else the page has, in place."""
+    if tree[0] != page.label:
+        return tree
+    seed, _ = numbered(tree)
+    align([page], seed, {})
+
+    def plain(s: list) -> list:
+        return [s[0], [plain(k) for k in s[1]]]
+
+    def grow(members: list[Node], s: list) -> list:
+        first = next((m for m in members if m.children), members[0])
+        at = {k[2]: i for i, k in enumerate(s[1])}
+        out, j = [], 0
+        for r in runs(first.children):
+            i = at.get(r[0].seed, -1)
+            if i >= j:
+                out += [plain(k) for k in s[1][j:i]]
+                out.append(grow(r, s[1][i]))
+                j = i + 1
+            else:
+                out.append(skeleton(r))
+        return [s[0], out + [plain(k) for k in s[1][j:]]]
+
+    return grow([page], seed)
+
+
 def _weight(members: list[Node], seed: list, memo: dict) -> int:
     """Simple tree matching: the most node pairs that keep labels, parents and order."""
     if members[0].label != seed[0]:
@@ -314,13 +380,13 @@ def text_key(text: str) -> int:
 
 def watched(node: Node) -> Iterator[tuple[Node, int | None, int]]:
     """Text leaves in page order with the seed number of the nearest paired node, and
-    of the nearest suspect one that is paired (-1: none)."""
+    of the nearest paired one that is named or suspect (-1: none)."""
     stack = [(node, None, -1)]
     while stack:
         n, s, w = stack.pop()
         if n.seed is not None:
             s = n.seed
-            w = s if n.suspect else w
+            w = s if n.named or n.suspect else w
         if n.tag == "#":
             yield n, s, w
         stack += [(c, s, w) for c in reversed(n.children)]
@@ -335,14 +401,15 @@ def leaves(node: Node) -> Iterator[tuple[Node, int | None]]:
 def kept_blocks(root: Node, wrapper: dict) -> list[str]:
     """The texts of the content blocks. ``wrapper``: const (seed number -> keys of
     template texts), menus (seed numbers of link slots) and agreed (seed numbers of
-    suspect nodes that are boilerplate)."""
-    const, menus, agreed = wrapper.get("const", {}), set(wrapper.get("menus", ())), set(wrapper.get("agreed", ()))
-
+    nodes that the host's pages show to be boilerplate). Nodes that are not paired
+    with the seed go by their own names."""
+    const, dropped = wrapper.get("const", {}), {*wrapper.get("menus", ()), *wrapper.get("agreed", ())}
     out, stack = [], [(root, None)]
     while stack:
         n, s = stack.pop()
-        s = n.seed if n.seed is not None else s
-        if n.bad or n.seed in menus or n.suspect and n.seed in agreed:
+        if n.seed is not None:
+            s = n.seed
+        if n.hidden or (n.named if n.seed is None else n.seed in dropped):
             continue
         if n.tag == "#" and text_key(n.text) not in const.get(str(s), ()):
             out.append(n.text)
@@ -363,17 +430,26 @@ def _with_seed(root: Node, seed: str | None) -> Node:
 
 
 def seeds(pages: DataFrame) -> DataFrame:
-    """``host, seed``: the block structure of the page of smallest id of each host."""
+    """``host, seed``: the block structures of up to SEED_PAGES pages of each host, the
+    first of each class of row numbers, merged."""
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, htmls = (c.to_pylist() for c in batch.columns)
-            trees = [json.dumps(numbered(skeleton([parse(h)]))[0], separators=(",", ":")) for h in htmls]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.string())], names=["host", "seed"])
-
-    chosen = pages.where("html <> '' and host <> ''").groupBy("host").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "_rid")).alias("f")).select(F.col("f._rid").alias("_rid"))
+            trees = []
+            for some in batch.column(1).to_pylist():
+                tree = skeleton([parse(some[0]["html"])])
+                for x in some[1:]:
+                    if numbered(tree)[1] < SEED_NODES:
+                        tree = grown(tree, parse(x["html"]))
+                trees.append(json.dumps(numbered(tree)[0], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "seed"])
+
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "_rid")).alias("f")
+    chosen = pages.where("html <> '' and host <> ''").groupBy("host", F.pmod(F.xxhash64("_rid"), F.lit(SEED_PAGES)).alias("class")).agg(first).select(F.col("f._rid").alias("_rid"))
     chosen = materialize(chosen, "chosen")
-    return materialize(pages.join(small_side(chosen), "_rid", "left_semi").select("host", "html").mapInArrow(outline, "host string, seed string"), "seeds")
+    some = F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("no"), "id", "_rid", "html"))).alias("some")
+    few = pages.join(small_side(chosen), "_rid", "left_semi").groupBy("host").agg(some)
+    return materialize(few.mapInArrow(outline, "host string, seed string"), "seeds")
 
 
 def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -393,20 +469,21 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
                 seen: dict[tuple[int, int], list[int]] = {}
                 for n, s, w in watched(_with_seed(parse(html), seed)):
                     if s is not None:
-                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0, w])
+                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0, 0, w])
                         x[0] += len(n.text)
                         x[1] += n.links
                         x[2] += len(n.text) * n.marked
+                        x[3] += len(n.text) * n.dead
                 rows += [(host, page, s, k, 1, *x) for (s, k), x in seen.items()]
-                rows.append((host, page, -1, 0, 1, 0, 0, 0, -1))  # the page itself
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked", "suspect"])
+                rows.append((host, page, -1, 0, 1, 0, 0, 0, 0, -1))  # the page itself
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked", "dead", "doubted"])
 
-    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long, suspect long")
-    sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked")]
+    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long, dead long, doubted long")
+    sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked", "dead")]
     # copies of a page in other tasks show the same rows
-    texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums, F.max("suspect").alias("suspect")), "texts")
+    texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums, F.max("doubted").alias("doubted")), "texts")
     total = texts.where("node = -1").select("host", F.col("n").alias("pages"))
     slots = texts.where("node >= 0").groupBy("host", "node").agg(*sums)
     marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"))
@@ -416,9 +493,10 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
     often = texts.where(f"node >= 0 and n >= {MIN_PAGES}").join(total, "host").where(F.col("n") > MIN_SHARE * F.col("pages"))
     const = often.groupBy("host", "node").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "keys"))).alias("const"))
     template = (F.col("n") >= MIN_PAGES) & (F.col("n") > MIN_SHARE * F.col("pages"))
-    doubted = texts.where("suspect >= 0").join(total, "host").groupBy("host", "suspect")
-    doubted = doubted.agg(F.sum("chars").alias("chars"), F.sum(F.when(template, F.col("chars")).otherwise(F.col("links"))).alias("poor"))
-    agreed = doubted.where(F.col("poor") > AGREED_SHARE * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("suspect")).alias("agreed"))
+    # a node whose name says boilerplate, or may: the text under it decides
+    poor = F.when(template, F.col("chars")).otherwise(F.col("links"))
+    doubted = texts.where("doubted >= 0").join(total, "host").groupBy("host", "doubted").agg(F.sum("chars").alias("chars"), F.sum(poor).alias("poor"), F.sum("dead").alias("dead"))
+    agreed = doubted.where((F.col("dead") > NAMED_SHARE * F.col("chars")) | (F.col("poor") > AGREED_SHARE * F.col("chars"))).groupBy("host").agg(F.sort_array(F.collect_list("doubted")).alias("agreed"))
     both = found.join(menus, "host", "left").join(const, "host", "left").join(agreed, "host", "left")
     return materialize(both.select("host", "seed", F.to_json(F.struct("menus", "const", "agreed")).alias("wrapper")), "wrappers")
 
@@ -426,9 +504,11 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, text``, one row per page.
 
-    Null and empty html give an empty text; pages of a null or odd url share
-    nothing, so they have no wrapper. Hosts with few pages have no template texts, and
-    there, as without a wrapper, markup alone decides. Cut-off pages keep the text that they have. Pages must come from files.
+    Null and empty html give an empty text, an empty table gives no rows; pages of a
+    null or odd url share nothing, so they have no wrapper. Repeated rows get equal
+    texts and count once. On hosts of under MIN_PAGES distinct pages no text is
+    template. Pages of any length and depth are read whole, and cut-off ones keep the
+    text that they have. Other columns are ignored.
     """
     base = row_id(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", _host(F.col("url")))
     wrappers = induce(base.select("host", "html"), seeds(base.select("_rid", "host", "id", "html")))

@@ -224,6 +224,40 @@ def test_titles_as_ids_are_content(spark):
     assert extracted(spark, ["<article>" + body.format(i=0) + "</article>"]) == {0: want.format(i=0)}
 
 
+def test_deep_long_and_odd_pages(spark):
+    deep = "<div>" * 50000 + "<p>at the bottom</p>" + "<div class=ad>buy</div>" + "</div>" * 50000
+    pages = [deep, "<ul>" + "<li>x" * 20000 + "</ul>", "</div>" * 9000 + "<p>after stray ends", "<article>" + "<div class=ad><div>" * 400 + "buy" + "</div></div>" * 400 + "<p>kept</p></article>"]
+    assert extracted(spark, pages) == {0: "at the bottom", 1: "\n".join(["x"] * 20000), 2: "after stray ends", 3: "kept"}
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string, host string, _rid int")
+    assert html_extract.extract(none).isEmpty()
+    rows = [(1, "https://h/", "<p>one <p>two", "x", "y", 3)] * 3 + [(None, None, None, None, None, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, none.schema)).collect()
+    assert sorted(str(r["text"]) for r in got) == ["", "one\ntwo", "one\ntwo", "one\ntwo"]
+
+
+def test_wrapper_decides(spark):
+    """Without its wrapper a host's pages come out otherwise: boilerplate without a
+    telling name is known by what the host's pages share."""
+    page = "<div><p>Big Site, since 1999<p>Your daily read</div><div><h1>Title {i}</h1><p>Body {i} with <a href=x>a link</a> in its midst</div><div><a href=/{i}>More on {i}</a> <a href=/b{i}>Rest of {i}</a></div>"
+    pages = [page.format(i=i) for i in range(8)]
+    assert extracted(spark, pages) == {i: f"Title {i}\nBody {i} with a link in its midst" for i in range(8)}
+    bare = html_extract.kept_blocks(html_extract.parse(pages[3]), {})
+    assert bare == ["Big Site, since 1999", "Your daily read", "Title 3", "Body 3 with a link in its midst", "More on 3 Rest of 3"]
+    # a name alone does not cut a slot that the wrapper knows as content
+    tree = html_extract.parse("<body><div class=footer><p>text</p></div>")
+    seed, _ = html_extract.numbered(html_extract.skeleton([html_extract.parse("<body><div class=footer><p>other</p></div>")]))
+    assert html_extract.kept_blocks(tree, {}) == []
+    html_extract.align([tree], seed, {})
+    assert html_extract.kept_blocks(tree, {}) == ["text"] and html_extract.kept_blocks(tree, {"agreed": [2]}) == []
+
+
+def test_seed_grows_over_pages():
+    one, two = "<body><div class=a><p>x</div><div class=c>y</div>", "<body><div class=a><p>x</div><div class=b><ul><li>z</ul></div><div class=c>y</div><div class=d>w</div>"
+    tree = html_extract.grown(html_extract.skeleton([html_extract.parse(one)]), html_extract.parse(two))
+    assert tree == html_extract.skeleton([html_extract.parse(two)])
+    assert html_extract.grown(tree, html_extract.parse(one)) == tree
+
+
 def test_tree_matching_pairs_like_nodes():
     tree = html_extract.parse("<body><div class=a><p>x</div><div class=b><p>y</div></body>")
     seed, _ = html_extract.numbered(html_extract.skeleton([tree]))
