@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ READ_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 0
-RECORD = "record_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, origin string, start long"
+RECORD = "record_id string, uri string, record_type string, refers_to string, payload_digest string, digest_ok boolean, payload_bytes long, payload binary, http_status int, origin string, start long"
 
 
 def digest(payload: bytes) -> str:
@@ -88,10 +89,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 class _Window:
-    """Bytes of a file from ``start`` on, read in blocks and forgotten on the way."""
+    """Bytes of a file from ``start`` on, read in blocks and forgotten on the way.
+    ``data[at - base]`` is the byte at ``at`` of the file."""
 
     def __init__(self, file, start: int):
-        self.file, self.base, self.data = file, start, b""
+        self.file, self.base, self.data = file, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -100,7 +102,10 @@ class _Window:
         return bool(block)
 
     def drop(self, upto: int) -> None:
-        self.data, self.base = self.data[upto - self.base :], upto
+        """Forget what lies before ``upto``, some blocks at a time."""
+        if upto - self.base >= 4 * READ_BYTES:
+            del self.data[: upto - self.base]
+            self.base = upto
 
 
 def _inflate(w: _Window, at: int) -> tuple[bytes, int] | None:
@@ -109,7 +114,7 @@ def _inflate(w: _Window, at: int) -> tuple[bytes, int] | None:
     while not unpack.eof:
         if pos - w.base >= len(w.data) and not w.more():
             return None
-        block = w.data[pos - w.base : pos - w.base + (1 << 16)]
+        block = bytes(w.data[pos - w.base : pos - w.base + (1 << 16)])
         try:
             got = unpack.decompress(block)
         except zlib.error:
@@ -117,29 +122,73 @@ def _inflate(w: _Window, at: int) -> tuple[bytes, int] | None:
         pos += len(block) - len(unpack.unused_data)
         parts.append(got)
         size += len(got)
-        if not known and size >= 8:
-            if not b"".join(parts)[:8].startswith(b"WARC/1."):
+        if not known and size >= 7:
+            if not b"".join(parts)[:7].startswith(b"WARC/1."):
                 return None
             known = True
     return (b"".join(parts), pos) if known else None
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """The named fields behind the first line, continued lines joined."""
+    text = head.decode("utf-8", "replace").replace("\r\n", "\n")
+    lines = re.sub(r"\n[ \t]+", " ", text).split("\n")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A body sent in chunks, put together; as it is where it breaks off."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out else body
+
+
+def _sha1(value: str | None) -> str | None:
+    """The base32 SHA-1 that a digest header names, be it in base32 or hex."""
+    kind, _, text = (value or "").rpartition(":")
+    if kind.lower() not in ("", "sha1") or not text:
+        return None
+    return base64.b32encode(bytes.fromhex(text)).decode() if re.fullmatch(r"[0-9a-fA-F]{40}", text) else text.upper()
+
+
 def parse(raw: bytes) -> dict | None:
-    """The fields of RECORD that an inflated member holds; None if malformed."""
+    """The fields of RECORD that an inflated member holds; None if it is no record.
+
+    The payload of an HTTP response is its body; other records have their block as
+    payload. The digest is computed if the header has none; ``digest_ok`` says
+    whether header and payload agree, as sent or with chunks put together (null if
+    the header has none, or for a revisit, which has no payload)."""
     head, found, body = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    h = _fields(head)
     if not found or not h.get("content-length", "").isdigit():
         return None
     n = int(h["content-length"])
-    payload = body[:n]
+    payload, status = body[:n], None
     if len(payload) < n:
         return None
-    urn = lambda x: x.removeprefix("<urn:row:").removesuffix(">") if x is not None else None
-    out = {"record_id": urn(h.get("warc-record-id")), "uri": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "refers_to": urn(h.get("warc-refers-to")), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "payload": payload}
-    if out["record_type"] == "response" and digest(payload) != out["payload_digest"]:
-        return None
-    return out | {"payload_bytes": int(h.get("x-payload-length", n))}
+    kind, said = h.get("warc-type"), _sha1(h.get("warc-payload-digest"))
+    sent = payload
+    if h.get("content-type", "").lower().startswith("application/http") and kind in ("response", "revisit"):
+        first, _, sent = payload.partition(b"\r\n\r\n")
+        got = re.match(rb"HTTP/[\d.]+ (\d{3})", first)
+        status = int(got[1]) if got else None
+        payload = _unchunked(sent) if "chunked" in _fields(first).get("transfer-encoding", "").lower() else sent
+    own = digest(payload)
+    ok = None if said is None or kind == "revisit" else said in (own, digest(sent))
+    urn = lambda x: x.removeprefix("<").removesuffix(">").removeprefix("urn:row:") if x is not None else None
+    full = h.get("x-payload-length", "")
+    return {
+        "record_id": urn(h.get("warc-record-id")), "uri": h.get("warc-target-uri"), "record_type": kind, "refers_to": urn(h.get("warc-refers-to")), "payload_digest": said or own, "digest_ok": ok,
+        "payload": payload, "payload_bytes": int(full) if full.isdigit() else len(payload), "http_status": status,
+    }
 
 
 def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
@@ -163,13 +212,17 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """RECORD rows of the archives of a ``path, bytes`` manifest. An empty manifest
-    gives no rows; bytes that are no WARC record are skipped. ``payload_bytes`` is
-    the full payload's length for revisits too."""
+    """RECORD rows of the archives of a ``path, bytes`` manifest, in any order.
+
+    An empty manifest gives no rows, archives that stand there twice give their
+    records twice, and bytes that are no WARC record are skipped. Any record type is
+    returned, whatever its digest says (``digest_ok``). Records are held whole, one at
+    a time, so a payload has to fit in a task. ``payload_bytes`` is the full payload's
+    length for revisits that this module wrote too."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64()]
+        kinds = [pa.string()] * 5 + [pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
         give = lambda rows: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -197,21 +250,30 @@ def plan_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: in
     """``_rid, refers_to`` of the rows that revisit another: equal payloads (SHA-256
     and length), at least ``min_bytes`` long; the smallest id is the response, null
     ids come last, and of rows that share an id only one is the response."""
-    sized = row_id(pages).select("_rid", F.col(id_col).alias("_id"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("_p")).select("_rid", "_id", F.sha2("_p", 256).alias("h"), F.octet_length("_p").alias("n")).where(F.col("n") >= min_bytes)
+    slim = row_id(pages.select(F.col(id_col).alias("_id"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("_p")))
+    sized = slim.select("_rid", "_id", F.sha2("_p", 256).alias("h"), F.octet_length("_p").alias("n")).where(F.col("n") >= min_bytes)
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
     sized = materialize(sized, "digests")
-    groups = sized.groupBy("h", "n").agg(F.count("*").alias("k"), first.alias("f")).where("k > 1").select("h", "n", "f")
-    return sized.join(groups, ["h", "n"]).where(F.col("_rid") != F.col("f.rid")).select("_rid", F.col("f.id").cast("string").alias("refers_to"), F.lit(True).alias("_again"))
+    groups = sized.groupBy("h", "n").agg(F.count("*").alias("k"), first.alias("f")).where("k > 1").select("h", "n", F.col("f.id").alias("first"), F.col("f.rid").alias("first_rid"))
+    # written first, so that Spark can split the rows of a large group in the join
+    groups = materialize(groups, "groups")
+    return sized.join(small_side(groups), ["h", "n"]).where(F.col("_rid") != F.col("first_rid")).select("_rid", F.col("first").cast("string").alias("refers_to"), F.lit(True).alias("_again"))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write every row as a record and return the manifest. Null html is an empty
-    payload, a null url an empty header, other columns are left out."""
+    """Write every row as a record and return the manifest.
+
+    Null html is an empty payload, a null url an empty header, a null id an empty
+    record id; other columns are left out whatever their names. Equal payloads, empty
+    ones included, are written once; rows that are equal in all columns are a response
+    and its revisits. Payloads of any length are written whole. An empty table gives
+    an empty manifest."""
     again = materialize(plan_revisits(pages, id_col, html_col, min_bytes), "revisits")
-    rows = row_id(pages).join(small_side(again), "_rid", "left").select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("record_id"),
-        F.col(url_col).alias("uri"),
-        F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload"),
+    slim = row_id(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_p")))
+    rows = slim.join(small_side(again), "_rid", "left").select(
+        F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("record_id"),
+        F.col("_url").alias("uri"),
+        F.coalesce(F.encode(F.col("_p"), "UTF-8"), F.lit(b"")).alias("payload"),
         F.when(F.col("_again"), F.coalesce("refers_to", F.lit(""))).alias("refers_to"),
     )
     return write_archives(rows, f"{shared_dir(pages.sparkSession)}/warc")
