@@ -234,7 +234,7 @@ def _count(fold_of):
 
 def _predict(model_of):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = model_of.value
+        models = Models(**model_of.value)
         for batch in batches:
             lang, score, bits, least = [], [], [], []
             for block in _blocks(iter(batch.column(batch.num_columns - 1).to_pylist())):
@@ -303,7 +303,8 @@ class LanguageId:
 
     def _apply(self, rows: DataFrame) -> DataFrame:
         """``rows`` with its last column, the text, replaced by the results."""
-        shared = rows.sparkSession.sparkContext.broadcast(self.models)
+        # plain values: a class of this module could not be read where it is not installed
+        shared = rows.sparkSession.sparkContext.broadcast(vars(self.models))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
         return rows.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double, bits_per_char double, bits_at_least double")
 
