@@ -9,15 +9,31 @@ when their lists are, so after the one pass over chunks only the short lists mov
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoremap.llm.common import materialize, row_id, small_side, without_rows
 
-#: A chunk ends behind vowel, consonant, space, a-m, n-z (about one place in two
-#: thousand of Latin text), at 64 code points at least and 4096 at most.
-CHUNK = r"(?s).{64,4096}?[aeiou][b-df-hj-np-tv-z] [a-m][n-z]|.{1,4096}"
+
+def _half(i: int, low: int, high: int) -> str:
+    """A class of about half of the bytes from low to high - 1, by their CRC-32."""
+    return "[" + "".join(f"\\x{b:02x}" for b in range(low, high) if zlib.crc32(b"%d/%d" % (i, b)) >> 7 & 1) + "]"
+
+
+def chunk_pattern(letters: int = 10, wide: int = 8) -> str:
+    """Chunks of UTF-8 bytes, written as Latin-1. One ends where each of the last
+    ``letters`` bytes, or the last byte of each of the last ``wide`` letters of more
+    than one byte, is in the half of all bytes that is set for its place (about one
+    place in a thousand, in any script), at 64 bytes at least and 4096 at most."""
+    narrow = "".join(_half(i, 0, 256) for i in range(letters))
+    other = "".join(rf"[\xc2-\xf4][\x80-\xbf]{{0,2}}{_half(i, 128, 192)} ?" for i in range(wide))
+    return f"(?s).{{64,4096}}?(?:{narrow}|{other})|.{{1,4096}}"
+
+
+CHUNK = chunk_pattern()
 #: Any run of ASCII white space but a single space.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -28,7 +44,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """The chunks of a text in order, each a string of its bytes as Latin-1."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0))
 
 
 def identifier(chunk: Column, bits: int = 64) -> Column:
@@ -64,13 +81,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         lists = recipes.join(_ranks(base, doubtful, bits), "text_sha256", "left").withColumn("ranks", F.coalesce("ranks", ranks))
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
-    groups = lists.groupBy("recipe", "ranks").agg(F.count("*").alias("group_size"), first.alias("f"))
-    return lists.join(groups, ["recipe", "ranks"]).select(
+    groups = lists.groupBy("recipe", "ranks").agg(F.count("*").alias("group_size"), first.alias("f")).where("group_size > 1")
+    # written first, so that Spark can split the rows of a large group in the join
+    groups = materialize(groups.select("recipe", "ranks", "group_size", F.col("f.id").alias("keep_id"), F.col("f.rid").alias("keep_rid")), "groups")
+    alone = F.col("group_size").isNull()
+    return lists.join(groups, ["recipe", "ranks"], "left").select(
         "_rid",
         F.col("_id").alias(id_col),
-        F.col("f.id").alias("keep_id"),
-        "group_size",
-        (F.col("f.rid") == F.col("_rid")).alias("kept"),
+        F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("keep_rid") == F.col("_rid"))).alias("kept"),
         "text_sha256",
     )
 
