@@ -1,11 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
-Within ``limit`` edits of each other, two lines share at least one of ``limit`` + 1
-segments of the shorter one exactly. So each line is indexed by its segments under
-its length, and probes, for every length that may match, the substrings that can
-align with a segment there (the multi-match-aware choice of starts). Only lines
-that meet under a key are fetched; pairs whose letter counts differ too much drop
-out in the join, and a banded bit-parallel automaton decides on the others.
+Within n edits of each other, two lines share at least one of n + 1 segments of the
+shorter one exactly. So each line is indexed by its segments under its length, and
+probes, for every length that may match, the substrings that can align with a segment
+there (the multi-match-aware choice of starts). Only lines that meet under a key are
+fetched; pairs whose letter counts differ too much drop out in the join, and a banded
+bit-parallel automaton decides on the others. How many edits count grows with the
+length of the shorter line, so that short lines do not chain up with everything.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from scoremap.llm.components import components
 from scoremap.llm.shingles import mix, powers
 
 #: Most edits (insertions, deletions, substitutions of code points) between two
-#: linked lines.
-LIMIT = 2
-#: Lines shorter than this many code points match exact copies only.
-MIN_LINE = 16
+#: linked lines, and code points of the shorter line for each of them.
+LIMIT, PER_EDIT = 2, 8
 BLOCK = 1 << 20
 _BASE = 0xD1342543DE82EF95
 
 
+def allowed(length, limit: int = LIMIT):
+    """The edits that a line of this length may be away from one that is as long or
+    longer: one for each PER_EDIT code points, ``limit`` at most."""
+    return np.minimum(length // PER_EDIT, limit)
+
+
 def line_key(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -50,16 +55,17 @@ def _segments(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.nd
 def probes(lengths: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """(which lines, start, size, salt, indexed) of every key of lines of these
     lengths. The salt tells length and segment apart."""
-    parts = limit + 1
-    for delta in range(limit + 1):
-        target = lengths - delta
-        for i in range(parts):
-            start, size = _segments(target, i, parts)
-            low, high = max(-i, delta - (limit - i)), min(i, delta + (limit - i))
-            for shift in range(low, high + 1):
-                s = start + shift
-                ok = np.flatnonzero((target >= parts) & (s >= 0) & (s + size <= lengths))
-                yield ok, s[ok], size[ok], (target[ok] * 64 + i).astype(np.uint64), delta == 0 and shift == 0
+    for edits in range(1, limit + 1):  # of targets of so many edits
+        for delta in range(edits + 1):
+            target = lengths - delta
+            fits = allowed(target, limit) == edits
+            for i in range(edits + 1):
+                start, size = _segments(target, i, edits + 1)
+                low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
+                for shift in range(low, high + 1):
+                    s = start + shift
+                    ok = np.flatnonzero(fits & (s >= 0) & (s + size <= lengths))
+                    yield ok, s[ok], size[ok], (target[ok] * 64 + i).astype(np.uint64), delta == 0 and shift == 0
 
 
 def keys_of(lines: list[str], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,12 +129,13 @@ def within(a: str, b: str, limit: int) -> bool:
 
 
 def _blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
-    """Distinct lines of a task, about BLOCK code points at a time."""
-    seen: set[int] = set()
+    """Distinct lines of a task that may have neighbours, about BLOCK code points at
+    a time."""
+    seen: set[bytes] = set()
     block, size = [], 0
     for t in texts:
         for line in (t or "").split("\n"):
-            if len(line) >= MIN_LINE and (h := hash(line)) not in seen:
+            if len(line) >= PER_EDIT and (h := xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))) not in seen:
                 seen.add(h)
                 block.append(line)
                 size += len(line)
@@ -179,7 +186,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def edit_links(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``a, b``: the keys of distinct lines (``a < b``) within ``limit`` edits."""
+    """``a, b``: the keys of distinct lines (``a < b``) within the edits that the
+    shorter one allows, ``limit`` at most."""
     keys = materialize(docs.select("_text").mapInArrow(_emit(limit), "key long, line long, indexed boolean"), "keys")
     # keys under which an indexed line meets another one
     met = keys.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("indexed").alias("any")).where("any and lo < hi").select("key")
@@ -197,7 +205,7 @@ def edit_links(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, s, t = (c.to_pylist() for c in batch.columns)
-            near = [k for k in range(len(a)) if within(s[k], t[k], limit)]
+            near = [k for k in range(len(a)) if within(s[k], t[k], int(allowed(min(len(s[k]), len(t[k])), limit)))]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], names=["a", "b"])
 
     left = text.select(F.col("key").alias("a"), F.col("line").alias("s"))
@@ -209,12 +217,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per line of every row: ``_rid, <id_col>, line_no, class_doc, class_line,
     n_copies, n_links, kept``.
 
-    Lines end at ``\\n``; a null or empty text is one empty line. Lines are linked
-    within ``limit`` edits, if both have MIN_LINE code points; a class is what exact
-    copies and links connect, named by its first line (smallest id, null ids last,
-    then line number), which alone is kept. ``n_copies`` counts exact copies of the
-    line, itself included, ``n_links`` the other distinct lines linked to it. Rows
-    must come from files.
+    Lines end at ``\\n``; a null or empty text is one empty line, an empty table gives
+    no rows, lines of any length are read whole and other columns are ignored. Lines
+    are linked within one edit for each PER_EDIT code points of the shorter one,
+    ``limit`` at most (so lines of under PER_EDIT code points equal exact copies only);
+    a class is what exact copies and links connect, named by its first line (smallest
+    id, null ids last, then line number; of repeated rows one), which alone is kept.
+    ``n_copies`` counts exact copies of the line, itself included, ``n_links`` the
+    other distinct lines linked to it.
     """
     base = row_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     links = edit_links(base, limit)
