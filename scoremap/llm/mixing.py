@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoremap.llm.common import free_name, materialize, row_id, small_side
+from scoremap.operators.prefix import running_counts
 
 WAYS, ROUNDS = 64, 4
 #: Where the target entropy lies between the natural mixture's (0) and the uniform (1).
@@ -78,8 +79,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``n_copies`` is how often the row stands in the mixture (0: not at all). The
     budget defaults to the tokens there are. Null is a source of its own; rows of a
-    source without tokens cost nothing and stand once, with weight 0. Rows with the
-    same id are in one block and may differ by one copy. Rows must come from files.
+    source without tokens (null and empty texts) cost nothing and stand once, with
+    weight 0. Rows with the same id are in one block and may differ by one copy. Texts
+    of any length count whole, an empty table gives no rows, and other columns are
+    ignored.
     """
     base = materialize(
         row_id(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))).select(
@@ -99,10 +102,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "plan",
     )
     placed = base.join(small_side(plan), "_s", "left").withColumn("_block", F.pmod("_h", "blocks"))
-    # every block of a source in shuffled order, with the tokens before it
-    order = Window.partitionBy("_s").orderBy(shuffled(F.concat_ws("/", "_s", "_block"), seed), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # every block of a source in shuffled order, with the tokens before it; slices of the
+    # order are summed first, as a large source has too many blocks for one task
     blocks = placed.where("blocks is not null").groupBy("_s", "_block").agg(F.sum("n_tokens").alias("size"), F.first("part").alias("part"))
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    blocks = materialize(blocks.withColumn("_place", shuffled(F.concat_ws("/", "_s", "_block"), seed)), "sizes")
+    blocks = running_counts(blocks, "_s", "_place", "size").withColumnRenamed("_below", "before")
     blocks = materialize(
         blocks.where("before < part").select("_s", "_block", (F.col("before") + F.col("size") <= F.col("part")).alias("_whole"), (F.col("part") - F.col("before")).alias("_left")), "blocks"
     )
