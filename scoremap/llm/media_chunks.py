@@ -124,10 +124,14 @@ def _cut_batch(payloads: list[bytes], gear: np.ndarray) -> Iterator[list[bytes]]
 def store(rows: DataFrame, key_cols: list[str], text_col: str = "text", make: Callable = wav) -> MediaStore:
     """Store ``make(text)`` of every row, each distinct chunk once.
 
-    Null and empty texts become one frame of fill; equal texts share everything;
-    an empty table gives an empty store. ``rows`` must come from files.
+    Null and empty texts become one frame of fill; equal texts, and repeated rows,
+    share everything; an empty table gives an empty store. A text of any length is
+    stored whole, and is in memory as a whole where it is cut. Columns other than
+    ``key_cols`` are ignored whatever their names.
     """
     gear = gear_table()
+    if clash := {c.lower() for c in key_cols} & {"_rid", "_text", "n_bytes", "payload_id", "digests"}:
+        raise ValueError(f"rename the key columns {sorted(clash)}: the store has columns of these names")
     slim = row_id(rows.select(*key_cols, F.col(text_col).alias("_text"))).select("_rid", *key_cols, "_text")
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +147,19 @@ def store(rows: DataFrame, key_cols: list[str], text_col: str = "text", make: Ca
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     index = materialize(slim.mapInArrow(note, f"{fields}, n_bytes long, payload_id binary, digests array<binary>"), "index")
     # light rows from here on: digests, row numbers and places
-    groups = index.groupBy("payload_id").agg(F.min("_rid").alias("rep"))
-    marked = index.join(groups, "payload_id").select("_rid", (F.col("rep") == F.col("_rid")).alias("rep"), "digests")
-    marked = materialize(marked, "marked")
-    placed = marked.where("rep").select("_rid", F.posexplode("digests").alias("pos", "digest"))
+    ids = index.select("_rid", "payload_id")
+    groups = ids.groupBy("payload_id").agg(F.min("_rid").alias("rep"), F.count("*").alias("n")).where("n > 1").select("payload_id", "rep")
+    # rows with an earlier copy; digest lists stay where they are
+    groups = materialize(groups, "groups")
+    copies = materialize(ids.join(small_side(groups), "payload_id").where("_rid <> rep").select("_rid"), "copies")
+    placed = index.select("_rid", "digests").join(small_side(copies), "_rid", "left_anti").select("_rid", F.posexplode("digests").alias("pos", "digest"))
     owners = placed.groupBy("digest").agg(F.min(F.struct("_rid", "pos")).alias("o"))
     loans = materialize(
         placed.join(owners, "digest").where((F.col("o._rid") != F.col("_rid")) | (F.col("o.pos") != F.col("pos"))).select(F.col("o._rid").alias("owner"), F.col("o.pos").alias("pos"), F.col("_rid").alias("to"), F.col("pos").alias("at")),
         "loans",
     )
     skip = materialize(
-        marked.where(~F.col("rep")).select("_rid", F.lit(None).cast("array<int>").alias("skip")).unionByName(loans.groupBy(F.col("to").alias("_rid")).agg(F.collect_list("at").alias("skip"))).withColumn("_known", F.lit(True)),
+        copies.select("_rid", F.lit(None).cast("array<int>").alias("skip")).unionByName(loans.groupBy(F.col("to").alias("_rid")).agg(F.collect_list("at").alias("skip"))).withColumn("_known", F.lit(True)),
         "skip",
     )
 
