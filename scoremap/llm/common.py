@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,12 +72,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of materialised frames that nothing reads any more."""
+def discard(*frames: DataFrame, collect: bool = False) -> None:
+    """Delete the files of materialised frames that nothing reads any more. With
+    ``collect``, also let Spark's cleaner find the shuffle files of finished steps: it
+    removes those only after the driver has collected its garbage."""
     for df in frames:
         jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
         path = jvm.org.apache.hadoop.fs.Path(df._materialized_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if collect:
+        gc.collect()
+        jvm.System.gc()
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
