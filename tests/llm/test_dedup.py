@@ -105,6 +105,23 @@ def test_near_equals_brute_force(spark):
     assert all(r["class_size"] == want.count(want[k]) for k, r in got.items())
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(13)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1000 + i) for i in range(1, 200)]
+    up = {v: v for p in links for v in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["v"]: r["c"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: root(v) for v in up}
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7)]
     got = {r["v"]: r["c"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -181,8 +198,10 @@ def brute_spans(rows, match):
     return out
 
 
-@pytest.mark.parametrize("many", [4096, 2])
-def test_suffix_equals_brute_force(spark, many):
+@pytest.mark.parametrize(("many", "large", "size"), [(4096, 1 << 21, 1 << 18), (4096, 0, 2000), (2, 1 << 21, 1)])
+def test_suffix_equals_brute_force(spark, monkeypatch, many, large, size):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", size)
     rng = random.Random(6)
     shared = [words(rng, 60) for _ in range(3)]
     rows = [(i, words(rng, rng.randint(0, 30)) + " " + rng.choice(shared)[rng.randint(0, 150) :] + words(rng, rng.randint(0, 30)) + "é" * rng.randint(0, 3)) for i in range(40)]
@@ -198,6 +217,39 @@ def test_suffix_equals_brute_force(spark, many):
         assert bytes(r["kept"]) == kept + raw[at:]
 
 
+def test_marks_come_from_the_index(spark, monkeypatch):
+    """Without the index nothing is removed, repeated texts included."""
+    rng = random.Random(8)
+    text = words(rng, 80)
+    rows = [(1, text), (2, text), (3, words(rng, 20) + text + words(rng, 20)), (4, words(rng, 90))]
+    full = {r["doc_id"]: sum(s["b"] - s["a"] for s in r["spans"]) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    assert full == {1: len(text), 2: len(text), 3: len(text), 4: 0}
+    monkeypatch.setattr(suffix_dedup.RunIndex, "longest", lambda self: np.zeros(len(self.t), np.int64))
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda pieces, match=200, copied=(): (np.zeros(sum(len(p) + 1 for p in pieces), bool), np.cumsum([0, *(len(p) + 1 for p in pieces)])[:-1]))
+    assert all(not r["spans"] for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())
+
+
+def test_first_letters_keep_the_order():
+    rng = random.Random(9)
+    for _ in range(200):
+        t = np.frombuffer(b"".join(bytes(rng.choice(b"abz") for _ in range(rng.randint(0, 20))) + b"\xff" for _ in range(4)), np.uint8)
+        room = suffix_dedup.to_separator(t)
+        key, have = suffix_dedup.first_letters(t, room)
+        cut = [bytes(t[i : i + min(have, room[i] + 1)]) for i in range(len(t))]
+        order = sorted(range(len(t)), key=lambda i: cut[i])
+        assert [cut[i] for i in order] == [cut[i] for i in np.argsort(key, kind="stable")]
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзийклмнопрстуфхцчшщ    ", "".join(map(chr, range(0x4E00, 0x5E00))), "0123456789", "".join(map(chr, range(0x905, 0x939))) + "    ", "abcdefghijklmnop  "])
+def test_chunks_follow_content_in_any_script(spark, letters):
+    rng = random.Random(10)
+    text = "".join(rng.choice(letters) for _ in range(30000))
+    got = spark.createDataFrame([(0, text), (1, "an insertion " + text)], "i int, t string").select("i", exact_dedup.chunks(F.col("t")).alias("c")).collect()
+    a, b = (next(r["c"] for r in got if r["i"] == i) for i in (0, 1))
+    assert "".join(a).encode("latin-1").decode() == text and len(a) > 15
+    assert sum(x in set(b) for x in a) > 0.8 * len(a)
+
+
 def test_run_index_equals_brute_force():
     rng = random.Random(7)
     for _ in range(300):

@@ -1,5 +1,6 @@
 import base64
 import collections
+import gzip
 import hashlib
 import io
 import math
@@ -168,6 +169,113 @@ def test_warc_ranges_and_revisits(spark):
     assert list(warc.records_in(io.BytesIO(b"\x1f\x8b\x08 no record" * 9), 0, 200)) == []
 
 
+def member(kind, block, **fields):
+    """A gzip member with one WARC record, written here by hand."""
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    raw = f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return gzip.compress(raw)
+
+
+def test_foreign_warc_records(spark, tmp_path):
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = b"HTTP/1.1 404 Not Found\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"<p>" + bytes(range(256)) + MAGIC_TEXT
+    kind = "application/http; msgtype=response"
+    records = [
+        member("warcinfo", b"software: none", WARC_Record_ID="<urn:uuid:0>", Content_Type="application/warc-fields"),
+        member("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:1>", Content_Type="application/http; msgtype=request"),
+        member("response", http + body, WARC_Record_ID="<urn:uuid:2>", Content_Type=kind, WARC_Payload_Digest=f"sha1:{sha(body)}", WARC_Target_URI="http://a/"),
+        member("response", http + body, WARC_Record_ID="<urn:uuid:3>", Content_Type=kind),
+        member("response", http + body, WARC_Record_ID="<urn:uuid:4>", Content_Type=kind, WARC_Payload_Digest=f"sha1:{hashlib.sha1(body).hexdigest()}"),
+        member("response", http + body, WARC_Record_ID="<urn:uuid:5>", Content_Type=kind, WARC_Payload_Digest=f"sha1:{sha(b'other')}"),
+        member("response", chunked + b"3\r\nabc\r\nA;x=y\r\n0123456789\r\n0\r\n\r\n", WARC_Record_ID="<urn:uuid:6>", Content_Type=kind, WARC_Payload_Digest=f"sha1:{sha(b'abc0123456789')}"),
+        member("revisit", http, WARC_Record_ID="<urn:uuid:7>", Content_Type=kind, WARC_Payload_Digest=f"sha1:{sha(body)}", WARC_Refers_To="<urn:uuid:2>"),
+    ]
+    noise = b"\x1f\x8b\x08 no member " + gzip.compress(b"no record")
+    (tmp_path / "f.warc.gz").write_bytes(noise + records[0] + noise + b"".join(records[1:]) + records[2][:-30])
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/f.warc.gz", (tmp_path / "f.warc.gz").stat().st_size)], "path string, bytes long")
+    for step in (61, 1 << 20):
+        got = {r["record_id"]: r for r in warc.read_archives(manifest, step).collect()}
+        assert sorted(got) == [f"urn:uuid:{i}" for i in range(8)]
+        assert [got[f"urn:uuid:{i}"]["digest_ok"] for i in range(8)] == [None, None, True, None, True, False, True, None]
+        assert [got[f"urn:uuid:{i}"]["http_status"] for i in range(8)] == [None, None, 200, 200, 200, 200, 404, 200]
+        assert all(bytes(got[f"urn:uuid:{i}"]["payload"]) == body for i in range(2, 6)) and bytes(got["urn:uuid:6"]["payload"]) == b"abc0123456789"
+        assert got["urn:uuid:3"]["payload_digest"] == sha(body) and got["urn:uuid:7"]["refers_to"] == "urn:uuid:2" and got["urn:uuid:2"]["uri"] == "http://a/"
+
+
+MAGIC_TEXT = b"\x1f\x8b\x08" * 5
+
+
+def plain_kneser_ney(texts, chars):
+    """p(character, three before it) by dictionaries, from the definition."""
+    top = collections.Counter()
+    for t in texts:
+        padded = ["pad"] * 3 + list(t)
+        for i in range(3, len(padded)):
+            top[tuple(padded[i - 3 : i + 1])] += 1
+    levels = {4: top}
+    for k in (3, 2, 1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    discount = {}
+    for k, c in levels.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (chars + 1)
+        mine = {g: v for g, v in levels[k].items() if g[:-1] == gram[:-1]}
+        total = sum(mine.values())
+        if not total:
+            return p(gram[1:])
+        return max(mine.get(gram, 0) - discount[k], 0) / total + discount[k] * len(mine) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_the_definition(spark):
+    rng = random.Random(12)
+    texts = {"aa": ["".join(rng.choice("abc ") for _ in range(40)).strip() for _ in range(6)], "bb": ["".join(rng.choice("bcde ") for _ in range(40)).strip() for _ in range(6)]}
+    texts = {k: [" ".join(t.split()) for t in v] for k, v in texts.items()}
+    rows = [(i, t, lang) for lang, v in texts.items() for i, t in enumerate(v)]
+    model = language_id.LanguageId.fit(spark.createDataFrame([(100 * (lang == "bb") + i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string"))
+    chars = len(set("".join(t for _, t, _ in rows)))
+    probe = ["abca bc", "dede cab", "xyz abc", "a"]
+    bits, sizes = language_id.entropies(model.models, probe)
+    assert sizes.tolist() == [len(t) for t in probe]
+    for j, lang in enumerate(model.models.langs):
+        p = plain_kneser_ney(texts[lang], chars)
+        for i, t in enumerate(probe):
+            padded = ["pad"] * 3 + list(t)
+            want = -sum(math.log2(p(tuple(padded[n - 3 : n + 1]))) for n in range(3, len(padded))) / len(t)
+            assert abs(bits[i, j] - want) < 1e-4
+
+
+def test_language_id_odd_rows(spark):
+    rows = [(i, "abcab cabac bacab", "aa") for i in range(30)] + [(50 + i, "fghfg hgfhf ghfgh", "bb") for i in range(30)] + [(1, "abcab", None), (1, "abcab", None), (None, "abc " * 50000, None)]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, _text string, fold string")
+    model = language_id.LanguageId.fit(frame)
+    got = model.predict(frame, ["doc_id", "fold"]).collect()
+    assert len(got) == len(rows) and {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 1 and r["lang_pred"] != "bb"} and all(r["fold"] == "y" for r in got)
+    assert [r["lang_pred"] for r in got if r["doc_id"] is None] == ["aa"]
+    same = [tuple(r) for r in got if r["doc_id"] == 1][1:]
+    assert same[0] == same[1]
+
+
+def test_bpe_clashing_names_and_repeats(spark, tokenizer):
+    frame = spark.createDataFrame([(1, "same text here", 7, "k")] * 3 + [(2, None, None, None)], "doc_id long, text string, ids int, _text string")
+    got = tokenizer.encode(frame, ["doc_id", "ids", "_text"]).collect()
+    assert [r.__fields__ for r in got][0] == ["doc_id", "ids", "_text", "_ids"]
+    assert sorted((r["doc_id"], r["ids"], r["_text"], len(r["_ids"])) for r in got if r["doc_id"] == 1) == [(1, 7, "k", 3)] * 3 and [r["_ids"] for r in got if r["doc_id"] == 2] == [[]]
+
+
+def test_media_key_names(spark):
+    with pytest.raises(ValueError, match="rename"):
+        media_chunks.store(docs(spark, [(1, "x")]).withColumnRenamed("ids", "n_bytes"), ["doc_id", "n_bytes"])
+
+
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><div id="cookie-notice">We use cookies</div><header><a href=/>Home</a></header>
 <div class="nav menu"><ul><li><a href=a>One {i}</a><li><a href=b>Two</a></ul></div><aside class=sidebar>Side {i}</aside>
 <{tag}><h1>Title {i}</h1><p>First &amp; <b>bold</b>
