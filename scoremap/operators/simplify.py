@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from scoremap.functions import geometry as G
 
 
-_ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
-
-
 def _crosses(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the segment pq properly crosses any of the segments ab."""
     side = lambda o, d, v: d[..., 0] * (v[..., 1] - o[..., 1]) - d[..., 1] * (v[..., 0] - o[..., 0])
@@ -68,18 +65,30 @@ def simplify_ring(ring: np.ndarray, tolerance: float, others: tuple[np.ndarray,
     return ring[keep] if keep.sum() >= 4 else ring
 
 
-def simplify_polys(polys, tolerance: float):
-    """The same for polygon -> ring -> vertex lists."""
-    rings = [[np.array([(v["x"], v["y"]) for v in ring], float) for ring in poly] for poly in polys]
-    out = []
-    for i, poly in enumerate(rings):
-        done = []
-        for j, ring in enumerate(poly):
-            rest = [r for a, p in enumerate(rings) for b, r in enumerate(p) if (a, b) != (i, j) and len(r) > 1]
-            others = (np.concatenate([r[:-1] for r in rest]), np.concatenate([r[1:] for r in rest])) if rest else (np.zeros((0, 2)),) * 2
-            done.append([{"x": float(x), "y": float(y)} for x, y in simplify_ring(ring, tolerance, others)])
-        out.append(done)
-    return out
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes)).astype(np.int32)
+
+
+def simplify_polys(polys: pa.Array, tolerance: float) -> pa.Array:
+    """The same for geometry -> polygon -> ring -> vertex lists, on one array of
+    coordinates; null stays null. Other rings of a geometry are not crossed."""
+    parts = polys.flatten()
+    rings = parts.flatten()
+    vertices = rings.flatten()
+    xy = np.column_stack([vertices.field("x").to_numpy(), vertices.field("y").to_numpy()]).reshape(-1, 2)
+    sizes = [x.value_lengths().fill_null(0).to_numpy() for x in (polys, parts, rings)]
+    of_part, of_ring, of_vertex = (_offsets(n) for n in sizes)
+    none, out = np.zeros((0, 2)), []
+    for first, last in zip(of_ring[of_part[:-1]].tolist(), of_ring[of_part[1:]].tolist(), strict=True):
+        mine = [xy[of_vertex[k] : of_vertex[k + 1]] for k in range(first, last)]
+        for i, ring in enumerate(mine):
+            rest = [r for j, r in enumerate(mine) if j != i and len(r) > 1]
+            others = (np.concatenate([r[:-1] for r in rest]), np.concatenate([r[1:] for r in rest])) if rest else (none, none)
+            out.append(simplify_ring(ring, tolerance, others))
+    flat = np.concatenate(out) if out else none
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+    lists = pa.ListArray.from_arrays(pa.array(_offsets(np.array([len(r) for r in out], np.int64))), points)
+    return pa.ListArray.from_arrays(pa.array(of_part), pa.ListArray.from_arrays(pa.array(of_ring), lists), mask=polys.is_null())
 
 
 def simplify(geometry: Column, tolerance: float) -> Column:
@@ -87,6 +96,6 @@ def simplify(geometry: Column, tolerance: float) -> Column:
 
     @F.arrow_udf(G.POLYS)
     def run(polys: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else simplify_polys(p, tolerance) for p in polys.to_pylist()], _ARROW)
+        return simplify_polys(polys, tolerance)
 
     return F.when(geometry.isNotNull(), G.geom(geometry["type"], geometry["srid"], run(geometry["polys"])))

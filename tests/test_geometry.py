@@ -81,8 +81,13 @@ def test_simplify_ring(points, tolerance):
 
 def test_simplify_column(spark):
     t = "POLYGON ((0 0, 5 0.1, 10 0, 10 10, 0 10, 0 0))"
-    rows = spark.createDataFrame([(t,), (None,)], "t string").select(simplify(G.wkt_to_geom(F.col("t")), 2.0).alias("g")).collect()
-    assert len(rows[0]["g"]["polys"][0][0]) == 5 and rows[1]["g"] is None
+    two = "MULTIPOLYGON (((0 0, 5 0.1, 10 0, 10 10, 0 10, 0 0), (1 1, 2 1, 2 2, 1 1)), ((20 0, 25 0, 30 0, 30 10, 20 0)))"
+    texts = [t, None, two, "POLYGON EMPTY", t]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    rows = {r["i"]: r["g"] for r in frame.select("i", simplify(G.wkt_to_geom(F.col("t")), 2.0).alias("g")).collect()}
+    assert len(rows[0]["polys"][0][0]) == 5 and rows[1] is None and rows[3]["polys"] == [] and rows[4] == rows[0]
+    assert [[len(ring) for ring in poly] for poly in rows[2]["polys"]] == [[5, 4], [4]]
+    assert [(v["x"], v["y"]) for v in rows[2]["polys"][0][0]] == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
 
 
 def test_pick_equals_brute_force(spark):
