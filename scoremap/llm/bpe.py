@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoremap.llm.common import shared_dir
+from scoremap.llm.common import free_name, shared_dir
 
-#: Buckets of the literal rank map, so that a look-up compares a few keys.
-BUCKETS = 1 << 14
+#: Buckets of the literal pair map, so that a look-up compares a few keys.
+BUCKETS = 1 << 15
 #: Code points of text after which a task begins its next block.
 BLOCK_CHARS = 32 << 20
 #: Words of more bytes than this are merged with a heap, in time n log n; the fold
 #: takes time n * n, which is less for the short words that nearly all are.
 LONG_WORD = 200
+#: Partitions whose common words are encoded together. It bounds the list of blocks
+#: that a word is wanted in, however often it occurs.
+SPAN = 1024
+#: Bits of a rank. What is larger than any rank stands for none, and EDGE is the piece
+#: before the first and behind the last one of a word.
+BITS = 20
+NO_RANK, EDGE = 1 << BITS, (1 << BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,61 +54,78 @@ def latin(piece: bytes) -> str:
     return piece.decode("latin-1")
 
 
-def _bucket(key: str) -> int:
-    return zlib.crc32(key.encode()) % BUCKETS
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: an array of small maps, piece -> rank, placed by CRC-32."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        buckets[_bucket(latin(piece))][latin(piece)] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def rank_of(table: Column, key: Column) -> Column:
-    """The rank of a piece, null if there is none."""
-    return F.get(table, (F.crc32(key) % BUCKETS).cast("int"))[key]
+def pair_key(left, right):
+    """A number for two ranks, below 0 to differ from any rank."""
+    return -1 - (left * (1 << BITS) + right)
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
+def pair_bucket(left, right):
+    return (left * 8191 + right) % BUCKETS
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal: rank of every byte; of every two bytes the rank together and that of
+    the first, packed; and buckets of the pairs of pieces (by rank) that make a piece
+    together. A bucket begins with NO_RANK and goes on with pair, rank, pair, rank ...,
+    ranks shifted by BITS."""
+    if max(ranks.values()) >= EDGE:
+        raise ValueError(f"ranks must be below {EDGE}")
+    pairs: list[list[int]] = [[NO_RANK << BITS] for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                pairs[pair_bucket(a, b)] += [pair_key(a, b), rank << BITS]
+    one = [ranks[bytes([i])] for i in range(256)]
+    two = [(ranks.get(bytes([i, j]), NO_RANK) << BITS) + ranks[bytes([i])] for i in range(256) for j in range(256)]
+    return F.struct(_literal(one, "array<bigint>").alias("one"), _literal(two, "array<bigint>").alias("two"), _literal(pairs, "array<array<bigint>>").alias("pairs"))
+
+
+def packed(table: Column, left: Column, right: Column) -> Column:
+    """The rank of what two pieces make together, NO_RANK if that is no piece, shifted,
+    and the first piece's own: the rank follows the pair in its bucket; for a pair that
+    is not there the first entry is taken."""
+    bucket = F.get(table["pairs"], pair_bucket(left, right).cast("int"))
+    return F.get(bucket, F.array_position(bucket, pair_key(left, right)).cast("int")) + left
 
 
 def merged(word: Column, table: Column) -> Column:
-    """The pieces of a word: the pair of lowest rank, leftmost first, is joined
-    until no pair has a rank. ``r[i]`` is the rank of pieces i and i+1."""
-    pair = lambda a, b: F.coalesce(rank_of(table, F.concat(a, b)), F.lit(NO_RANK))
-    none = F.array().cast("array<int>")
-    begin = _let(
-        F.split(word, ""),
-        lambda p: F.struct(
-            p.alias("p"),
-            F.when(F.size(p) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: pair(F.get(p, i), F.get(p, i + 1)))).alias("r"),
-        ),
-    )
+    """The ranks of the pieces of a word (Latin-1, one character per byte): the pair of
+    lowest rank, leftmost first, is joined until no pair has a rank.
 
-    def join(s: Column) -> Column:
-        p, r = s["p"], s["r"]
+    The fold is over one array of a number per piece, between two EDGEs: in the high
+    bits the rank that it makes with the next piece, in the low bits its own. Its
+    least number is the pair to join, and pairs of equal rank are equal numbers.
+    """
+    none = F.lit(NO_RANK << BITS)
+    edge, rest = F.array(none + EDGE), F.lit(2 * LONG_WORD)  # more than there can be
 
-        def at(i: Column, new: Column) -> Column:  # the pieces i and i+1 become one
-            ranks = F.transform(
-                r,
-                lambda v, k: F.when(k == i, F.lit(None)).when(k == i - 1, pair(F.get(p, i - 1), new)).when(k == i + 1, pair(new, F.get(p, i + 2))).otherwise(v),
-            )
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))).alias("p"),
-                F.filter(ranks, lambda v: v.isNotNull()).alias("r"),
-            )
+    def begin(b: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.get(table["two"], F.get(b, i - 1) * 256 + F.get(b, i)))
+        inner = F.when(F.size(b) < 2, F.array().cast("array<bigint>")).otherwise(inner)
+        return F.concat(edge, inner, F.array(none + F.get(table["one"], F.element_at(b, -1))), edge)
 
-        found = lambda i: _let(F.concat(F.get(p, i), F.get(p, i + 1)), lambda new: at(i, new))
-        return _let(F.array_min(r), lambda low: F.when(low < NO_RANK, _let(F.array_position(r, low).cast("int") - 1, found)).otherwise(s))
+    def join(x: Column) -> Column:
+        piece = lambda i: F.get(x, i).bitwiseAND(F.lit(EDGE))
 
-    steps = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(none)
-    return F.aggregate(steps, begin, lambda s, _: join(s))["p"]
+        def at(i: Column, least: Column) -> Column:  # numbers i-1 and i (from 0) become one
+            around = _let(F.shiftright(least, BITS), lambda new: F.array(packed(table, piece(i - 2), new), packed(table, new, piece(i + 1))))
+            return F.concat(F.slice(x, F.lit(1), i - 2), around, F.slice(x, i + 2, rest))
 
+        return _let(F.array_min(x), lambda least: F.when(least < none, _let(F.array_position(x, least).cast("int"), lambda i: at(i, least))).otherwise(x))
 
-NO_RANK = 2**31 - 1
+    steps = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(F.array().cast("array<int>"))
+    bytes_of = F.transform(F.split(word, ""), lambda c: F.ascii(c))
+    done = F.aggregate(steps, _let(bytes_of, begin), lambda x, _: join(x))
+    return _let(done, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda v: v.bitwiseAND(F.lit(EDGE)).cast("int")))
 
 
 def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -130,6 +154,9 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i]] for i in range(n) if alive[i]]
 
 
+_WHITE = re.compile(r"\s\s+")
+
+
 def spaced(text: str) -> tuple[str, list[str]]:
     """``text`` cut before each single space that stands between two characters
     which are no white space: the first part, and the others without that space.
@@ -139,7 +166,7 @@ def spaced(text: str) -> tuple[str, list[str]]:
     be split into words one by one, and each distinct part only once.
     """
     first, *rest = text.split(" ")
-    if not any(not p or p[0].isspace() or p[-1].isspace() for p in rest) and first and not first[-1].isspace():
+    if text and not text[0].isspace() and not text[-1].isspace() and not any(" " in run for run in _WHITE.findall(text)):
         return first, rest
     out = [first]
     for p in rest:
@@ -150,10 +177,26 @@ def spaced(text: str) -> tuple[str, list[str]]:
     return out[0], out[1:]
 
 
+class _Made(dict):
+    """A dict that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.make(key)
+        return got
+
+
+#: Bits of a block's number that count the blocks of a partition.
+PARTITION_SHIFT = 24
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[int]]]:
     """Each batch, its texts (null is empty) and the block of each: blocks follow
     from the partition and the code points read before, so every pass agrees."""
-    base, read = TaskContext.get().partitionId() << 24, 0
+    base, read = TaskContext.get().partitionId() << PARTITION_SHIFT, 0
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
         blocks = []
@@ -172,24 +215,27 @@ class Tokenizer:
             raise ValueError(f"no rank for the bytes {missing}")
 
     def _words(self, rows: DataFrame) -> DataFrame:
-        """``block, word``: the distinct words of each block, but for long ones."""
-        pattern = self.pattern
+        """``block, word``: the distinct words of each block that take merges, but for
+        long ones."""
+        pattern, ranks = self.pattern, self.ranks
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = regex.compile(pattern).findall
 
             def give(at: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
-                some = [w for x in seen if len(w := latin(x.encode("utf-8", "replace"))) <= LONG_WORD]
+                raw = (x.encode("utf-8", "replace") for x in seen)
+                some = [latin(w) for w in raw if len(w) <= LONG_WORD and w not in ranks]
                 for k in range(0, len(some), 1 << 16):
                     part = some[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
 
             def found(firsts: set[str], parts: set[str]) -> set[str]:
-                out: set[str] = set()
+                # parts behind each other, each with its space, split like each alone
+                out, some = set(), list(parts)
+                for k in range(0, len(some), 1 << 14):
+                    out.update(find(" " + " ".join(some[k : k + (1 << 14)])))
                 for x in firsts:
                     out.update(find(x))
-                for x in parts:
-                    out.update(find(" " + x))
                 return out
 
             now, firsts, parts = None, set(), set()
@@ -206,31 +252,31 @@ class Tokenizer:
         return rows.mapInArrow(words, "block long, word string")
 
     def encode_words(self, words: DataFrame) -> DataFrame:
-        """``word string`` (Latin-1, LONG_WORD bytes at most) with ``ids array<int>``."""
-        word = F.col("word")
-
-        def ids(table: Column) -> Column:
-            pieces = F.transform(merged(word, table), lambda p: rank_of(table, p))
-            return _let(rank_of(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(pieces))
-
+        """``word string`` (Latin-1, LONG_WORD bytes at most, not a piece as a whole)
+        with ``ids array<int>``."""
         # bound once, so that the plan holds and prints the literal a single time
-        return words.withColumn("ids", _let(rank_map(self.ranks), ids))
+        return words.withColumn("ids", _let(rank_map(self.ranks), lambda table: merged(F.col("word"), table)))
 
     def encode(self, rows: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
-        """The key columns and ``ids array<int>`` of every row; null and empty texts
-        have no ids. Special tokens are ordinary text. Words of more than LONG_WORD
-        bytes are merged where they occur. ``rows`` must give the same partitions
-        each time it is read, as files do."""
-        slim = rows.select(*key_cols, F.col(text_col).alias("_text"))
+        """The key columns and ``ids array<int>`` (``_ids`` if a key has that name) of
+        every row; null and empty texts have no ids, an empty table gives no rows,
+        equal rows get equal ids. Special tokens are ordinary text. Texts are read
+        whole, however long; words of more than LONG_WORD bytes are merged where they
+        occur, as is any word that the blocks of an earlier pass did not hold, so
+        that results do not depend on how Spark splits the files."""
+        keys = rows.select(*key_cols)
+        made_col, text = free_name(keys, "ids"), free_name(keys, "_text")
+        slim = rows.select(*key_cols, F.col(text_col).alias(text))
         folder = f"{shared_dir(rows.sparkSession)}/words"
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        held = self._words(slim.select("_text")).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+        span = F.shiftright("block", PARTITION_SHIFT + SPAN.bit_length() - 1)
+        held = self._words(slim.select(text)).groupBy("word", span.alias("span")).agg(F.collect_list("block").alias("blocks"))
         coded = self.encode_words(held).select(F.explode("blocks").alias("block"), "word", "ids")
         coded.repartition(parts, "block").write.partitionBy("block").parquet(folder)
         pattern, ranks = self.pattern, self.ranks
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, now, ids, seen = regex.compile(pattern).findall, None, {}, {}
+            find, now = regex.compile(pattern).findall, None
             fs, base = pafs.FileSystem.from_uri(folder)
 
             def known(block: int) -> dict[str, bytes]:
@@ -245,38 +291,48 @@ class Tokenizer:
                                 out.update((w.encode("latin-1").decode(), flat[a:b]) for w, a, b in zip(part.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True))
                 return out
 
-            def one(word: str) -> bytes:
-                if (got := ids.get(word)) is None:
-                    got = ids[word] = np.array(merge_by_heap(word.encode("utf-8", "replace"), ranks), np.int32).tobytes()
-                return got
-
-            def part(x: str) -> bytes:
-                if (got := seen.get(x)) is None:
-                    got = seen[x] = b"".join(map(one, find(" " + x)))
-                return got
-
-            def whole(text: str) -> bytes:
-                first, rest = spaced(text)
-                return b"".join(map(one, find(first))) + b"".join(map(part, rest))
+            def alone(word: str) -> bytes:
+                return np.array(merge_by_heap(word.encode("utf-8", "replace"), ranks), np.int32).tobytes()
+
+            ids = _Made(alone)
+            seen: dict[str, bytes] = {}
+
+            def learn(parts: set[str]) -> None:
+                """Note the ids of new parts: all in one search; a word that begins with
+                a space begins a part, as parts of single words hold no other space."""
+                plain = [x for x in parts if " " not in x]
+                for k in range(0, len(plain), 1 << 14):
+                    some = plain[k : k + (1 << 14)]
+                    words = find(" " + " ".join(some))
+                    made = list(map(ids.__getitem__, words))
+                    begin = [i for i, w in enumerate(words) if w[0] == " "]
+                    seen.update(zip(some, (made[a] if b - a == 1 else b"".join(made[a:b]) for a, b in zip(begin, [*begin[1:], len(words)], strict=True)), strict=True))
+                for x in parts:
+                    if " " in x:
+                        seen[x] = b"".join(map(ids.__getitem__, find(" " + x)))
 
             for batch, texts, blocks in _texts(batches):
                 at = 0
                 while at < len(texts):  # results of about a million code points at a time
-                    out, size, first = [], 0, at
-                    while at < len(texts) and size < 1 << 20:
-                        if blocks[at] != now:
-                            now, ids, seen = blocks[at], {}, {}
-                            ids = known(now)
-                        out.append(whole(texts[at]))
+                    cut, size, first = [], 0, at
+                    if blocks[at] != now:
+                        now = blocks[at]
+                        seen.clear()
+                        ids.clear()
+                        ids.update(known(now))
+                    while at < len(texts) and blocks[at] == now and size < 1 << 20:
+                        cut.append(spaced(texts[at]))
                         size += len(texts[at])
                         at += 1
+                    learn(set().union(*(rest for _, rest in cut)).difference(seen))
+                    out = [b"".join(map(ids.__getitem__, find(x))) + b"".join(map(seen.__getitem__, rest)) for x, rest in cut]
                     some = batch.slice(first, at - first)
                     offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=[*some.schema.names[:-1], "ids"])
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=[*some.schema.names[:-1], made_col])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-        return slim.mapInArrow(rewrite, f"{fields}, ids array<int>")
+        return slim.mapInArrow(rewrite, f"{fields}, {made_col} array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated."""
