@@ -200,12 +200,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         got = materialize(verify(texts, pairs), "got")
         # only what links different components goes on
-        labels = merged(labels, joined(contracted(linked(got), labels)))
+        labels = _extended(labels, linked(got))
         checked = materialize(checked.unionByName(got), "checked")
     rest = _rest(texts, buckets, checked, labels, threshold, ratio)
     if rest._row_bytes:
         more = materialize(verify(texts, rest), "more")
-        labels = merged(labels, joined(contracted(linked(more), labels)))
+        labels = _extended(labels, linked(more))
     of_rep = copies.join(labels, F.col("rep") == F.col("v"), "left").select("bag", F.coalesce("c", "rep").alias("c"))
     of_row = made.select("_rid", "bag").join(of_rep, "bag").select("_rid", "c")
     every = materialize(of_row.join(base.select("_rid", "_id"), "_rid"), "classes")
@@ -214,6 +214,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return every.join(groups, "c").select("_rid", F.col("_id").alias(id_col), F.col("f.id").alias("class_id"), "class_size", (F.col("f.rid") == F.col("_rid")).alias("kept"))
 
 
+def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links."""
+    new = materialize(contracted(links, labels), "new")
+    return merged(labels, joined(new)) if new._row_bytes else labels
+
+
 def _outside(buckets: DataFrame, checked: DataFrame, labels: DataFrame, threshold: float, ratio, turn: int) -> DataFrame:
     """The pairs of a bucket's pseudo-random member with those of other components."""
     placed = buckets.select("key", "_rid", "n").join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Joins broadcast a side only when its rows take at most this many bytes in memory.
-BROADCAST_LIMIT = 1 << 20
+BROADCAST_LIMIT = 4 << 20
 #: Up to this many files get their numbers from a literal map; more from a joined table.
 LITERAL_FILES = 4096
 #: Bits of a row number that count the rows of one file.
@@ -22,13 +22,16 @@ ROW_BITS = 40
 #: Rows of documents and pages are large, so that Spark's default of 10000 rows in an
 #: Arrow batch would make tens of MB at once in every Python worker.
 BATCH_ROWS = "1000"
+#: Plans that hold literal tables print as many MB of text, which the driver would build
+#: for every event of a query.
+PLAN_CHARS = "262144"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches, unless the session has a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+def bound_session(spark: SparkSession) -> None:
+    """Smaller Arrow batches and plan texts, unless the session has sizes of its own."""
+    for key, default, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.maxPlanStringLength", str(2**31 - 16), PLAN_CHARS)):
+        if spark.conf.get(key).removesuffix("b") == default:
+            spark.conf.set(key, bound)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     It lies under ``spark.checkpoint.dir``. Where that is unset, a local session
     gets a temporary folder of its own and a cluster gets one in the warehouse.
     """
-    bound_batches(spark)
+    bound_session(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.startswith("local["):
@@ -106,7 +109,8 @@ def _is_scan(df: DataFrame) -> bool:
 
 def row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows, the same in every job and for every way that Spark splits the
-    files: number of the file in the order of paths, then place in it. A frame that is
+    files: number of the file in the order of paths, then place in it (so numbers of
+    differently filtered frames over many files do not compare). A frame that is
     no plain read of Parquet files is numbered by partition instead, and has to give
     the same partitions each time (else pass it through ``materialize`` first)."""
     if not _is_scan(df):

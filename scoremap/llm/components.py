@@ -32,25 +32,21 @@ def joined(links: DataFrame) -> DataFrame:
     takes one round and a path a number that grows with the logarithm of its length.
     Each round is written to the shared folder.
     """
-    live = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    spark, done = links.sparkSession, None
-    while True:
+    live, done = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), None
+    while live._row_bytes:
         ends = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = ends.groupBy(F.col("a").alias("v")).agg(F.min(order_of("b")).alias("f"))
-        hooks = materialize(first.select("v", F.least("f", order_of("v"))["v"].alias("c")), "hooks")
+        once = materialize(first.select("v", F.least("f", order_of("v"))["v"].alias("c")), "hooks")
+        far = once
         for _ in range(2):
-            jump = small_side(hooks).select(F.col("v").alias("c"), F.col("c").alias("to"))
-            further = materialize(hooks.join(jump, "c").select("v", F.col("to").alias("c")), "hooks")
-            discard(hooks)
-            hooks = further
+            far = far.join(small_side(once).select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("v", F.col("to").alias("c"))
+        hooks = materialize(far, "hooks")
         to = lambda end: small_side(hooks).select(F.col("v").alias(end), F.col("c").alias(f"{end}_"))  # noqa: E731,B023
         moved = live.join(to("a"), "a").join(to("b"), "b").where("a_ <> b_")
         rest = materialize(moved.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct(), "links")
-        discard(live)
-        done = hooks if done is None else merged(done, hooks)
-        live = rest
-        if not rest._row_bytes:
-            return done if done is not None else spark.createDataFrame([], "v long, c long")
+        discard(live, once)
+        done, live = hooks if done is None else merged(done, hooks), rest
+    return done if done is not None else materialize(live.select(F.col("a").alias("v"), F.col("b").alias("c")), "labels")
 
 
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:

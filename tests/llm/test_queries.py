@@ -17,6 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scoremap.llm import common
 from scoremap.llm import queries as Q
 from scoremap.llm.bpe import read_ranks
 from scoremap.llm.common import materialize, row_id
@@ -191,7 +192,9 @@ def test_stages_of_an_empty_table(spark):
         assert docs.isEmpty()
 
 
-def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+@pytest.mark.parametrize("literal", [4096, 1])
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, monkeypatch, literal):
+    monkeypatch.setattr(common, "LITERAL_FILES", literal)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.repartition(7).write.parquet(f"file://{tmp_path}/many")
     key = "spark.sql.files.maxPartitionBytes"
@@ -217,6 +220,7 @@ import sys
 sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.local.dir", "{tmp_path}").getOrCreate()
+from scoremap.llm import common
 from scoremap.llm import queries as Q
 for name in ("op4_language_id", "op5_bagminhash", "op2_html_extract"):
     assert Q.queries()[name](spark, {SF!r}).count() > 0, name
