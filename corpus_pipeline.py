@@ -2,7 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``. All stages but the last keep
-the columns of ``documents``.
+the columns of ``documents``, and further ones whatever they are called. An empty table
+gives an empty result; texts of any length are read whole; repeated rows are told apart
+by their place in the files.
 """
 
 from __future__ import annotations
@@ -23,29 +25,33 @@ MAX_REPEATS = 2.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language model explains, go."""
+    """Documents without a letter (null and empty texts too), and those that no language
+    model explains, go."""
     model = LanguageId.fit(docs)
     rejected = model.predict(row_id(docs), ["_rid"]).where("rejected").select("_rid")
     return without_rows(docs, materialize(rejected, "rejected"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays, null ids last; of repeated rows one."""
     return exact_dedup.survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies the smallest doc_id stays; texts without words are
+    one group."""
     return bagminhash.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as its source's weight asks for."""
+    """Each document stands as often as its source's weight asks for; null is a source,
+    and documents without tokens stand once."""
     return mixing.mixed_rows(docs, max_repeats=MAX_REPEATS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
+    """Token ids of each document, with digests of the ids and of what they decode to;
+    null and empty texts have no ids."""
     bpe = Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = F.col("ids")
     return bpe.encode(docs, ["doc_id", "source"]).select(
