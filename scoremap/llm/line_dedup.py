@@ -185,9 +185,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_rid", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("line_no", "line"))
 
 
-def edit_links(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def edit_links(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """``a, b``: the keys of distinct lines (``a < b``) within the edits that the
-    shorter one allows, ``limit`` at most."""
+    shorter one allows, ``limit`` at most; and ``key, check``: a second hash of the
+    lines that were compared."""
     keys = materialize(docs.select("_text").mapInArrow(_emit(limit), "key long, line long, indexed boolean"), "keys")
     # keys under which an indexed line meets another one
     met = keys.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("indexed").alias("any")).where("any and lo < hi").select("key")
@@ -210,7 +211,8 @@ def edit_links(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     left = text.select(F.col("key").alias("a"), F.col("line").alias("s"))
     right = text.select(F.col("key").alias("b"), F.col("line").alias("t"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long").distinct(), "links")
+    links = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long").distinct(), "links")
+    return links, text.select("key", F.crc32("line").alias("check"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -227,29 +229,29 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other distinct lines linked to it.
     """
     base = row_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    links = edit_links(base, limit)
+    links, checks = edit_links(base, limit)
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     label = components(links).select(F.col("v").alias("key"), F.col("c").alias("class"))
-    known = materialize(degree.join(label, "key"), "known")
+    known = materialize(degree.join(label, "key").join(checks, "key"), "known")
     lines = _lines(base).select("_rid", "line_no", line_key(F.col("line")).alias("key"), F.crc32("line").alias("check"))
     ids = base.select("_rid", "_id")
     # the second hash keeps lines apart that share the first
-    lines = materialize(lines.join(small_side(known), "key", "left").withColumn("check", F.when(F.col("class").isNull(), F.col("check"))).withColumn("class", F.coalesce("class", "key")), "lines")
+    lines = lines.join(small_side(known), ["key", "check"], "left").withColumn("class_check", F.when(F.col("class").isNull(), F.col("check")))
+    lines = materialize(lines.withColumn("class", F.coalesce("class", "key")), "lines")
     of_text = lines.groupBy("key", "check").agg(F.count("*").alias("n_copies"))
     placed = lines.join(ids, "_rid")
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), "line_no")).alias("f")
-    of_class = placed.groupBy("class", "check").agg(first)
-    same = lambda a, b, col: F.col(f"{a}.{col}").eqNullSafe(F.col(f"{b}.{col}"))
-    out = placed.alias("l").join(of_text.alias("t"), (F.col("l.key") == F.col("t.key")) & same("l", "t", "check"))
-    out = out.join(of_class.alias("c"), (F.col("l.class") == F.col("c.class")) & same("l", "c", "check"))
+    of_class = placed.groupBy("class", "class_check").agg(first)
+    out = placed.join(of_text, ["key", "check"]).alias("l")
+    out = out.join(of_class.alias("c"), (F.col("l.class") == F.col("c.class")) & F.col("l.class_check").eqNullSafe(F.col("c.class_check")))
     return out.select(
         "l._rid",
         F.col("l._id").alias(id_col),
         F.col("l.line_no").cast("long").alias("line_no"),
         F.col("f.id").alias("class_doc"),
         F.col("f.line_no").cast("long").alias("class_line"),
-        "n_copies",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "l.n_copies",
+        F.coalesce("l.n_links", F.lit(0)).cast("long").alias("n_links"),
         ((F.col("f.rid") == F.col("l._rid")) & (F.col("f.line_no") == F.col("l.line_no"))).alias("kept"),
     )
 
