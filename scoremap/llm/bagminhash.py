@@ -174,8 +174,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are linked when the multisets of their 5-word shingles have a weighted
     Jaccard similarity of at least ``threshold``; a class is what links connect, its
-    id the smallest id in it (null ids last), and one row of that id is kept. Texts
-    without words, null ones included, are one class. Rows must come from files.
+    id the smallest id in it (null ids last), and one row of that id is kept, also of
+    repeated rows. Texts without words, null ones included, are one class; an empty
+    table gives no rows. Texts are read whole, however long. Other columns are ignored
+    whatever their names.
     """
     base = row_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     texts = base.select("_rid", "_text")
@@ -291,6 +293,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, one of each class, with all their columns."""
+    """The input rows that stay, one of each class, with all their columns, whatever
+    these are called. Null and empty texts are one class; no rows give no rows."""
     dropped = materialize(near_dedup(docs, id_col, text_col).where(~F.col("kept")).select("_rid"), "dropped")
     return without_rows(docs, dropped)

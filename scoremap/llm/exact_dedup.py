@@ -110,6 +110,7 @@ def _ranks(base: DataFrame, doubtful: DataFrame, bits: int) -> DataFrame:
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns."""
+    """The input rows that stay, with all their columns, whatever these are called.
+    Null and empty texts are equal; no rows give no rows."""
     dropped = materialize(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select("_rid"), "dropped")
     return without_rows(docs, dropped)
