@@ -75,17 +75,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of finished steps: it removes those
+    only after the driver has collected its garbage, which may take hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame, collect: bool = False) -> None:
-    """Delete the files of materialised frames that nothing reads any more. With
-    ``collect``, also let Spark's cleaner find the shuffle files of finished steps: it
-    removes those only after the driver has collected its garbage."""
+    """Delete the files of materialised frames that nothing reads any more, and with
+    ``collect`` release shuffle files too."""
     for df in frames:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df._materialized_path)
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._materialized_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     if collect:
-        gc.collect()
-        jvm.System.gc()
+        release(frames[0].sparkSession)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

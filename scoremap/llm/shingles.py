@@ -6,9 +6,9 @@ import numpy as np
 
 WORDS = 5
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: An odd base and its inverse modulo 2**64.
+#: Odd bases modulo 2**64; the second is for hashes that must not depend on the first.
 _BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+OTHER_BASE = 0x9FB21C651E98DF25
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +31,15 @@ def powers(base: int, n: int) -> np.ndarray:
 class Hasher:
     """Hashes of substrings of a byte array, by differences of prefix sums."""
 
-    def __init__(self) -> None:
-        self.table = mix(np.arange(256, dtype=np.uint64))
-        self.up, self.down = powers(_BASE, 1), powers(_INVERSE, 1)
+    def __init__(self, base: int = _BASE) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.table = mix(np.arange(256, dtype=np.uint64) + np.uint64(base if base != _BASE else 0))
+        self.up, self.down = powers(self.base, 1), powers(self.inverse, 1)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
         if n + 1 > len(self.up):
-            self.up, self.down = powers(_BASE, 2 * n + 1), powers(_INVERSE, 2 * n + 1)
+            self.up, self.down = powers(self.base, 2 * n + 1), powers(self.inverse, 2 * n + 1)
         out = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(self.table[data] * self.up[:n], out=out[1:])
