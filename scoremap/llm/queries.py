@@ -122,6 +122,18 @@ def _op10_sql() -> str:
     return mix_sql()
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.merkle import proofs, tampered
+
+    return proofs(table(spark, sf_dir, "documents"), tampered(F.col("text"), F.col("doc_id")))
+
+
+def _op11_sql() -> str:
+    from scoremap.llm.merkle import proofs_sql
+
+    return proofs_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,9 +152,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_chunks": op8_media_chunks,
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": _op10_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": _op10_sql(), "op11_merkle_manifest": _op11_sql()}

@@ -147,7 +147,7 @@ def test_op9(spark, texts):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op10_mixing", "op11_merkle_manifest"])
 def test_sql_twins(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
