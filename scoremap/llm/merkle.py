@@ -77,9 +77,10 @@ def ranked(rows: DataFrame, group: str, keys: list[str], out: str = "_pos", rid:
     tied = met.where("_tied")
     if len(keys) == 1 or tied.isEmpty():
         return met.drop("_tied")
-    again = tied.select(rid, F.struct(group, key).alias("_group"), *keys[1:])
-    again = materialize(ranked(again, "_group", keys[1:], "_further", rid).select(rid, "_further"), "ties")
-    return met.join(small_side(again), rid, "left").withColumn(out, F.col(out) + F.coalesce("_further", F.lit(0))).drop("_tied", "_further")
+    again = tied.select(F.struct(group, key).alias("_group"), *dict.fromkeys([*keys[1:], rid]))
+    further = f"_{out}"
+    again = materialize(ranked(again, "_group", keys[1:], further, rid).select(rid, further), "ties")
+    return met.join(small_side(again), rid, "left").withColumn(out, F.col(out) + F.coalesce(further, F.lit(0))).drop("_tied", further)
 
 
 def _depth(n: Column) -> Column:

@@ -3,7 +3,6 @@
 import hashlib
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from scoremap.llm.common import materialize, row_id
@@ -73,14 +72,10 @@ def test_hot_sources_ties_and_many_sources(spark):
     rows = [(i * 7919 % 100_003, "hot", "en", i, f"t\n{i}") for i in range(2300)]  # more than three rounds of slots
     rows += [(11, "same id", "en", i % 50, f"u\n{i % 50}") for i in range(900)]
     rows += [(i, f"s{i}", None, 1, "v") for i in range(800)]
+    rows += [(i, f"small {n}", "en", i, "x\n") for n in (2, 3, 4, 9, 10, 27, 28, 729, 730) for i in range(n)]
     check(spark, rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10])
-def test_small_trees(spark, n):
-    check(spark, [(i, "a", "en", i, "x\n") for i in range(n)])
-
-
 def test_empty_table_and_clashing_columns(spark):
     docs = materialize(spark.createDataFrame([], DOCS), "none")
     assert proofs(docs).collect() == [] and manifest(leaves(docs)).root is None
