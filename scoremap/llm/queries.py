@@ -134,6 +134,12 @@ def _op11_sql() -> str:
     return proofs_sql()
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_whitening": op12_whitening,
         "pipeline": pipeline,
     }
 
