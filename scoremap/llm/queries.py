@@ -140,6 +140,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoremap.llm.licenses import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -160,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_whitening": op12_whitening,
+        "op13_license_scan": op13_license_scan,
         "pipeline": pipeline,
     }
 
