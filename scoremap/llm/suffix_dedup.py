@@ -226,8 +226,8 @@ def _raw(text: str | None) -> bytes:
 
 
 def find_anchors(texts: DataFrame, match: int, k: int) -> DataFrame:
-    """``h, c, d, _rid, pos`` of ``_rid, _text``: gram, digest of the context, row and
-    place."""
+    """``h, c, d, _rid, pos`` of ``_rid, _text``: gram, digest of the context and of the
+    anchor's place in it, row and place."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, digest = Hasher(), xxhash.xxh3_128_digest
@@ -240,8 +240,10 @@ def find_anchors(texts: DataFrame, match: int, k: int) -> DataFrame:
                 own, pos, h, start, end = anchors(np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, sizes, hasher, match, k)
                 both = b"".join([digest(data[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)])
                 c = np.frombuffer(both, np.int64).reshape(-1, 2)
+                # two anchors of a short text may both have all of it as their context
+                off = pos - (start - (np.cumsum(sizes) - sizes)[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(c[:, 0], pa.int64()), pa.array(c[:, 1], pa.int64()), pa.array(rid[a:b][own], pa.int64()), pa.array(pos.astype(np.int32), pa.int32())], names=["h", "c", "d", "_rid", "pos"]
+                    [pa.array(h, pa.int64()), pa.array(c[:, 0], pa.int64()), pa.array(c[:, 1] + off, pa.int64()), pa.array(rid[a:b][own], pa.int64()), pa.array(pos.astype(np.int32), pa.int32())], names=["h", "c", "d", "_rid", "pos"]
                 )
 
     return texts.mapInArrow(find, "h long, c long, d long, _rid long, pos int")

@@ -217,6 +217,19 @@ def test_suffix_equals_brute_force(spark, monkeypatch, many, large, size):
         assert bytes(r["kept"]) == kept + raw[at:]
 
 
+def test_short_periodic_texts_equal_brute_force(spark):
+    """Anchors of a text that have all of it as their context are no copies of each other."""
+    rng = random.Random(4)
+    rows = [(0, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(47)) * 5)]
+    assert all(not r["spans"] for r in suffix_dedup.suffix_dedup(frame(spark, [(0, rows[0][1][:234])])).collect())
+    for period in range(1, 201):
+        block = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(period))
+        rows += [(len(rows) + k, (block * (size // period + 1))[:size]) for k, size in enumerate(sorted({200, rng.randint(201, 263), rng.randint(264, 335), 336, rng.randint(337, 420)}) if period % 3 else [rng.randint(200, 340)])]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows)).collect()
+    want = sorted((i, tuple(s)) for (i, _), s in zip(rows, brute_spans(rows, suffix_dedup.MATCH)))
+    assert sorted((r["doc_id"], tuple((s["a"], s["b"]) for s in r["spans"])) for r in got) == want
+
+
 def test_marks_come_from_the_index(spark, monkeypatch):
     """Without the index nothing is removed, repeated texts included."""
     rng = random.Random(8)
