@@ -11,6 +11,7 @@ rows are set apart before the sample is drawn, at every size of the table.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ BLOCK = 1 << 20
 #: Characters after which the evidence for the score no longer grows.
 EVIDENCE = 24
 SPACE, PAD = 32, 1
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -232,12 +234,17 @@ def _count(fold_of):
     return count
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is alphabetic; marks, digits and signs alone are not."""
+    return any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text or ""))
+
+
 def _predict(model_of):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Models(**model_of.value)
         for batch in batches:
             lang, score, bits, least = [], [], [], []
-            for block in _blocks(iter(batch.column(batch.num_columns - 1).to_pylist())):
+            for block in _blocks(t if has_letter(t) else None for t in batch.column(batch.num_columns - 1).to_pylist()):
                 ce, sizes = entropies(models, block)
                 best = ce.argmin(axis=1)
                 low = ce[np.arange(len(ce)), best]

@@ -264,6 +264,16 @@ def test_language_id_odd_rows(spark):
     assert same[0] == same[1]
 
 
+def test_texts_without_a_letter_are_und(spark):
+    rows = [(i, "abcab cabac e\u0301cole", "aa") for i in range(30)]
+    odd = ["\u2764\ufe0f", "\u0301", "12 \U0001f44d\ufe0f", "\u0301\u0302 \u0300", "007", "\u00b2\u00bd\u2167", "_", "!?", "", None, " \n", "\u0967\u0968", "\U0001f1e9\U0001f1ea"]
+    letters = ["a", "e\u0301", "\u00aa", "1a", "\u4e2d", "\u0915\u094d", "\u2764\ufe0f b"]
+    frame = spark.createDataFrame([*rows, *((100 + i, t, None) for i, t in enumerate(odd)), *((200 + i, t, None) for i, t in enumerate(letters))], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.LanguageId.fit(frame).predict(frame, ["doc_id"]).collect()}
+    assert all((got[100 + i]["lang_pred"], got[100 + i]["score"], got[100 + i]["rejected"]) == ("und", 0.0, True) for i in range(len(odd)))
+    assert all(got[200 + i]["lang_pred"] == "aa" for i in range(len(letters))) and all(got[i]["lang_pred"] == "aa" and not got[i]["rejected"] for i in range(30))
+
+
 def test_bpe_clashing_names_and_repeats(spark, tokenizer):
     frame = spark.createDataFrame([(1, "same text here", 7, "k")] * 3 + [(2, None, None, None)], "doc_id long, text string, ids int, _text string")
     got = tokenizer.encode(frame, ["doc_id", "ids", "_text"]).collect()
