@@ -58,13 +58,15 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoremap.llm.warc import archive_pages, read_archives
 
-    back = read_archives(archive_pages(table(spark, sf_dir, "pages")))
-    return back.select(
-        F.expr("try_cast(record_id as bigint)").alias("page_id"),
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    damaged = F.raise_error(F.concat(F.lit("payload and digest differ in record "), "record_id")).cast("string")
+    return read_archives(archive_pages(pages)).select(
+        F.expr(f"try_cast(record_id as {kind})").alias("page_id"),
         "payload_bytes",
-        "payload_digest",
+        F.when(F.coalesce("digest_ok", F.lit(True)), F.col("payload_digest")).otherwise(damaged).alias("payload_digest"),
         "record_type",
-        F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
+        F.expr(f"try_cast(refers_to as {kind})").alias("refers_to"),
     )
 
 

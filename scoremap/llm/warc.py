@@ -163,7 +163,8 @@ def parse(raw: bytes) -> dict | None:
     """The fields of RECORD that an inflated member holds; None if it is no record.
 
     The payload of an HTTP response is its body; other records have their block as
-    payload. The digest is computed if the header has none; ``digest_ok`` says
+    payload. The digest is that of the payload read, a revisit's the one that its header
+    names; ``digest_ok`` says
     whether header and payload agree, as sent or with chunks put together (null if
     the header has none, or for a revisit, which has no payload)."""
     head, found, body = raw.partition(b"\r\n\r\n")
@@ -186,7 +187,7 @@ def parse(raw: bytes) -> dict | None:
     urn = lambda x: x.removeprefix("<").removesuffix(">").removeprefix("urn:row:") if x is not None else None
     full = h.get("x-payload-length", "")
     return {
-        "record_id": urn(h.get("warc-record-id")), "uri": h.get("warc-target-uri"), "record_type": kind, "refers_to": urn(h.get("warc-refers-to")), "payload_digest": said or own, "digest_ok": ok,
+        "record_id": urn(h.get("warc-record-id")), "uri": h.get("warc-target-uri"), "record_type": kind, "refers_to": urn(h.get("warc-refers-to")), "payload_digest": said or own if kind == "revisit" else own, "digest_ok": ok,
         "payload": payload, "payload_bytes": int(full) if full.isdigit() else len(payload), "http_status": status,
     }
 
