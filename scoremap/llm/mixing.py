@@ -80,13 +80,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``n_copies`` is how often the row stands in the mixture (0: not at all). The
     budget defaults to the tokens there are. Null is a source of its own; rows of a
     source without tokens (null and empty texts) cost nothing and stand once, with
-    weight 0. Rows with the same id are in one block and may differ by one copy. Texts
+    weight 0. Rows with the same id are in one block and may differ by one copy; those
+    with a null id are in any block. Texts
     of any length count whole, an empty table gives no rows, and other columns are
     ignored.
     """
+    # rows without an id are dealt out by their numbers
+    place = F.when(F.col("_id").isNull(), shuffled(F.concat(F.lit("row "), F.col("_rid")), seed)).otherwise(shuffled(F.col("_id"), seed))
     base = materialize(
         row_id(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))).select(
-            "_rid", "_id", "_source", F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit("")).alias("_s"), token_count(F.col("_t")).alias("n_tokens"), shuffled(F.col("_id"), seed).alias("_h")
+            "_rid", "_id", "_source", F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit("")).alias("_s"), token_count(F.col("_t")).alias("n_tokens"), place.alias("_h")
         ),
         "tokens",
     )
