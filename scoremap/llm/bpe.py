@@ -155,15 +155,18 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _WHITE = re.compile(r"\s\s+")
+# Fixed value: splitting patterns that begin a word at every single space between two
+# characters which are no white space.
+SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def spaced(text: str) -> tuple[str, list[str]]:
     """``text`` cut before each single space that stands between two characters
     which are no white space: the first part, and the others without that space.
 
-    Splitting patterns of this kind (an optional space before letters, digits or
-    other signs; runs of white space apart) always begin a word there, so parts can
-    be split into words one by one, and each distinct part only once.
+    The patterns of SPACED (an optional space before letters, digits or other signs;
+    runs of white space apart) always begin a word there, so parts can be split into
+    words one by one, and each distinct part only once.
     """
     first, *rest = text.split(" ")
     if text and not text[0].isspace() and not text[-1].isspace() and not any(" " in run for run in _WHITE.findall(text)):
@@ -177,6 +180,11 @@ def spaced(text: str) -> tuple[str, list[str]]:
     return out[0], out[1:]
 
 
+def _whole(text: str) -> tuple[str, list[str]]:
+    """For any other pattern: the text is one part."""
+    return text, []
+
+
 class _Made(dict):
     """A dict that makes what it lacks."""
 
@@ -207,17 +215,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 class Tokenizer:
-    """Encode and decode frames by the ranks of a file and a splitting pattern."""
+    """Encode and decode frames by the ranks of a file and a splitting pattern, any that
+    the ``regex`` library reads; texts are cut at spaces first for those of SPACED."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pattern = read_ranks(path), pattern
+        self.ranks, self.pattern, self.parts = read_ranks(path), pattern, spaced if pattern in SPACED else _whole
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"no rank for the bytes {missing}")
 
     def _words(self, rows: DataFrame) -> DataFrame:
         """``block, word``: the distinct words of each block that take merges, but for
         long ones."""
-        pattern, ranks = self.pattern, self.ranks
+        pattern, ranks, parts_of = self.pattern, self.ranks, self.parts
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = regex.compile(pattern).findall
@@ -244,7 +253,7 @@ class Tokenizer:
                     if at != now:
                         yield from give(now, found(firsts, parts))
                         now, firsts, parts = at, set(), set()
-                    first, rest = spaced(t)
+                    first, rest = parts_of(t)
                     firsts.add(first)
                     parts.update(rest)
             yield from give(now, found(firsts, parts))
@@ -273,7 +282,7 @@ class Tokenizer:
         held = self._words(slim.select(text)).groupBy("word", span.alias("span")).agg(F.collect_list("block").alias("blocks"))
         coded = self.encode_words(held).select(F.explode("blocks").alias("block"), "word", "ids")
         coded.repartition(parts, "block").write.partitionBy("block").parquet(folder)
-        pattern, ranks = self.pattern, self.ranks
+        pattern, ranks, parts_of = self.pattern, self.ranks, self.parts
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find, now = regex.compile(pattern).findall, None
@@ -321,7 +330,7 @@ class Tokenizer:
                         ids.clear()
                         ids.update(known(now))
                     while at < len(texts) and blocks[at] == now and size < 1 << 20:
-                        cut.append(spaced(texts[at]))
+                        cut.append(parts_of(texts[at]))
                         size += len(texts[at])
                         at += 1
                     learn(set().union(*(rest for _, rest in cut)).difference(seen))

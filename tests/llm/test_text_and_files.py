@@ -201,6 +201,7 @@ def test_foreign_warc_records(spark, tmp_path):
         assert [got[f"urn:uuid:{i}"]["digest_ok"] for i in range(8)] == [None, None, True, None, True, False, True, None]
         assert [got[f"urn:uuid:{i}"]["http_status"] for i in range(8)] == [None, None, 200, 200, 200, 200, 404, 200]
         assert all(bytes(got[f"urn:uuid:{i}"]["payload"]) == body for i in range(2, 6)) and bytes(got["urn:uuid:6"]["payload"]) == b"abc0123456789"
+        assert all(got[f"urn:uuid:{i}"]["payload_digest"] == sha(body) for i in (2, 4, 5, 7))  # that of the bytes read, whatever the header says
         assert got["urn:uuid:3"]["payload_digest"] == sha(body) and got["urn:uuid:7"]["refers_to"] == "urn:uuid:2" and got["urn:uuid:2"]["uri"] == "http://a/"
 
 
@@ -274,6 +275,16 @@ def test_texts_without_a_letter_are_und(spark):
     assert all(got[200 + i]["lang_pred"] == "aa" for i in range(len(letters))) and all(got[i]["lang_pred"] == "aa" and not got[i]["rejected"] for i in range(30))
 
 
+@pytest.mark.parametrize("pattern", [r"\S+ ?|\s+", r"[a-z]+ [a-z]+|.|\n", r"(?s).{1,3}"])
+def test_bpe_of_other_patterns(spark, tokenizer, pattern):
+    """Patterns whose words do not begin at spaces."""
+    ranks = tokenizer.ranks
+    rows = [(i, t) for i, t in enumerate(["one two  three four", "a b c d e f", " lead and trail ", "x\ny z\n", None, "", "the cat sat on the mat " * 50])]
+    got = {r["doc_id"]: r["ids"] for r in bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern).encode(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert got == {i: plain.encode_ordinary(t or "") for i, t in rows}
+
+
 def test_bpe_clashing_names_and_repeats(spark, tokenizer):
     frame = spark.createDataFrame([(1, "same text here", 7, "k")] * 3 + [(2, None, None, None)], "doc_id long, text string, ids int, _text string")
     got = tokenizer.encode(frame, ["doc_id", "ids", "_text"]).collect()
