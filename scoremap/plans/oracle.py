@@ -142,6 +142,7 @@ SELECT page_id, pos, substr(x, 3, 1)::INT AS depth, trim(regexp_replace(x, '<[^>
         "embed_urls": f"SELECT n_nationkey, 'https://www.youtube.com/embed/' || lower(n_name) || '?start=' || s || '&end=' || e AS url FROM nation JOIN (VALUES {starts}) AS v(o, s, e) ON n_nationkey % 4 = o",
         "selection_toggle": _TOGGLE + "SELECT event_id, user_id, item, active, CASE WHEN item = active THEN 'green' ELSE 'blue' END AS colour FROM c",
         "selection_toggle_stream": _TOGGLE + "SELECT event_id, user_id, item, active FROM c",
+        "selection_event_time": _TOGGLE + "SELECT event_id, user_id, item, active FROM c WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 2 * 86400000 FROM events)",
         "selection_changes": f"WITH {_CLICKS}, a AS (SELECT *, lag(item) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM k) SELECT event_id, user_id, item FROM a WHERE item IS DISTINCT FROM before",
         "lookup_sites": "SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
         "known_sites": "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')",

@@ -22,7 +22,7 @@ from scoremap.sources import literals as lit_tables
 from scoremap.sources import readers
 from scoremap.sources.writers import doc_pages as pages_of
 from scoremap.sources.writers import feature, feed_items as items_of, write_features, write_feed, write_layers
-from scoremap.streaming.selection import selection_stream
+from scoremap.streaming.selection import OUTPUT, rocksdb, selection_by_event_time, selection_stream
 
 LINE = ["l_orderkey", "l_linenumber"]
 
@@ -350,18 +350,27 @@ def selection_changes(spark, sf_dir):
     return ev.selection_changes(_clicks(spark, sf_dir), "user_id", "item", ["ts", "event_id"]).select("event_id", "user_id", "item")
 
 
-def selection_toggle_stream(spark, sf_dir):
-    """The same machine over the events as a file stream, run until it has read all;
-    the result is what the stream has written to its sink."""
+def _streamed(spark, sf_dir, answer):
+    """What a stream over the events, run until it has read all, has written to its sink."""
     place = _place(spark, "stream")
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # the path may be a file or a folder: a stream reads folders
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxBytesPerTrigger", 128 << 20).parquet(f"{sf_dir}/events*.parquet")
     clicks = events.select("event_id", "ts", "user_id", F.when(F.col("value") >= 5, F.col("event_type")).alias("item"))
-    query = selection_stream(clicks).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("event_id long, user_id long, item string, active string").parquet(f"{place}/out")
+    with rocksdb(spark):
+        query = answer(clicks).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{place}/out")
+
+
+def selection_toggle_stream(spark, sf_dir):
+    """The same machine over the events as a file stream."""
+    return _streamed(spark, sf_dir, selection_stream)
+
+
+def selection_event_time(spark, sf_dir):
+    """The machine by event time: all clicks that the last watermark has passed."""
+    return _streamed(spark, sf_dir, lambda clicks: selection_by_event_time(clicks, "2 days"))
 
 
 def lookup_sites(spark, sf_dir):
@@ -381,7 +390,7 @@ def line_ordinal(spark, sf_dir):
 ALL = [
     map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
     circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
-    tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, lookup_sites, known_sites, line_ordinal,
+    tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, selection_event_time, lookup_sites, known_sites, line_ordinal,
     csv_layer, geojson_layer, boundary_layer, layer_files, feed_files, markdown_docs, hover_labels,
 ]
 

@@ -1,14 +1,39 @@
-"""The selection state machine over a stream of clicks."""
+"""The selection state machine over a stream of clicks.
+
+Both forms keep one item per user in RocksDB. ``selection_stream`` answers at once, in
+order of time within a micro-batch; ``selection_by_event_time`` waits for the watermark,
+so that clicks which come late, in any order, are applied in the order of their times.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "event_id long, user_id long, item string, active string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; a query keeps what it
+    started with, so the session's own setting comes back afterwards."""
+    old = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, old)
 
 
 def step(active: str | None, item: str | None) -> str | None:
@@ -16,22 +41,118 @@ def step(active: str | None, item: str | None) -> str | None:
     return None if item is None or item == active else item
 
 
-def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    active, out = state.get[0] if state.exists else None, []
-    for item in rows["item"]:
-        active = step(active, None if pd.isna(item) else item)
-        out.append(active)
-    state.update((active,))
-    yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "item": rows["item"], "active": out})
+def run_states(active: str | None, items: np.ndarray) -> np.ndarray:
+    """States after each of ``items`` (objects, None: close), from ``active`` on: within a
+    run of one item every other click is active, and the first run may go on from the
+    state."""
+    n = len(items)
+    none = np.array([x is None for x in items], bool)
+    new = np.ones(n, bool)
+    new[1:] = none[1:] | none[:-1] | (items[1:] != items[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    if n and active is not None and items[0] == active:
+        nth[: first[1] if len(first) > 1 else n] += 1
+    out = items.copy()
+    out[none | (nth % 2 == 1)] = None
+    return out
+
+
+def _objects(column: pd.Series) -> np.ndarray:
+    return np.array([None if x is None or x is pd.NA or x != x else x for x in column], object)
+
+
+def _micros(column: pd.Series) -> np.ndarray:
+    return column.to_numpy("datetime64[us]").astype(np.int64)
+
+
+class _Selection(StatefulProcessor):
+    """Common to both forms: a user's item, and rows that become states in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "active string, ts long")
+
+    def applied(self, user: int, ts: np.ndarray, ids: np.ndarray, items: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((ids, ts))
+        before = self.active.get()
+        states = run_states(before[0] if before else None, items[order])
+        self.active.update((states[-1], int(ts[order[-1]])))
+        return pd.DataFrame({"event_id": ids[order], "user_id": np.full(len(order), user), "item": items[order], "active": states})
+
+    def close(self) -> None:
+        pass
+
+
+class _AtOnce(_Selection):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # times, numbers and items of the user's clicks in this micro-batch
+        parts = [(_micros(r["ts"]), r["event_id"].to_numpy(np.int64), _objects(r["item"])) for r in rows]
+        if parts:
+            yield self.applied(key[0], *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+class _ByEventTime(_Selection):
+    """Clicks wait in a list; the user's one timer stands at the earliest of them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, item string")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake_at(self, ms: int) -> None:
+        now = self.due.get()
+        if now is None or ms < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.active.get()
+        answered = last[1] // 1000 if last else -(1 << 62)
+        for r in rows:
+            ts = _micros(r["ts"])
+            fresh = ts // 1000 > answered  # Spark drops late clicks by the watermark of the batch before
+            if fresh.any():
+                self.waiting.appendList(list(zip(ts[fresh].tolist(), r["event_id"][fresh].tolist(), _objects(r["item"])[fresh].tolist(), strict=True)))
+                self._wake_at(int(ts[fresh].min()) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        ts = np.array([h[0] for h in held], np.int64)
+        ripe = ts // 1000 <= upto
+        self.due.clear()
+        if not ripe.all():
+            self.waiting.put([h for h, r in zip(held, ripe.tolist(), strict=True) if not r])
+            self._wake_at(int(ts[~ripe].min()) // 1000)
+        else:
+            self.waiting.clear()
+        if ripe.any():
+            mine = [h for h, r in zip(held, ripe.tolist(), strict=True) if r]
+            yield self.applied(key[0], ts[ripe], np.array([h[1] for h in mine], np.int64), np.array([h[2] for h in mine], object))
 
 
 def selection_stream(events: DataFrame) -> DataFrame:
     """``event_id, user_id, item, active`` of a stream ``event_id, ts, user_id, item``.
 
-    Events are put in order of time and id within a micro-batch; rows that come in a
-    later one are applied then. State is one item per user, in the state store. A
-    user's events of one micro-batch are held together, so bound the micro-batch
-    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source).
+    Clicks are put in order of time and id within a micro-batch; those that come in a
+    later one are applied then. State is one item per user. A user's clicks of one
+    micro-batch are held as arrays, so bound it by bytes (``maxBytesPerTrigger`` of the
+    source). Start the query within ``rocksdb(spark)``.
+    """
+    clicks = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "item")
+    return clicks.groupBy("user_id").transformWithStateInPandas(_AtOnce(), OUTPUT, "append", "None")
+
+
+def selection_by_event_time(events: DataFrame, delay: str) -> DataFrame:
+    """The same by event time: a click is answered when the watermark, ``delay`` behind
+    the latest click seen, has passed it (to the millisecond), whatever the order in which
+    clicks within the delay came; so the answers are those of the batch form. Clicks that
+    are later still are dropped, unless nothing after them has been answered. State per user is an item and the clicks that wait. Start the query
+    within ``rocksdb(spark)``.
     """
-    return events.groupBy("user_id").applyInPandasWithState(_run, OUTPUT, "active string", "append", GroupStateTimeout.NoTimeout)
+    clicks = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "item").withWatermark("ts", delay)
+    return clicks.groupBy("user_id").transformWithStateInPandas(_ByEventTime(), OUTPUT, "append", "EventTime")
