@@ -120,6 +120,16 @@ e AS (SELECT s_suppkey, k, cx, cy, r, ax, ay, lead(ax) OVER w AS bx, lead(ay) OV
 SELECT l_orderkey, l_linenumber, s_suppkey FROM p JOIN e ON x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r
 WHERE bx IS NOT NULL AND (ay > y) <> (ey > y) AND x < (bx - ax) * (y - ay) / (ey - ay) + ax
 GROUP BY rid, l_orderkey, l_linenumber, s_suppkey HAVING count(*) % 2 = 1""",
+        "pick_layers": f"""WITH p AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey * 37 % 1000 + 0.25::DOUBLE AS x, l_suppkey * 91 % 1000 + 0.25::DOUBLE AS y FROM lineitem),
+d AS (SELECT s_suppkey, s_suppkey % 3 AS draw_order, (s_suppkey * 53 % 1000)::DOUBLE AS cx, (s_suppkey * 71 % 1000)::DOUBLE AS cy, CASE s_suppkey % 3 WHEN 1 THEN 30::DOUBLE ELSE 12::DOUBLE END AS r FROM supplier WHERE s_suppkey % 3 > 0),
+v AS (SELECT s_suppkey, draw_order, k, cx, cy, r, cx + r * {c16} AS ax, cy + r * {s16} AS ay FROM d, range(17) AS t(k)),
+e AS (SELECT *, lead(ax) OVER w AS bx, lead(ay) OVER w AS ey FROM v WINDOW w AS (PARTITION BY s_suppkey ORDER BY k)),
+h AS (SELECT rid, l_orderkey, l_linenumber, draw_order, s_suppkey FROM p JOIN e ON x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r
+      WHERE bx IS NOT NULL AND (ay > y) <> (ey > y) AND x < (bx - ax) * (y - ay) / (ey - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT l_orderkey, l_linenumber, max(draw_order) AS draw_order, arg_max(s_suppkey, draw_order * 1000000000 + s_suppkey) AS s_suppkey FROM h GROUP BY 1, 2""",
+        # between 2 k and 2 k + 1 the border falls from the customer's height to 0
+        "pick_large": """WITH o AS (SELECT o_orderkey, o_orderkey * 71 % 1600 - 600.5::DOUBLE AS x, o_custkey * 379 % 1000 AS h FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT o_orderkey, 1 AS region FROM o WHERE x > -500 AND x < h * 0.5::DOUBLE""",
         "composite_score": f"""WITH {_OBS}, j AS (SELECT segment_id, CASE WHEN i % 6 <> 0 THEN 1 + i % 4 END AS w, CASE WHEN code <= top THEN code / top::DOUBLE END AS v FROM obs JOIN c USING (i))
 SELECT segment_id, round(sum(w * v) / sum(w) FILTER (v IS NOT NULL), 9) AS composite, count(*) FILTER (w IS NOT NULL AND v IS NOT NULL) AS n_used, count(*) FILTER (w IS NULL OR v IS NULL) AS n_missing FROM j GROUP BY segment_id""",
         "scale_levels": f"WITH {_OBS}, l(indicator, code, label) AS (VALUES {_LEVEL_ROWS}) SELECT indicator, code, label, count(*) AS n FROM obs JOIN c USING (i) JOIN l USING (indicator, code) GROUP BY ALL",

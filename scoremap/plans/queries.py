@@ -15,7 +15,7 @@ from scoremap.operators import documents as docs_ops
 from scoremap.operators import events as ev
 from scoremap.operators import layers as L
 from scoremap.operators import scoring as sc
-from scoremap.operators.pick import pick
+from scoremap.operators.pick import pick, pick_top
 from scoremap.operators.simplify import simplify
 from scoremap.plans.inputs import boxes, lat, lon, sites_of, table
 from scoremap.sources import literals as lit_tables
@@ -241,6 +241,30 @@ def pick_points(spark, sf_dir):
     return pick(points, disks, cell=8.0).select("point_id.*", F.col("feature_id").alias("s_suppkey"))
 
 
+def pick_layers(spark, sf_dir):
+    """Lines as points under three layers: wide areas that may not be picked, disks and,
+    on top, disks that overlap them."""
+    points = table(spark, sf_dir, "lineitem").select(F.struct(*LINE).alias("point_id"), (F.col("l_partkey") * 37 % 1000 + 0.25).cast("double").alias("x"), (F.col("l_suppkey") * 91 % 1000 + 0.25).cast("double").alias("y"))
+    k, order = F.col("s_suppkey"), F.col("s_suppkey") % 3
+    r = F.element_at(F.array(F.lit(90.0), F.lit(30.0), F.lit(12.0)), (order + 1).cast("int"))
+    features = table(spark, sf_dir, "supplier").select(k.alias("feature_id"), order.alias("draw_order"), (order > 0).alias("pickable"), G.buffer_point((k * 53 % 1000).cast("double"), (k * 71 % 1000).cast("double"), r, 4).alias("geometry"))
+    return pick_top(points, features, cell=16.0).select("point_id.*", "draw_order", F.col("feature_id").alias("s_suppkey"))
+
+
+def pick_large(spark, sf_dir):
+    """Orders as points in one region whose border has two edges for each customer."""
+    k = F.col("c_custkey")
+    vertex = lambda x, y: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
+    border = table(spark, sf_dir, "customer").select(F.explode(F.array(vertex(k * 379 % 1000, k * 2), vertex(F.lit(0), k * 2 + 1))).alias("p"))
+    ends = border.agg(F.array_sort(F.collect_list("p")).alias("p")).where("size(p) > 0")
+    line = F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    back = lambda y: F.struct(F.lit(-500.0).alias("x"), y.alias("y"))
+    ring = F.concat(line, F.array(back(F.element_at("p", -1)["y"]), back(F.get("p", 0)["y"])), F.slice(line, F.lit(1), F.lit(1)))
+    region = ends.select(F.lit(1).alias("feature_id"), G.geom(F.lit("Polygon"), F.lit(G.STATE_PLANE), F.array(F.array(ring))).alias("geometry"))
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") * 71 % 1600 - 600.5).cast("double").alias("x"), (F.col("o_custkey") * 2 + 0.5).cast("double").alias("y"))
+    return pick(points, region, cell=64.0).select(F.col("point_id").alias("o_orderkey"), F.col("feature_id").alias("region"))
+
+
 def _observations(spark, sf_dir):
     """Lines rate their part on an indicator each."""
     names = F.array(*[F.lit(n) for n, _ in lit_tables.SCALES])
@@ -389,7 +413,7 @@ def line_ordinal(spark, sf_dir):
 
 ALL = [
     map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
-    circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
+    circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, pick_layers, pick_large, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
     tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, selection_event_time, lookup_sites, known_sites, line_ordinal,
     csv_layer, geojson_layer, boundary_layer, layer_files, feed_files, markdown_docs, hover_labels,
 ]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scoremap.functions import geometry as G
 from scoremap.operators import layers as L
-from scoremap.operators.pick import pick
+from scoremap.operators.pick import pick, pick_top
 from scoremap.operators.simplify import simplify, simplify_ring
 from scoremap.sources import literals
 
@@ -99,3 +99,31 @@ def test_pick_equals_brute_force(spark):
     got = {tuple(r) for r in pick(p, f, 7.0).collect()}
     every = {tuple(r) for r in p.where("x is not null").join(f, G.inside(F.col("x"), F.col("y"), F.col("geometry")["polys"])).select("point_id", "feature_id").collect()}
     assert got == every and got
+
+
+def test_edges_in_slabs_equal_the_ring_test(spark):
+    """Every feature by edges: stars, long thin triangles, holes, parts, repeated points."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for j in range(25):
+        n, c = int(rng.integers(3, 400)), rng.uniform(0, 100, 2)
+        angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        v = (c + (rng.uniform(1, 40, n) * [np.cos(angle), np.sin(angle)]).T).round(int(rng.integers(0, 3))).tolist()
+        hole = (c + np.array([[1, 1], [2, 1], [2, 2], [1, 1]])).tolist()
+        rows.append((j, [[[*v, v[0]], hole], [hole]] if j % 3 else [[[*v, v[0]]]]))
+    rows += [(90, []), (91, None), (92, [[[[0.0, 0.0], [100.0, 0.0], [50.0, 0.0], [0.0, 0.0]]]])]
+    polys = [(j, None if p is None else ("MultiPolygon", 2263, [[[(float(x), float(y)) for x, y in r] for r in rings] for rings in p])) for j, p in rows]
+    f = spark.createDataFrame(polys, f"feature_id int, geometry {G.GEOM}")
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-10, 110, (250, 2)).round(1))]
+    p = spark.createDataFrame(pts + pts[:9] + [(999, None, 1.0), (998, 1.0, None)], "point_id int, x double, y double")
+    got = sorted(tuple(r) for r in pick(p, f, 7.0, whole=0).collect())
+    assert got == sorted(tuple(r) for r in p.join(f, G.inside(F.col("x"), F.col("y"), F.col("geometry")["polys"])).select("point_id", "feature_id").collect())
+    assert got == sorted(tuple(r) for r in pick(p, f, 7.0).collect()) and len(got) > len(set(got))
+
+
+def test_pick_top(spark):
+    square = lambda x, s: [[(float(a), float(b)) for a, b in ((x, 0), (x + s, 0), (x + s, s), (x, s), (x, 0))]]
+    rows = [("areas", 9, False, 0, 100), ("walks", 1, True, 0, 50), ("walks", 1, True, 10, 50), ("sites", 2, True, 20, 10)]
+    f = spark.createDataFrame([(f"{n} {k}", o, p, ("Polygon", 2263, [square(x, s)])) for k, (n, o, p, x, s) in enumerate(rows)], f"feature_id string, draw_order int, pickable boolean, geometry {G.GEOM}")
+    p = spark.createDataFrame([(1, 5.0, 5.0), (2, 15.0, 5.0), (3, 25.0, 5.0), (4, 80.0, 5.0), (5, 200.0, 5.0), (3, 25.0, 5.0)], "point_id int, x double, y double")
+    assert sorted(map(tuple, pick_top(p, f, 8.0).collect())) == [(1, 1, "walks 1"), (2, 1, "walks 2"), (3, 2, "sites 3")]
