@@ -23,6 +23,63 @@ def _crosses(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool
     return bool(((s1 * s2 < 0) & (s3 * s4 < 0)).any())
 
 
+class EdgeGrid:
+    """The edges of all rings of a geometry by the cells of their bounding boxes. An edge
+    uses the level whose cells its box fits in, so it lies in four at most; a shortcut
+    is held against the edges of the cells that its own box touches."""
+
+    def __init__(self, rings: list[np.ndarray]):
+        self.base = np.append(0, np.cumsum([max(len(r) - 1, 0) for r in rings]))
+        ends = [(r[:-1], r[1:]) for r in rings if len(r) > 1]
+        self.a, self.b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros((0, 2)) for k in (0, 1))
+        low, high = np.minimum(self.a, self.b), np.maximum(self.a, self.b)
+        n = len(self.a)
+        self.origin = low.min(axis=0) if n else np.zeros(2)
+        side = (high - low).max(axis=1)
+        extent = float((high - self.origin).max()) if n else 0.0
+        self.unit = max(extent / max(np.sqrt(n), 1.0), extent * 2.0**-40) or 1.0
+        level = np.ceil(np.log2(np.maximum(side / self.unit, 1.0))).astype(int)
+        self.levels = []
+        for k in np.unique(level).tolist():
+            mine, cell = np.flatnonzero(level == k), self.unit * 2.0**k
+            c0, c1 = (np.floor((v[mine] - self.origin) / cell).astype(np.int64) for v in (low, high))
+            which, x, y = [], [], []
+            for dx in (0, 1):
+                for dy in (0, 1):  # the box of an edge touches two columns and rows at most
+                    ok = (c0[:, 0] + dx <= c1[:, 0]) & (c0[:, 1] + dy <= c1[:, 1])
+                    which.append(mine[ok])
+                    x.append(c0[ok, 0] + dx)
+                    y.append(c0[ok, 1] + dy)
+            which, x, y = (np.concatenate(v) for v in (which, x, y))
+            width = int(x.max()) + 1
+            key = y * width + x
+            order = np.argsort(key, kind="stable")
+            self.levels.append((cell, width, int(y.max()) + 1, key[order], which[order]))
+
+    def near(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Numbers of the edges in the cells that the box of pq touches."""
+        low, high, found = np.minimum(p, q) - self.origin, np.maximum(p, q) - self.origin, []
+        for cell, width, height, keys, edges in self.levels:
+            x0, x1 = max(int(low[0] // cell), 0), min(int(high[0] // cell), width - 1)
+            y0, y1 = max(int(low[1] // cell), 0), min(int(high[1] // cell), height - 1)
+            if x1 < x0 or y1 < y0:
+                continue
+            if (y1 - y0 + 1) * 8 > len(keys):  # nearly all of it
+                found.append(edges)
+                continue
+            rows = np.arange(y0, y1 + 1, dtype=np.int64) * width
+            first, last = np.searchsorted(keys, rows + x0), np.searchsorted(keys, rows + x1, side="right")
+            found += [edges[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True) if j > i]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def crossed(self, p: np.ndarray, q: np.ndarray, skip: tuple[int, int]) -> bool:
+        """Whether pq properly crosses an edge that is not numbered from skip[0] to
+        skip[1] - 1."""
+        e = self.near(p, q)
+        e = e[(e < skip[0]) | (e >= skip[1])]
+        return len(e) > 0 and _crosses(p, q, self.a[e], self.b[e])
+
+
 def _farthest(v: np.ndarray, i: int, j: int) -> tuple[int, float]:
     """The vertex between i and j farthest from their segment."""
     d, w = v[j] - v[i], v[i + 1 : j] - v[i]
@@ -33,13 +90,13 @@ def _farthest(v: np.ndarray, i: int, j: int) -> tuple[int, float]:
     return i + 1 + k, float(np.sqrt(far[k]))
 
 
-def simplify_ring(ring: np.ndarray, tolerance: float, others: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def simplify_ring(ring: np.ndarray, tolerance: float, grid: EdgeGrid, first: int = 0) -> np.ndarray:
     """A closed subset of the ring's vertices, at least four of them, within the
-    tolerance. A shortcut that would cross another edge of the geometry is split."""
+    tolerance. A shortcut that would cross another edge of the geometry, whose edges
+    are in ``grid``, the ring's from number ``first`` on, is split."""
     n = len(ring)
     if n <= 4 or tolerance <= 0:
         return ring
-    start, end = ring[:-1], ring[1:]
     half = int(((ring[:-1] - ring[0]) ** 2).sum(axis=1).argmax())
     keep = np.zeros(n, bool)
     keep[[0, n - 1]] = True
@@ -53,9 +110,7 @@ def simplify_ring(ring: np.ndarray, tolerance: float, others: tuple[np.ndarray,
         if j - i < 2:
             continue
         k, far = _farthest(ring, i, j)
-        apart = np.ones(n - 1, bool)
-        apart[i:j] = False
-        if far > tolerance or _crosses(ring[i], ring[j], start[apart], end[apart]) or (len(others[0]) and _crosses(ring[i], ring[j], *others)):
+        if far > tolerance or grid.crossed(ring[i], ring[j], (first + i, first + j)):
             keep[k] = True
             stack += [(i, k), (k, j)]
     if keep.sum() < 4:  # the farthest vertices on either side of the chord stay too
@@ -81,10 +136,8 @@ def simplify_polys(polys: pa.Array, tolerance: float) -> pa.Array:
     none, out = np.zeros((0, 2)), []
     for first, last in zip(of_ring[of_part[:-1]].tolist(), of_ring[of_part[1:]].tolist(), strict=True):
         mine = [xy[of_vertex[k] : of_vertex[k + 1]] for k in range(first, last)]
-        for i, ring in enumerate(mine):
-            rest = [r for j, r in enumerate(mine) if j != i and len(r) > 1]
-            others = (np.concatenate([r[:-1] for r in rest]), np.concatenate([r[1:] for r in rest])) if rest else (none, none)
-            out.append(simplify_ring(ring, tolerance, others))
+        grid = EdgeGrid(mine) if tolerance > 0 and any(len(r) > 4 for r in mine) else None
+        out += [simplify_ring(ring, tolerance, grid, int(grid.base[i]) if grid else 0) for i, ring in enumerate(mine)]
     flat = np.concatenate(out) if out else none
     points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
     lists = pa.ListArray.from_arrays(pa.array(_offsets(np.array([len(r) for r in out], np.int64))), points)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from scoremap.functions import geometry as G
 from scoremap.operators import layers as L
 from scoremap.operators.pick import pick, pick_top
-from scoremap.operators.simplify import simplify, simplify_ring
+from scoremap.operators.simplify import EdgeGrid, _crosses, simplify, simplify_ring
 from scoremap.sources import literals
 
 
@@ -62,8 +63,7 @@ def test_buffer_and_domes(spark):
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=3, max_size=25), st.sampled_from([0.0, 1.0, 5.0, 20.0]))
 def test_simplify_ring(points, tolerance):
     ring = np.array([*points, points[0]], float)
-    none = (np.zeros((0, 2)), np.zeros((0, 2)))
-    out = simplify_ring(ring, tolerance, none)
+    out = simplify_ring(ring, tolerance, EdgeGrid([ring]))
     assert len(out) >= 4 and (out[0] == out[-1]).all()
     rows = ring.tolist()
     at = -1
@@ -127,3 +127,35 @@ def test_pick_top(spark):
     f = spark.createDataFrame([(f"{n} {k}", o, p, ("Polygon", 2263, [square(x, s)])) for k, (n, o, p, x, s) in enumerate(rows)], f"feature_id string, draw_order int, pickable boolean, geometry {G.GEOM}")
     p = spark.createDataFrame([(1, 5.0, 5.0), (2, 15.0, 5.0), (3, 25.0, 5.0), (4, 80.0, 5.0), (5, 200.0, 5.0), (3, 25.0, 5.0)], "point_id int, x double, y double")
     assert sorted(map(tuple, pick_top(p, f, 8.0).collect())) == [(1, 1, "walks 1"), (2, 1, "walks 2"), (3, 2, "sites 3")]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 4), st.sampled_from([0, 1, 8]))
+def test_the_grid_finds_all_crossings(seed, n_rings, digits):
+    rng = np.random.default_rng(seed)
+    rings = []
+    for _ in range(n_rings):
+        v = (rng.uniform(0, 100, 2) + rng.uniform(-1, 1, (int(rng.integers(3, 60)), 2)) * 10.0 ** rng.integers(-2, 3)).round(digits)
+        rings.append(np.vstack([v, v[:1]]))
+    grid = EdgeGrid(rings)
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    for _ in range(30):
+        p, q = rng.uniform(-20, 120, (2, 2)).round(digits)
+        i, j = sorted(rng.integers(0, len(a) + 1, 2).tolist())
+        apart = np.ones(len(a), bool)
+        apart[i:j] = False
+        assert grid.crossed(p, q, (i, j)) == _crosses(p, q, a[apart], b[apart])
+
+
+def test_simplify_a_large_ring():
+    """1e5 vertices with wiggles inside the tolerance: in seconds, and without crossings."""
+    n = 100_000
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = 1000 + 200 * np.sin(9 * angle) + np.random.default_rng(2).uniform(-0.5, 0.5, n)
+    ring = np.column_stack([r * np.cos(angle), r * np.sin(angle)])
+    ring = np.vstack([ring, ring[:1]])
+    began = time.time()
+    out = simplify_ring(ring, 1.0, EdgeGrid([ring]))
+    assert time.time() - began < 60 and 4 <= len(out) < n / 20
+    edges = EdgeGrid([out])
+    assert not any(edges.crossed(out[k], out[k + 1], (k, k + 1)) for k in range(len(out) - 1))
