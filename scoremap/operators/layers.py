@@ -21,6 +21,16 @@ def visible(layers: DataFrame, names: list[str]) -> DataFrame:
     return layers.where(F.col("layer").isin(names)) if names else layers.limit(0)
 
 
+def visible_to(layers: DataFrame, selections: DataFrame, user: str = "user") -> DataFrame:
+    """``<user>`` and the rows of each layer that it has selected, once however often it did.
+
+    ``selections`` has ``<user>, layer``; a user without a known layer sees nothing. On
+    layers partitioned by ``layer`` the filtered selections prune files at run time.
+    """
+    chosen = selections.select(user, "layer").where("layer is not null").distinct()
+    return layers.join(chosen, "layer").select(user, *layers.columns)
+
+
 def assemble(**layers: DataFrame) -> DataFrame:
     """All layers in one frame with a ``layer`` column; missing columns are null."""
     named = [df.withColumn("layer", F.lit(name)) for name, df in layers.items()]

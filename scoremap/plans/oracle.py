@@ -103,6 +103,10 @@ m AS (SELECT s_suppkey, string_agg(rings, ',' ORDER BY poly) AS c FROM q GROUP B
 SELECT s_suppkey, '{{"type":"Feature","properties":{{"id":' || s_suppkey || ',"name":"' || s_name || '","video":null}},"geometry":{{"type":' || CASE WHEN s_suppkey % 5 = 0 THEN '"MultiPolygon","coordinates":[' || c || ']' ELSE '"Polygon","coordinates":' || c END || '}}}}' AS feature
 FROM m JOIN supplier USING (s_suppkey)""",
         "csv_layer": f"WITH {_boxes()} SELECT v.*, s_acctbal AS score FROM v JOIN supplier USING (s_suppkey)",
+        "csv_ranges": f"WITH {_boxes()} SELECT v.*, s_acctbal AS score FROM v JOIN supplier USING (s_suppkey)",
+        "geojson_collections": f"WITH {_boxes()} SELECT v.*, s_name FROM v JOIN supplier USING (s_suppkey)",
+        "selected_layers": """WITH s AS (SELECT DISTINCT n_name AS user, 'size ' || (n_nationkey % 7 + 2) AS layer FROM nation WHERE n_regionkey = 1)
+SELECT s."user", layer, '{"p_partkey":' || p_partkey || '}' AS feature FROM part JOIN s ON layer = 'size ' || p_size % 10""",
         "geojson_layer": f"WITH {_boxes()} SELECT v.*, 'segments' AS layer, s_name FROM v JOIN supplier USING (s_suppkey)",
         "boundary_layer": f"""WITH p AS (SELECT s_suppkey, 'B' || s_suppkey % 5 AS boro_name, k, {slon} + CASE WHEN k IN (1, 2) THEN 0.001::DOUBLE ELSE 0 END AS lon, {slat} + CASE WHEN k = 2 THEN 0.001::DOUBLE ELSE 0 END AS lat FROM supplier, range(4) AS t(k))
 SELECT boro_name, s_suppkey, k, round({sx}, 3) AS x, round({sy}, 3) AS y FROM p""",

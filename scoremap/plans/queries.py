@@ -153,6 +153,25 @@ def csv_layer(spark, sf_dir):
     return L.vertices(back.select(F.col("segment_id").cast("long").alias("s_suppkey"), "score", "geometry"))
 
 
+def csv_ranges(spark, sf_dir):
+    """The same with line breaks inside of quotes, read by byte ranges."""
+    path = _place(spark, "csv")
+    rows = boxes(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit('\n"'), "s_suppkey", F.lit('"\n')).alias("note"), F.col("s_acctbal").alias("score"), F.regexp_replace("wkt", ", ", ",\n").alias("geometry"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    back = readers.read_scored_csv(spark, path, id_col="id", multi_line=True, range_bytes=8192)
+    return L.vertices(back.select(F.col("segment_id").cast("long").alias("s_suppkey"), "score", "geometry"))
+
+
+def geojson_collections(spark, sf_dir):
+    """FeatureCollections of 500 features, read by byte ranges."""
+    path = _place(spark, "collections")
+    seg = boxes(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.floor(F.col("s_suppkey") / 500).alias("part"), feature(G.wkt_to_geom(F.col("wkt")), s_suppkey=F.col("s_suppkey"), s_name=F.col("s_name")).alias("f"))
+    whole = seg.groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ",\n"), F.lit("]}")).alias("value"))
+    whole.repartition("part").write.partitionBy("part").text(path)
+    back = readers.read_geojson(spark, f"{path}/part=*", srid=G.STATE_PLANE, range_bytes=16384)
+    return L.vertices(back.select(F.col("properties")["s_suppkey"].cast("long").alias("s_suppkey"), F.col("properties")["s_name"].alias("s_name"), "geometry"))
+
+
 def geojson_layer(spark, sf_dir):
     """Features written one per line and read back, beside a layer that is not there."""
     path = _place(spark, "geojson")
@@ -183,6 +202,17 @@ def layer_files(spark, sf_dir):
     return spark.read.parquet(f"{path}/features").where("layer in ('size 1', 'size 3')").select("layer", "feature")
 
 
+def selected_layers(spark, sf_dir):
+    """Layers on files, shown as a table of users' selections says: Spark prunes the files
+    of layers that the table, filtered to active users, does not name."""
+    path = _place(spark, "layers")
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("size "), F.col("p_size") % 10).alias("layer"), F.to_json(F.struct("p_partkey")).alias("feature"))
+    write_layers(parts, path)
+    nations = table(spark, sf_dir, "nation")
+    selections = nations.select(F.col("n_name").alias("user"), F.concat(F.lit("size "), F.col("n_nationkey") % 7 + 2).alias("layer"), (F.col("n_regionkey") == 1).alias("active"))
+    return L.visible_to(spark.read.parquet(f"{path}/features"), selections.where("active"), "user").select("user", "layer", "feature")
+
+
 def feed_files(spark, sf_dir):
     """Feed items written as XML and read back."""
     path = _place(spark, "feed")
@@ -415,7 +445,7 @@ ALL = [
     map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
     circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, pick_layers, pick_large, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
     tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, selection_event_time, lookup_sites, known_sites, line_ordinal,
-    csv_layer, geojson_layer, boundary_layer, layer_files, feed_files, markdown_docs, hover_labels,
+    csv_layer, csv_ranges, geojson_layer, geojson_collections, boundary_layer, layer_files, selected_layers, feed_files, markdown_docs, hover_labels,
 ]
 
 

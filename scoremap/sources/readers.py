@@ -8,32 +8,49 @@ from pyspark.sql import functions as F
 
 from scoremap.functions import documents as D
 from scoremap.functions import geometry as G
+from scoremap.sources.ranges import RANGE_BYTES, csv_records, feature_texts
 
 
-def read_scored_csv(spark: SparkSession, path: str, srid: int = G.STATE_PLANE, id_col: str | None = None) -> DataFrame:
+def read_scored_csv(spark: SparkSession, path: str, srid: int = G.STATE_PLANE, id_col: str | None = None, multi_line: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``segment_id, score, geometry, wkt`` of a headered CSV with a quoted WKT column.
 
+    Several tasks read a large file. With ``multi_line`` quoted values may hold line breaks;
+    then the file is read twice, in ranges of ``range_bytes``, and all files need the
+    same header.
+
     Columns are found by the header. NaN and empty scores are null; a geometry that
     does not parse is null and keeps its text in ``wkt``. Without an id column the
     id is a digest of the row, as row order means nothing over many files.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    if multi_line:
+        records = csv_records(spark, path, range_bytes).where("value <> ''")
+        header = spark.read.option("header", True).option("escape", '"').csv(path).schema
+        cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in header.names), {"escape": '"', "multiLine": "true"})
+        first = F.concat_ws("\x1f", *[F.coalesce(cells[c], F.lit("")) for c in header.names])
+        raw = records.where(first != "\x1f".join(header.names)).select(cells.alias("c")).select("c.*")
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').csv(path)
     ident = F.col(id_col) if id_col else F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in raw.columns]), 256)
     score = F.expr("try_cast(score as double)")
     return raw.select(ident.alias("segment_id"), F.when(~F.isnan(score), score).alias("score"), G.wkt_to_geom(F.col("geometry"), srid).alias("geometry"), F.col("geometry").alias("wkt"))
 
 
+_FEATURE_FIELDS = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
 _FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
 
-def read_geojson(spark: SparkSession, path: str, lines: bool = False, srid: int = G.WGS84) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, lines: bool = False, srid: int = G.WGS84, range_bytes: int | None = None) -> DataFrame:
     """``properties map<string,string>, geometry``, one row per feature.
 
     ``lines``: one feature per line, which Spark can split; otherwise each file is a
-    FeatureCollection.
+    FeatureCollection, read whole by one task, or with ``range_bytes`` in ranges of so
+    many bytes by many tasks.
     """
     if lines:
-        features = spark.read.schema("type string, properties map<string,string>, geometry struct<type:string,coordinates:string>").json(path)
+        features = spark.read.schema(_FEATURE_FIELDS).json(path)
+    elif range_bytes:
+        found = feature_texts(spark, path, range_bytes).select(F.from_json("value", _FEATURE_FIELDS).alias("f"))
+        features = found.where("f.type = 'Feature'").select("f.*")
     else:
         whole = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
         features = whole.select(F.explode("features").alias("f")).select("f.*")
