@@ -81,6 +81,7 @@ SELECT s_suppkey, score, floor(score * 10)::INT AS bin, {_PALETTE}[floor(score *
         "score_ramp_scaled": f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, floor(score * 2.5::DOUBLE * 10)::INT AS line_bin, least(floor(score * 2.5::DOUBLE * 10)::INT, 10) AS clamped, {_PALETTE}[floor(score * 2.5::DOUBLE * 10)::INT + 1] AS css FROM s",
         "score_label": f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, printf('Score: %.1f%%', score * 100) AS label, CASE WHEN score <> 0 THEN printf('Score: %.1f%%', score * 100) END AS label_nonzero FROM s",
         "score_percentile": "SELECT l_orderkey, l_linenumber, l_returnflag, percent_rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS percentile FROM lineitem",
+        "score_sketches": "SELECT l_returnflag, i AS decile, count(*) AS n, true AS within FROM lineitem, range(1, 10) AS t(i) WHERE month(l_shipdate) <= 6 GROUP BY l_returnflag, i",
         "score_default_null": "SELECT doc_id, coalesce(quality::DOUBLE, 0) AS score FROM documents LEFT JOIN labels USING (doc_id)",
         "borough_filter": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
         "wkt_roundtrip": f"WITH {_boxes()} SELECT * FROM v",

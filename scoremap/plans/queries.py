@@ -15,6 +15,7 @@ from scoremap.operators import documents as docs_ops
 from scoremap.operators import events as ev
 from scoremap.operators import layers as L
 from scoremap.operators import scoring as sc
+from scoremap.operators import sketches as sk
 from scoremap.operators.pick import pick, pick_top
 from scoremap.operators.simplify import simplify
 from scoremap.plans.inputs import boxes, lat, lon, sites_of, table
@@ -78,6 +79,20 @@ def score_percentile_bins(spark, sf_dir):
     return sc.percentile_bins(lines, "l_extendedprice").select(*LINE, "bin")
 
 
+def score_sketches(spark, sf_dir):
+    """Deciles per flag from stored sketches of days, merged over the months up to June;
+    whether their exact ranks are within twice the stated error."""
+    path = _place(spark, "sketches")
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.month("l_shipdate").alias("month"), F.to_date("l_shipdate").alias("day"), "l_extendedprice")
+    sk.write_sketches(sk.day_sketches(lines.select("l_returnflag", F.struct("month", "day").alias("d"), "l_extendedprice"), "l_returnflag", "d", "l_extendedprice").select("l_returnflag", "n", "sketch", "d.month"), path, "month")
+    found = sk.merged(sk.read_sketches(spark, path).where("month <= 6"), "l_returnflag")
+    shares = [i / 10 for i in range(1, 10)]
+    cuts = found.select("l_returnflag", "n", F.posexplode(sk.quantiles(F.col("sketch"), shares)).alias("pos", "cut"))
+    below = lines.where("month <= 6").join(cuts, "l_returnflag").groupBy("l_returnflag", "n", "pos").agg(F.count_if(F.col("l_extendedprice") <= F.col("cut")).alias("upto"))
+    off = F.abs(F.col("upto") / F.col("n") - (F.col("pos") + 1) / 10)
+    return below.select("l_returnflag", (F.col("pos") + 1).alias("decile"), "n", (off <= 2 * sk.rank_error()).alias("within"))
+
+
 def score_default_null(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
@@ -442,7 +457,7 @@ def line_ordinal(spark, sf_dir):
 
 
 ALL = [
-    map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
+    map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_sketches, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
     circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, pick_layers, pick_large, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
     tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, selection_event_time, lookup_sites, known_sites, line_ordinal,
     csv_layer, csv_ranges, geojson_layer, geojson_collections, boundary_layer, layer_files, selected_layers, feed_files, markdown_docs, hover_labels,
