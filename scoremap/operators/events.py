@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoremap.operators.prefix import with_slices
+from scoremap.operators.prefix import WHOLE_KEY, has_hot_key, with_slices
 
 
 def _sliced(events: DataFrame, key: str, item: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -43,21 +43,35 @@ def _met(cut: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     return cut.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_s")))
 
 
-def selection_toggle(events: DataFrame, key: str, item: str, order: list[str], out: str = "active") -> DataFrame:
+def _numbered_runs(events: DataFrame, key: str, item: str, order: list[str]) -> DataFrame:
+    """``events`` with ``_nth``, the place in its run, by windows over whole keys."""
+    w = Window.partitionBy(key).orderBy(*order)
+    new = F.col(item).isNull() | ~F.col(item).eqNullSafe(F.lag(item).over(w))
+    runs = events.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # rows of a run follow each other, so the next window needs no shuffle
+    return runs.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order)))
+
+
+def selection_toggle(events: DataFrame, key: str, item: str, order: list[str], out: str = "active", whole_key: int = WHOLE_KEY) -> DataFrame:
     """The active item after each event: a click on the active item clears it, on
     another selects that, and a null item closes.
 
     Within a run of clicks on one item every other click is active; a close ends
-    the run.
+    the run. If a key has more than ``whole_key`` events, keys are worked on in slices.
     """
+    if not has_hot_key(events, key, whole_key):
+        return _numbered_runs(events, key, item, order).withColumn(out, F.when(F.col("_nth") % 2 == 1, F.col(item))).select(*events.columns, out)
     cut, ends = _sliced(events, key, item, order)
     nth = F.col("_nth") + F.when(F.col("_head"), F.coalesce("_carry", F.lit(0))).otherwise(0)
     return _met(cut, ends, key).withColumn(out, F.when(nth % 2 == 1, F.col("_item"))).select(*events.columns, out)
 
 
-def selection_changes(events: DataFrame, key: str, item: str, order: list[str]) -> DataFrame:
+def selection_changes(events: DataFrame, key: str, item: str, order: list[str], whole_key: int = WHOLE_KEY) -> DataFrame:
     """Events whose item differs from the one before; the first always does unless
-    it is null."""
+    it is null. If a key has more than ``whole_key`` events, keys are worked on in slices."""
+    if not has_hot_key(events, key, whole_key):
+        before = F.lag(item).over(Window.partitionBy(key).orderBy(*order))
+        return events.withColumn("_before", before).where(~F.col(item).eqNullSafe(F.col("_before"))).select(*events.columns)
     cut = with_slices(events, order[0]).withColumn("_item", F.col(item))
     w = Window.partitionBy(key, "_slice").orderBy(*order)
     cut = cut.withColumns({"_last": F.lag("_item").over(w), "_begins": F.row_number().over(w) == 1})

@@ -28,6 +28,16 @@ def with_slices(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("_coarse", coarse).withColumn("_slice", F.col("_coarse") * STEPS + F.when(number.isNull(), 0).otherwise(fine)).drop("_coarse")
 
 
+#: Keys with no more rows than this are sorted in one task each, which is faster.
+WHOLE_KEY = 1_000_000
+
+
+def has_hot_key(df: DataFrame, key: str, limit: int = WHOLE_KEY) -> bool:
+    """Whether some key has more rows than one task should sort: one job that counts
+    keys where the rows lie."""
+    return bool(df.groupBy(key).count().where(F.col("count") > limit).limit(1).count())
+
+
 def running_counts(counts: DataFrame, key: str, value: str, n: str) -> DataFrame:
     """``counts`` (a row per key and value) with ``_below`` and ``_total``: the sum of
     ``n`` over the key's smaller values, and over all.

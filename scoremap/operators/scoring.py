@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoremap.functions import scores as S
-from scoremap.operators.prefix import running_counts
+from scoremap.operators.prefix import WHOLE_KEY, has_hot_key, running_counts, with_slices
 
 
 def normalise(df: DataFrame, col: str, out: str = "score") -> DataFrame:
@@ -23,11 +23,15 @@ def style(df: DataFrame, score: str = "score", **columns) -> DataFrame:
     return df.withColumns({name: f(F.col(score)) for name, f in columns.items()})
 
 
-def percentile(df: DataFrame, key: str, value: str, out: str = "percentile") -> DataFrame:
-    """Exact ``percent_rank`` within each key. Rows with equal values are counted
-    first and the counts summed over value ranges, so no task sorts all of a key's
-    rows; null values have no rank."""
+def percentile(df: DataFrame, key: str, value: str, out: str = "percentile", whole_key: int = WHOLE_KEY) -> DataFrame:
+    """Exact ``percent_rank`` within each key; null values have no rank. If a key has
+    more than ``whole_key`` rows, equal values are counted first and the counts summed
+    over value ranges, so that no task sorts all of a key's rows."""
     v = S.known(F.col(value).cast("double"))
+    if not has_hot_key(df, key, whole_key):
+        known = F.col("_x").isNotNull()
+        rank = F.percent_rank().over(Window.partitionBy(key, known).orderBy("_x"))
+        return df.withColumn("_x", v).withColumn(out, F.when(known, rank)).drop("_x")
     counts = df.select(key, v.alias("_v")).where("_v is not null").groupBy(key, "_v").agg(F.count("*").alias("_n"))
     ranked = running_counts(counts, key, "_v", "_n")
     rank = F.coalesce(F.try_divide(F.col("_below"), F.col("_total") - 1), F.lit(0.0))
@@ -54,10 +58,10 @@ def composite_score(obs: DataFrame, weights: DataFrame, scales: DataFrame, segme
 
     A code counts as its share of the scale's highest; indicators without a weight,
     a scale or a code in range are left out and counted. ``weights`` and ``scales``
-    are catalogues with a row per indicator.
+    are catalogues with a row per indicator; Spark broadcasts them if they are small.
     """
     top = scales.select("indicator", F.array_max(F.transform(parse_scale(F.col("scale")), lambda s: s["code"])).alias("top"))
-    rated = obs.join(F.broadcast(weights), "indicator", "left").join(F.broadcast(top), "indicator", "left")
+    rated = obs.join(weights, "indicator", "left").join(top, "indicator", "left")
     share = F.when(F.col("code").between(0, F.col("top")), F.try_divide(F.col("code"), F.col("top")))
     used = share.isNotNull() & F.col("weight").isNotNull()
     sums = rated.groupBy(segment).agg(
@@ -78,6 +82,18 @@ def extreme_ratio(df: DataFrame, score: str, keys: list[str] | None = None) -> D
     return df.groupBy(*keys).agg(ratio) if keys else df.agg(ratio)
 
 
-def ordinal(df: DataFrame, key: str, order: list[str], out: str = "ordinal") -> DataFrame:
-    """Zero-based position of a row within its key."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def ordinal(df: DataFrame, key: str, order: list[str], out: str = "ordinal", whole_key: int = WHOLE_KEY) -> DataFrame:
+    """Zero-based position of a row within its key. If a key has more than ``whole_key``
+    rows and the first order column is a number or a time, rows are placed within slices
+    of it (null is in the first), and slices by their counts."""
+    kind = df.schema[order[0]].dataType.typeName()
+    sliceable = kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith(("timestamp", "decimal"))
+    if not sliceable or not has_hot_key(df, key, whole_key):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    sliced = with_slices(df, order[0])
+    counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(key).alias("_key"), F.col("_slice").alias("_s"), before.alias("_before"))
+    met = sliced.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_s")))
+    place = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order)) - 1 + F.col("_before")
+    return met.withColumn(out, place.cast("int")).drop("_slice", "_key", "_s", "_before")

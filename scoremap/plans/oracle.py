@@ -135,6 +135,11 @@ SELECT l_orderkey, l_linenumber, max(draw_order) AS draw_order, arg_max(s_suppke
         # between 2 k and 2 k + 1 the border falls from the customer's height to 0
         "pick_large": """WITH o AS (SELECT o_orderkey, o_orderkey * 71 % 1600 - 600.5::DOUBLE AS x, o_custkey * 379 % 1000 AS h FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
 SELECT o_orderkey, 1 AS region FROM o WHERE x > -500 AND x < h * 0.5::DOUBLE""",
+        "simplify_invariants": "SELECT l_orderkey, (count(*) + 1)::INT AS n_before, true AS is_closed, true AS is_subset, true AS is_ring, true AS within FROM lineitem GROUP BY 1 HAVING count(*) >= 3",
+        "feed_dated": "SELECT o_orderpriority AS title, o_orderdate AS pub_date, o_orderstatus AS description, '/blog/' || o_orderkey || '/' AS link FROM orders",
+        "doc_ids": "SELECT doc_id, 'my post+' || doc_id || 'é' AS id FROM documents",
+        "outline_markdown": "SELECT doc_id, i AS pos, CASE i WHEN 0 THEN 1 ELSE 3 END AS depth, CASE i WHEN 0 THEN source || ' Part' ELSE lang || '  two' END AS text, CASE i WHEN 0 THEN lower(source) || '-part' ELSE lower(lang) || '-two' END AS slug FROM documents, range(2) AS t(i) WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL",
+        "percentile_bin_shares": "SELECT i::INT AS bin, true AS even FROM range(11) AS t(i)",
         "composite_score": f"""WITH {_OBS}, j AS (SELECT segment_id, CASE WHEN i % 6 <> 0 THEN 1 + i % 4 END AS w, CASE WHEN code <= top THEN code / top::DOUBLE END AS v FROM obs JOIN c USING (i))
 SELECT segment_id, round(sum(w * v) / sum(w) FILTER (v IS NOT NULL), 9) AS composite, count(*) FILTER (w IS NOT NULL AND v IS NOT NULL) AS n_used, count(*) FILTER (w IS NULL OR v IS NULL) AS n_missing FROM j GROUP BY segment_id""",
         "scale_levels": f"WITH {_OBS}, l(indicator, code, label) AS (VALUES {_LEVEL_ROWS}) SELECT indicator, code, label, count(*) AS n FROM obs JOIN c USING (i) JOIN l USING (indicator, code) GROUP BY ALL",

@@ -236,6 +236,36 @@ def feed_files(spark, sf_dir):
     return spark.read.option("rowTag", "item").schema("title string, description string, link string").xml(path)
 
 
+def feed_dated(spark, sf_dir):
+    """Feed items with dates written as XML and read back."""
+    path = _place(spark, "feed")
+    o = table(spark, sf_dir, "orders")
+    write_feed(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").cast("timestamp").alias("pub_date"), F.col("o_orderstatus").alias("description")), path)
+    back = spark.read.option("rowTag", "item").schema("title string, pubDate timestamp, description string, link string").xml(path)
+    return back.select("title", F.col("pubDate").cast("timestamp_ntz").alias("pub_date"), "description", "link")
+
+
+def doc_ids(spark, sf_dir):
+    """Ids of documents by the paths of their files."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("file:///srv/blog/"), "source", F.lit("/my%20post+"), k.cast("string"), F.lit("%C3%A9.md"))
+    return table(spark, sf_dir, "documents").select("doc_id", D.doc_id(path).alias("id"))
+
+
+def outline_markdown(spark, sf_dir):
+    """Headings of Markdown bodies made from documents."""
+    body = F.concat(F.lit("# "), "source", F.lit(" Part\n\n"), F.regexp_replace("text", "(?m)^#", "."), F.lit("\n### "), "lang", F.lit("  two ##\nend"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(D.outline_markdown(body)).alias("pos", "h"))
+    return docs.select("doc_id", "pos", "h.depth", "h.text", "h.slug")
+
+
+def percentile_bin_shares(spark, sf_dir):
+    """Rows per approximate bin: each holds its share of the rows to within an error."""
+    bins = score_percentile_bins(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n"))
+    total = bins.agg(F.sum("n")).scalar()
+    return bins.select("bin", (F.abs(F.col("n") / total - 1 / 11) <= 0.005).alias("even"))
+
+
 def markdown_docs(spark, sf_dir):
     """A Markdown file per nation, read and typed."""
     path = _place(spark, "docs")
@@ -276,6 +306,30 @@ def simplify_lines(spark, sf_dir):
     return after.select("l_orderkey", count("g").alias("n_before"), count("s").alias("n_after"))
 
 
+def simplify_invariants(spark, sf_dir):
+    """What holds for every simplified ring: it is closed, its vertices are some of the
+    old ones, at least four (or all), and each old vertex is within the tolerance of it."""
+    pts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.struct((F.col("l_partkey") % 997).cast("double").alias("x"), (F.col("l_suppkey") % 89).cast("double").alias("y")).alias("v")).alias("p"))
+    rings = pts.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"]).alias("r")).where(F.size("r") >= 3)
+    g = rings.select("l_orderkey", G.geom(F.lit("Polygon"), F.lit(G.STATE_PLANE), F.array(F.array(F.concat("r", F.array(F.get("r", 0)))))).alias("g"))
+    ring = lambda c: F.get(F.get(c["polys"], 0), 0)
+    both = g.select("l_orderkey", ring(F.col("g")).alias("old"), ring(simplify(F.col("g"), 40.0)).alias("new"))
+
+    def off(v, k):
+        """Distance of v from the k-th edge of the new ring."""
+        a, b = F.get("new", k), F.get("new", k + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.coalesce(F.try_divide((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.hypot(a["x"] + t * dx - v["x"], a["y"] + t * dy - v["y"])
+
+    near = F.forall("old", lambda v: F.array_min(F.transform(F.sequence(F.lit(0), F.size("new") - 2), lambda k: off(v, k))) <= 40.0 + 1e-9)
+    return both.select(
+        "l_orderkey", F.size("old").alias("n_before"), (F.get("new", 0) == F.element_at("new", -1)).alias("is_closed"), (F.size(F.array_except("new", "old")) == 0).alias("is_subset"),
+        (F.size("new") >= 4).alias("is_ring"), near.alias("within"),
+    )
+
+
 def pick_points(spark, sf_dir):
     """Lines as points, suppliers' 16-gons of very different sizes as features."""
     points = table(spark, sf_dir, "lineitem").select(*LINE, (F.col("l_partkey") * 37 % 1000 + 0.25).cast("double").alias("x"), (F.col("l_suppkey") * 91 % 1000 + 0.25).cast("double").alias("y"))
@@ -458,9 +512,9 @@ def line_ordinal(spark, sf_dir):
 
 ALL = [
     map_layer, score_minmax, score_ramp, score_ramp_scaled, score_label, score_percentile, score_percentile_bins, score_sketches, score_default_null, borough_filter, wkt_roundtrip, geojson_roundtrip, project_points, project_roundtrip,
-    circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, pick_points, pick_layers, pick_large, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
+    circle_vertices, dome_planar, dome_rings, dome_geographic, geojson_features, visible_layers, simplify_lines, simplify_invariants, pick_points, pick_layers, pick_large, composite_score, scale_levels, weight_share, extreme_ratio, doc_validate, doc_dates, tag_list,
     tag_index, tag_posts, tag_page, recent_docs, reverse_docs, feed_items, doc_pages, outline, embed_urls, selection_toggle, selection_changes, selection_toggle_stream, selection_event_time, lookup_sites, known_sites, line_ordinal,
-    csv_layer, csv_ranges, geojson_layer, geojson_collections, boundary_layer, layer_files, selected_layers, feed_files, markdown_docs, hover_labels,
+    csv_layer, csv_ranges, geojson_layer, geojson_collections, boundary_layer, layer_files, selected_layers, feed_files, feed_dated, doc_ids, outline_markdown, percentile_bin_shares, markdown_docs, hover_labels,
 ]
 
 

@@ -58,12 +58,21 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False, srid: int
     return features.select("properties", G.geojson_to_geom(g["type"], g["coordinates"], srid).alias("geometry"))
 
 
+def _broken(spark: SparkSession, path: str, lines: bool) -> bool:
+    """Whether no record under ``path`` is JSON with what a layer needs."""
+    need = "type" if lines else "features"
+    found = spark.read.schema(f"{need} string").option("multiLine", not lines).json(path)
+    return not found.isEmpty() and found.where(F.col(need).isNotNull()).isEmpty()
+
+
 def read_layers(spark: SparkSession, paths: dict[str, str], lines: bool = False, srid: int = G.WGS84) -> dict[str, DataFrame | None]:
-    """A frame per layer; None for one that cannot be loaded, so that the others show."""
+    """A frame per layer; None for one that cannot be loaded, be it that there is no such
+    path or that nothing there is JSON with features, so that the others show."""
 
     def load(path: str) -> DataFrame | None:
         try:
-            return read_geojson(spark, path, lines, srid)
+            layer = read_geojson(spark, path, lines, srid)
+            return None if _broken(spark, path, lines) else layer
         except AnalysisException:  # no such path, or none that can be read
             return None
 

@@ -37,9 +37,10 @@ def test_normalise_equal_and_nan(spark):
     assert sorted(str(r["score"]) for r in sc.normalise(some, "v").collect()) == ["0.0", "1.0", "None", "None"]
 
 
-def test_percentile_is_percent_rank(spark):
+@pytest.mark.parametrize("whole_key", [0, 1000])
+def test_percentile_is_percent_rank(spark, whole_key):
     rows = [(k, float(v)) for k in "ab" for v in (3, 1, 1, 7, 7, 7, 100)] + [("c", 5.0), ("c", None)]
-    got = {(r["k"], r["v"]): r["percentile"] for r in sc.percentile(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    got = {(r["k"], r["v"]): r["percentile"] for r in sc.percentile(spark.createDataFrame(rows, "k string, v double"), "k", "v", whole_key=whole_key).collect()}
     assert got[("a", 1.0)] == 0.0 and got[("a", 3.0)] == 2 / 6 and got[("b", 7.0)] == 0.5 and got[("b", 100.0)] == 1.0
     assert got[("c", 5.0)] == 0.0 and got[("c", None)] is None
 
@@ -103,6 +104,11 @@ def test_csv_geojson_layers(spark, tmp_path):
     assert {(r["properties"]["segment_id"], r["properties"]["score"], r["geometry"]["type"], len(r["geometry"]["polys"])) for r in back.collect()} == {("1", "0.5", "Polygon", 1), ("2", None, "Polygon", 0)}
     layers = readers.read_layers(spark, {"here": f"file://{tmp_path}/f", "gone": f"file://{tmp_path}/gone"}, lines=True)
     assert layers["gone"] is None and layers["here"].count() == 2
+    (tmp_path / "bad.json").write_text('{"type": "FeatureColl')
+    (tmp_path / "other.json").write_text('{"type": "Topology"}')
+    (tmp_path / "fine.json").write_text('{"type": "FeatureCollection", "features": []}')
+    whole = readers.read_layers(spark, {n: f"file://{tmp_path}/{n}.json" for n in ("bad", "other", "fine")})
+    assert whole["bad"] is None and whole["other"] is None and whole["fine"].count() == 0
     (tmp_path / "c.json").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"BoroName":"Queens","n":1},"geometry":{"type":"MultiPolygon","coordinates":[[[[-74,40.5],[-73.9,40.5],[-73.9,40.6],[-74,40.5]]]]}},{"type":"Feature","properties":{"BoroName":null},"geometry":null}]}')
     b = readers.read_boundaries(spark, f"file://{tmp_path}/c.json").collect()
     assert [r["boro_name"] for r in b] == ["Queens", None] and b[0]["geometry"]["srid"] == 2263 and b[0]["attrs"] == {"n": "1"} and b[1]["geometry"] is None
@@ -114,7 +120,8 @@ def test_csv_geojson_layers(spark, tmp_path):
 CASES = {"A A": "A -", "A B": "A B", "A A A": "A - A", "A x A": "A - A", "A B B A": "A B - A"}
 
 
-def test_selection_equals_state_machine(spark):
+@pytest.mark.parametrize("whole_key", [0, 100_000])
+def test_selection_equals_state_machine(spark, whole_key):
     rows, want = [], {}
     for user, (clicks, active) in enumerate([("A", "A"), *CASES.items()]):
         state = None
@@ -124,12 +131,12 @@ def test_selection_equals_state_machine(spark):
             assert (state or "-") == a
             rows.append((user * 100 + i, i, user, item))
             want[user * 100 + i] = state
-    got = ev.selection_toggle(spark.createDataFrame(rows, "event_id int, ts int, user_id int, item string"), "user_id", "item", ["ts", "event_id"])
+    got = ev.selection_toggle(spark.createDataFrame(rows, "event_id int, ts int, user_id int, item string"), "user_id", "item", ["ts", "event_id"], whole_key=whole_key)
     assert {r["event_id"]: r["active"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("steps", [1, 2, 4, 32])
-def test_long_click_logs_equal_state_machine(spark, monkeypatch, steps):
+@pytest.mark.parametrize(("steps", "whole_key"), [(1, 0), (2, 0), (4, 0), (32, 0), (32, 10_000)])
+def test_long_click_logs_equal_state_machine(spark, monkeypatch, steps, whole_key):
     """Users of very different activity, long runs, ties in time, null users and items,
     over few and many slices."""
     monkeypatch.setattr(prefix, "STEPS", steps)
@@ -142,11 +149,11 @@ def test_long_click_logs_equal_state_machine(spark, monkeypatch, steps):
         if item != last.get(user):
             changes.add(i)
         last[user] = item
-    got = ev.selection_toggle(frame.drop("_slice"), "user_id", "item", ["ts", "event_id"])
+    got = ev.selection_toggle(frame.drop("_slice"), "user_id", "item", ["ts", "event_id"], whole_key=whole_key)
     assert got.columns == ["event_id", "ts", "user_id", "item", "active"] and {r["event_id"]: r["active"] for r in got.collect()} == active
-    assert {r["event_id"] for r in ev.selection_changes(frame.drop("_slice"), "user_id", "item", ["ts", "event_id"]).collect()} == changes
+    assert {r["event_id"] for r in ev.selection_changes(frame.drop("_slice"), "user_id", "item", ["ts", "event_id"], whole_key=whole_key).collect()} == changes
     none = frame.where("event_id < 0").drop("_slice")
-    assert ev.selection_toggle(none, "user_id", "item", ["ts", "event_id"]).isEmpty()
+    assert ev.selection_toggle(none, "user_id", "item", ["ts", "event_id"], whole_key=whole_key).isEmpty()
 
 
 def test_slices_spread_in_spite_of_outliers(spark):
@@ -179,3 +186,15 @@ def test_every_query_equals_its_sql(spark, name):
         names = [c[0] for c in want.description]
         assert sorted(names) == cols
         assert got == collections.Counter(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("whole_key", [0, 10_000])
+def test_ordinals_of_hot_keys(spark, whole_key):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, float(i // 5), -2.0]), i) for i in range(600)]
+    got = sc.ordinal(spark.createDataFrame(rows, "k string, v double, i int"), "k", ["v", "i"], whole_key=whole_key)
+    place = {}
+    for k in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        place |= {r[2]: n for n, r in enumerate(mine)}
+    assert {r["i"]: r["ordinal"] for r in got.collect()} == place and got.columns == ["k", "v", "i", "ordinal"]

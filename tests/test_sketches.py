@@ -35,8 +35,10 @@ def test_merged_days_keep_the_rank_error(spark, tmp_path):
 
 def test_selections_prune_layer_files(spark, tmp_path):
     path = f"file://{tmp_path}/layers"
-    write_layers(spark.range(100).select(F.concat(F.lit("l"), F.col("id") % 10).alias("layer"), F.col("id").cast("string").alias("feature")), path)
-    chosen = spark.createDataFrame([("u", "l1", True), ("u", "l1", True), ("w", "l3", True), ("w", "none", True), ("x", None, True), ("y", "l5", False)], "user string, layer string, active boolean")
-    got = L.visible_to(spark.read.parquet(f"{path}/features"), chosen.where("active")).select("user", "layer", "feature")
+    write_layers(spark.range(100).select(F.concat(F.lit("l"), F.col("id") % 10).alias("layer"), F.col("id").cast("string").alias("feature"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 40).alias("more")), path)
+    chosen = spark.createDataFrame([("u", "l1", 1), ("u", "l1", 1), ("w", "l3", 1), ("w", "none", 1), ("x", None, 1), ("y", "l5", 0)], "user string, layer string, active int")
+    chosen.coalesce(1).write.parquet(f"file://{tmp_path}/chosen")
+    chosen = spark.read.parquet(f"file://{tmp_path}/chosen")
+    got = L.visible_to(spark.read.parquet(f"{path}/features"), chosen.where("active = 1")).select("user", "layer", "feature")
     assert sorted(map(tuple, got.collect())) == sorted([("u", "l1", str(i)) for i in range(1, 100, 10)] + [("w", "l3", str(i)) for i in range(3, 100, 10)], key=lambda r: (r[0], r[1], r[2]))
     assert "dynamicpruning" in got._jdf.queryExecution().toString()
