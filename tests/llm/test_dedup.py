@@ -146,7 +146,9 @@ def test_within_equals_edit_distance():
             assert line_dedup.within(a, b, k) == (edits(a, b) <= k)
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("hot_key", [256, 2, 0])
+def test_lines_equal_brute_force(spark, hot_key):
+    """With 0 all keys count as hot, as often as there are rounds."""
     rng = random.Random(4)
     pool = [words(rng, rng.randint(2, 8)) for _ in range(20)] + [words(rng, 2)[: rng.randint(1, 17)] for _ in range(20)]
     rows = []
@@ -173,7 +175,7 @@ def test_lines_equal_brute_force(spark):
             low = min(name[a], name[b], key=first.get)
             name[a] = name[b] = low
     degree = collections.Counter(x for p in near for x in p)
-    got = {(r["doc_id"], r["line_no"]): r for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    got = {(r["doc_id"], r["line_no"]): r for r in line_dedup.line_dedup(frame(spark, rows), hot_key=hot_key).collect()}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n")):
             r = got.pop((i, n))
@@ -184,6 +186,23 @@ def test_lines_equal_brute_force(spark):
     assert len(text) == len(rows) and sum(len(t.split("\n")) if t else 0 for t in text.values()) <= len(set(name.values()))
 
 
+def test_lines_with_a_common_start(spark):
+    """Thousands of lines that share a segment meet under what follows it."""
+    rng = random.Random(9)
+    start = "the following line was posted by a reader on "
+    lines = [start + "".join(rng.choice("abcdefghij") for _ in range(24)) for _ in range(1500)]
+    lines += [x[:60] + "#" + x[61:] for x in lines[:200]] + [x[:50] + x[51:] for x in lines[100:300]] + [x + "zz" for x in lines[:50]]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    want = collections.Counter()
+    for a in range(len(lines)):
+        for b in range(1500, len(lines)):
+            if b > a and line_dedup.within(lines[a], lines[b], 2):
+                want[a] += 1
+                want[b] += 1
+    got = {r["doc_id"]: r["n_links"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {i: want[i] for i in range(len(lines))} and sum(want.values()) >= 900
+
+
 def brute_spans(rows, match):
     raw = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(r[i : i + match] for r in raw for i in range(len(r) - match + 1))
