@@ -7,7 +7,7 @@ in each seed node, and how much of a node's text is links or stands under a boil
 name. Texts that most pages share are template; of the varying slots those are content
 that the host's pages do not show to be a menu, notice, advert, form or comment thread.
 Where <article> and <main> hold most of a host's text, less link text makes a menu
-outside them. A page is cut by its wrapper; its own markup decides only on elements that
+outside them, and small slots there are its rim, which goes too. A page is cut by its wrapper; its own markup decides only on elements that
 the wrapper lacks, and on hidden ones.
 """
 
@@ -34,6 +34,9 @@ LINK_SHARE = 0.6
 #: The same for slots that lie outside <article> and <main> on a host that has over
 #: half of its text in them.
 OUTSIDE_LINK_SHARE = 0.3
+#: On such a host a slot outside them that has less than this share of the host's text and
+#: no headings is its rim: adverts, notices and teasers, whatever their names and texts.
+RIM_SHARE = 0.1
 #: A node is boilerplate by its name if so much of its text on the host stands there.
 NAMED_SHARE = 0.5
 #: Elements nested deeper become siblings, as in browsers (whose limit is 512).
@@ -100,8 +103,8 @@ class Node:
 
 
 def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, bool, bool]:
-    """The class and id words of a start tag, whether the element is hidden or has a
-    role outside the text, whether it is named as boilerplate, and whether it may be.
+    """The class and id words of a start tag, whether the element is hidden, whether its
+    name or role says boilerplate, and whether its name may.
     ``inside``: the element is part of the content."""
     classes, ids, role, hidden = "", "", "", False
     for m in ATTR.finditer(rest):
@@ -119,9 +122,9 @@ def _attributes(tag: str, rest: str, inside: bool = False) -> tuple[str, bool, b
     words = classes + ids
     named = tag not in ("html", "body", "article", "main") or "comment" in words
     sure = classes if inside or tag in HEADINGS else words
-    bad = named and bool(BOILER.search(sure))
+    bad = named and bool(BOILER.search(sure) or ROLES.search(role))
     doubt = classes if tag in HEADINGS else words
-    return " ".join(sorted(words.split())), hidden or bool(ROLES.search(role)), bad, named and not bad and bool(SUSPECT.search(doubt) or BOILER.search(doubt))
+    return " ".join(sorted(words.split())), hidden, bad, named and not bad and bool(SUSPECT.search(doubt) or BOILER.search(doubt))
 
 
 def parse(html: str | None) -> Node:
@@ -378,33 +381,36 @@ def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def watched(node: Node) -> Iterator[tuple[Node, int | None, int]]:
-    """Text leaves in page order with the seed number of the nearest paired node, and
-    of the nearest paired one that is named or suspect (-1: none)."""
-    stack = [(node, None, -1)]
+def watched(node: Node) -> Iterator[tuple[Node, int | None, int, bool]]:
+    """Text leaves in page order with the seed number of the nearest paired node, of the
+    nearest paired one that is named or suspect (-1: none), and whether it is in a
+    heading."""
+    stack = [(node, None, -1, False)]
     while stack:
-        n, s, w = stack.pop()
+        n, s, w, h = stack.pop()
         if n.seed is not None:
             s = n.seed
             w = s if n.named or n.suspect else w
+        h = h or n.tag in HEADINGS
         if n.tag == "#":
-            yield n, s, w
-        stack += [(c, s, w) for c in reversed(n.children)]
+            yield n, s, w, h
+        stack += [(c, s, w, h) for c in reversed(n.children)]
 
 
 def leaves(node: Node) -> Iterator[tuple[Node, int | None]]:
     """Text leaves in page order with the seed number of the nearest paired node."""
-    for n, s, _ in watched(node):
+    for n, s, *_ in watched(node):
         yield n, s
 
 
 def kept_blocks(root: Node, wrapper: dict) -> list[str]:
     """The texts of the content blocks. ``wrapper``: const (seed number -> keys of
-    template texts), menus (seed numbers of link slots) and agreed (seed numbers of
-    nodes that the host's pages show to be boilerplate). Nodes that are not paired
-    with the seed go by their own names."""
+    template texts), menus (seed numbers of link slots), agreed (seed numbers of
+    nodes that the host's pages show to be boilerplate) and rim (seed numbers of small
+    slots outside the marked text; a page without most of its text marked has none).
+    Nodes that are not paired with the seed go by their own names."""
     const, dropped = wrapper.get("const", {}), {*wrapper.get("menus", ()), *wrapper.get("agreed", ())}
-    out, stack = [], [(root, None)]
+    rim, found, stack = set(wrapper.get("rim", ())), [], [(root, None)]
     while stack:
         n, s = stack.pop()
         if n.seed is not None:
@@ -412,9 +418,11 @@ def kept_blocks(root: Node, wrapper: dict) -> list[str]:
         if n.hidden or (n.named if n.seed is None else n.seed in dropped):
             continue
         if n.tag == "#" and text_key(n.text) not in const.get(str(s), ()):
-            out.append(n.text)
+            found.append((n.text, s, n.inside))
         stack += [(c, s) for c in reversed(n.children)]
-    return out
+    marked = sum(len(t) for t, _, inside in found if inside)
+    rim = rim if 2 * marked > sum(len(t) for t, *_ in found) else ()
+    return [t for t, s, inside in found if inside or s not in rim]
 
 
 def _host(url: Column) -> Column:
@@ -467,29 +475,32 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
                     done.clear()
                 done.add((host, page))
                 seen: dict[tuple[int, int], list[int]] = {}
-                for n, s, w in watched(_with_seed(parse(html), seed)):
+                for n, s, w, h in watched(_with_seed(parse(html), seed)):
                     if s is not None:
-                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0, 0, w])
+                        x = seen.setdefault((s, text_key(n.text)), [0, 0, 0, 0, 0, w])
+                        x[4] += len(n.text) * h
                         x[0] += len(n.text)
                         x[1] += n.links
                         x[2] += len(n.text) * n.marked
                         x[3] += len(n.text) * n.dead
                 rows += [(host, page, s, k, 1, *x) for (s, k), x in seen.items()]
-                rows.append((host, page, -1, 0, 1, 0, 0, 0, 0, -1))  # the page itself
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
-            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked", "dead", "doubted"])
+                rows.append((host, page, -1, 0, 1, 0, 0, 0, 0, 0, -1))  # the page itself
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "node", "key", "n", "chars", "links", "marked", "dead", "headed", "doubted"])
 
-    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long, dead long, doubted long")
-    sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked", "dead")]
+    seen = pages.join(small_side(found), "host").select("host", "html", "seed").mapInArrow(observe, "host string, page long, node int, key long, n long, chars long, links long, marked long, dead long, headed long, doubted long")
+    sums = [F.sum(c).alias(c) for c in ("chars", "links", "marked", "dead", "headed")]
     # copies of a page in other tasks show the same rows
     texts = materialize(seen.distinct().groupBy("host", "node", "key").agg(F.sum("n").alias("n"), *sums, F.max("doubted").alias("doubted")), "texts")
     total = texts.where("node = -1").select("host", F.col("n").alias("pages"))
     slots = texts.where("node >= 0").groupBy("host", "node").agg(*sums)
-    marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"))
+    marking = texts.groupBy("host").agg((2 * F.sum("marked") > F.sum("chars")).alias("marks"), F.sum("chars").alias("all_chars"))
     outside = F.col("marks") & (2 * F.col("marked") < F.col("chars"))
     limit = F.when(outside, OUTSIDE_LINK_SHARE).otherwise(LINK_SHARE)
     menus = slots.join(marking, "host").where(F.col("links") > limit * F.col("chars")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("menus"))
+    small = outside & (F.col("chars") < RIM_SHARE * F.col("all_chars")) & (2 * F.col("headed") < F.col("chars"))
+    rim = slots.join(marking, "host").where(small).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("rim"))
     often = texts.where(f"node >= 0 and n >= {MIN_PAGES}").join(total, "host").where(F.col("n") > MIN_SHARE * F.col("pages"))
     const = often.groupBy("host", "node").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "keys"))).alias("const"))
     template = (F.col("n") >= MIN_PAGES) & (F.col("n") > MIN_SHARE * F.col("pages"))
@@ -497,8 +508,8 @@ def induce(pages: DataFrame, found: DataFrame) -> DataFrame:
     poor = F.when(template, F.col("chars")).otherwise(F.col("links"))
     doubted = texts.where("doubted >= 0").join(total, "host").groupBy("host", "doubted").agg(F.sum("chars").alias("chars"), F.sum(poor).alias("poor"), F.sum("dead").alias("dead"))
     agreed = doubted.where((F.col("dead") > NAMED_SHARE * F.col("chars")) | (F.col("poor") > AGREED_SHARE * F.col("chars"))).groupBy("host").agg(F.sort_array(F.collect_list("doubted")).alias("agreed"))
-    both = found.join(menus, "host", "left").join(const, "host", "left").join(agreed, "host", "left")
-    return materialize(both.select("host", "seed", F.to_json(F.struct("menus", "const", "agreed")).alias("wrapper")), "wrappers")
+    both = found.join(menus, "host", "left").join(const, "host", "left").join(agreed, "host", "left").join(rim, "host", "left")
+    return materialize(both.select("host", "seed", F.to_json(F.struct("menus", "const", "agreed", "rim")).alias("wrapper")), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

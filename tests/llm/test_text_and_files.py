@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 
 import public_tokenizers
@@ -335,6 +336,46 @@ def test_text_outside_article_stays(spark):
     assert extracted(spark, short) == {i: f"Short {i}\n{f'a much longer article {i} ' * 9}".rstrip() + f"\nBrief {i}" for i in range(3)}
 
 
+def rim_pages(n, rng):
+    """Pages whose adverts, notices and bylines have neither telling names nor links, and
+    the text that each should give."""
+    say = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(k))
+    out = []
+    for i in range(n):
+        title, body = say(4), [say(rng.randint(20, 60)) for _ in range(rng.randint(3, 6))]
+        html = f"<html><body><div class=q7>{say(6)}</div><div><h1>{title}</h1></div><article>" + "".join(f"<p>{p}</p>" for p in body) + f"</article><section><div class=z>{say(5)}</div></section></body></html>"
+        out.append((i, f"http://rim.example/{i}", html, "\n".join([title, *body])))
+    # a page of the host without <article>, and one that is all rim
+    words = [say(40), say(40)]
+    out.append((n, f"http://rim.example/{n}", f"<html><body><div class=q7>{words[0]}</div><p>{words[1]}</p></body></html>", "\n".join(words)))
+    return out
+
+
+def test_small_slots_outside_the_text_go_without_a_name(spark):
+    rows = rim_pages(30, random.Random(5))
+    frame = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_names_hardly_matter(spark, monkeypatch):
+    """The wrapper finds what the lists of names do: without them few pages change."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    full = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    never = re.compile(r"(?!x)x")
+    monkeypatch.setattr(html_extract, "BOILER", never)
+    monkeypatch.setattr(html_extract, "SUSPECT", never)
+    without = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert sum(full[k] != without[k] for k in full) < 0.05 * len(full) and all(full.values())
+
+
+def test_roles_are_names(spark):
+    """A role that says boilerplate drops an element, unless it is where the host has its text."""
+    page = lambda i: f"<html><body><div role=search>find {i}</div><article><p>body {i} {'text ' * 30}</p></article><div role=contentinfo>legal {i}</div></body></html>"
+    frame = spark.createDataFrame([(i, f"http://r.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    assert all(r["text"].startswith(f"body {r['page_id']}") and "find" not in r["text"] and "legal" not in r["text"] for r in html_extract.extract(frame).collect())
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda i: f"<nav>n</nav><h1>Title {i}</h1><p>First of {i}</p><p>Second of {i}</p>"
     text = lambda i: f"Title {i}\nFirst of {i}\nSecond of {i}"
