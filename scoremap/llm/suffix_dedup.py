@@ -9,7 +9,8 @@ samples at run ends. A context that occurs n times stands there once, as its cop
 only lengthen runs. The longest match of every place with a place elsewhere is streamed
 from the samples: it is measured only at run ends and falls by one per byte in between.
 Places that match MATCH bytes or more are marked, and every occurrence of a context
-gets the marks of the one that was indexed; contexts are told apart by 128-bit hashes.
+gets the marks of the one that was indexed; contexts are told apart by two 64-bit
+hashes, of the gram and of the context.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ PART, LARGE = 4096, 1 << 21
 #: ranges of windows.
 MANY = 2048
 RANGE = 16
+#: An odd number, so that places in equal contexts give digests far apart.
+OFF = 0x2545F4914F6CDD1D
 SEPARATOR = 0xFF  # no byte of UTF-8
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 SPAN_TYPE = "array<struct<a:int,b:int>>"
@@ -226,11 +229,11 @@ def _raw(text: str | None) -> bytes:
 
 
 def find_anchors(texts: DataFrame, match: int, k: int) -> DataFrame:
-    """``h, c, d, _rid, pos`` of ``_rid, _text``: gram, digest of the context and of the
-    anchor's place in it, row and place."""
+    """``h, c, _rid, pos`` of ``_rid, _text``: hash of the gram, digest of the context and
+    of the anchor's place in it, row and place. Contexts are told apart by both."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, digest = Hasher(), xxhash.xxh3_128_digest
+        hasher, digest = Hasher(), xxhash.xxh3_64_digest
         for batch in batches:
             rid, text = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in _blocks(text):
@@ -238,34 +241,33 @@ def find_anchors(texts: DataFrame, match: int, k: int) -> DataFrame:
                 data = b"".join(raw)
                 sizes = np.array([len(r) for r in raw], np.int64)
                 own, pos, h, start, end = anchors(np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, sizes, hasher, match, k)
-                both = b"".join([digest(data[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)])
-                c = np.frombuffer(both, np.int64).reshape(-1, 2)
+                c = np.frombuffer(b"".join([digest(data[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]), np.int64)
                 # two anchors of a short text may both have all of it as their context
                 off = pos - (start - (np.cumsum(sizes) - sizes)[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(c[:, 0], pa.int64()), pa.array(c[:, 1] + off, pa.int64()), pa.array(rid[a:b][own], pa.int64()), pa.array(pos.astype(np.int32), pa.int32())], names=["h", "c", "d", "_rid", "pos"]
+                    [pa.array(h, pa.int64()), pa.array(c + off * OFF, pa.int64()), pa.array(rid[a:b][own], pa.int64()), pa.array(pos.astype(np.int32), pa.int32())], names=["h", "c", "_rid", "pos"]
                 )
 
-    return texts.mapInArrow(find, "h long, c long, d long, _rid long, pos int")
+    return texts.mapInArrow(find, "h long, c long, _rid long, pos int")
 
 
 #: A piece of a row from ``start`` on that holds the contexts of the listed anchors.
-SNIPPET = "part long, hot boolean, _rid long, start int, piece binary, h array<long>, c array<long>, d array<long>, n array<long>, pos array<int>"
+SNIPPET = "part long, hot boolean, _rid long, start int, piece binary, h array<long>, c array<long>, n array<long>, pos array<int>"
 
 
 def _snippets(texts: DataFrame, asked: DataFrame, match: int, k: int) -> DataFrame:
-    """SNIPPET rows with the bytes of the asked contexts (h, c, d, n, part, hot, _rid,
+    """SNIPPET rows with the bytes of the asked contexts (h, c, n, part, hot, _rid,
     pos). Overlapping ones of a row and part are one piece; hot ones stand alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = match - k
         for batch in batches:
             want = batch.column(2)
-            part, hot, h, c, d, n, pos = (want.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("part", "hot", "h", "c", "d", "n", "pos"))
+            part, hot, h, c, n, pos = (want.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("part", "hot", "h", "c", "n", "pos"))
             row = np.repeat(np.arange(len(batch)), want.value_lengths().to_numpy(zero_copy_only=False))
             raw = [_raw(t) for t in batch.column(1).to_pylist()]
             order = np.lexsort((pos, part, row))
-            part, hot, h, c, d, n, pos, row = (x[order] for x in (part, hot, h, c, d, n, pos, row))
+            part, hot, h, c, n, pos, row = (x[order] for x in (part, hot, h, c, n, pos, row))
             start, end = np.maximum(pos - back, 0), pos + match
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1]) | (start[1:] > end[:-1]) | hot[1:] | hot[:-1]
@@ -273,38 +275,38 @@ def _snippets(texts: DataFrame, asked: DataFrame, match: int, k: int) -> DataFra
             last = np.append(first[1:], len(row))[: len(first)] - 1
             pieces = [raw[i][a:b] for i, a, b in zip(row[first].tolist(), start[first].tolist(), end[last].tolist(), strict=True)]
             offsets = pa.array(np.append(first, len(row)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, c, d, n, pos)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, c, n, pos)]
             cols = [pa.array(part[first]), pa.array(hot[first]), pa.array(batch.column(0).to_numpy()[row[first]], pa.int64()), pa.array(start[first].astype(np.int32)), pa.array(pieces, pa.binary()), *lists]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SNIPPET.split(", ")])
 
-    want = materialize(asked.groupBy("_rid").agg(F.collect_list(F.struct("part", "hot", "h", "c", "d", "n", "pos")).alias("want")), "want")
+    want = materialize(asked.groupBy("_rid").agg(F.collect_list(F.struct("part", "hot", "h", "c", "n", "pos")).alias("want")), "want")
     made = materialize(texts.join(small_side(want), "_rid").select("_rid", "_text", "want").mapInArrow(cut, SNIPPET), "snippets")
     discard(want)
     return made
 
 
-MARKS = "c long, d long, a int, b int"
+MARKS = "h long, c long, a int, b int"
 
 
-def _marks(c: np.ndarray, d: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _marks(h: np.ndarray, c: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """MARKS rows: the runs of each context, from the place of its anchor."""
     each = [len(a) for a, _ in spans]
     flat = lambda k: np.concatenate([x[k] for x in spans]).astype(np.int32) if spans else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(c, each), pa.int64()), pa.array(np.repeat(d, each), pa.int64()), pa.array(flat(0), pa.int32()), pa.array(flat(1), pa.int32())], names=["c", "d", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(h, each), pa.int64()), pa.array(np.repeat(c, each), pa.int64()), pa.array(flat(0), pa.int32()), pa.array(flat(1), pa.int32())], names=["h", "c", "a", "b"])
 
 
 def _alone(rows: list[tuple], match: int, back: int) -> list[list[tuple]]:
     """The same contexts with a piece for each, anchor by anchor."""
     each: dict[int, list[tuple]] = {}
-    for rid, start, piece, h, c, d, n, pos in rows:
+    for rid, start, piece, h, c, n, pos in rows:
         for i, p in enumerate(pos.tolist()):
             a = max(p - back, 0)
-            each.setdefault(int(h[i]), []).append((rid, a, piece[a - start : p + match - start], *(x[i : i + 1] for x in (h, c, d, n, pos))))
+            each.setdefault(int(h[i]), []).append((rid, a, piece[a - start : p + match - start], *(x[i : i + 1] for x in (h, c, n, pos))))
     return list(each.values())
 
 
 def _solve(rows: list[tuple], match: int, back: int) -> pa.RecordBatch:
-    """The marks of the contexts in these pieces: (rid, start, piece, h, c, d, n, pos)."""
+    """The marks of the contexts in these pieces: (rid, start, piece, h, c, n, pos)."""
     rows.sort(key=lambda r: r[:2])
     pieces: list[bytearray] = []
     at, last = [], None
@@ -315,9 +317,9 @@ def _solve(rows: list[tuple], match: int, back: int) -> pa.RecordBatch:
             last = (rid, start)
             pieces.append(bytearray(piece))
         at.append((len(pieces) - 1, last[1]))
-    each = [len(r[7]) for r in rows]
+    each = [len(r[6]) for r in rows]
     piece, base = (np.repeat(np.array([x[k] for x in at], np.int64), each) for k in (0, 1))
-    c, d, n, pos = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in (4, 5, 6, 7))
+    h, c, n, pos = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in (3, 4, 5, 6))
     size = np.array([len(p) for p in pieces], np.int64)
     start = np.maximum(pos - back, 0) - base
     end = np.minimum(pos + match - base, size[piece])
@@ -332,7 +334,7 @@ def _solve(rows: list[tuple], match: int, back: int) -> pa.RecordBatch:
     own = np.concatenate([whole, np.repeat(some, times)]).astype(np.int64)
     a = np.concatenate([(start + base - pos)[whole], *(x for x, _ in spans)]).astype(np.int32)
     b = np.concatenate([(end + base - pos)[whole], *(x for _, x in spans)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(d[own]), pa.array(a), pa.array(b)], names=["c", "d", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(c[own]), pa.array(a), pa.array(b)], names=["h", "c", "a", "b"])
 
 
 def _by_index(snippets: DataFrame, match: int, k: int) -> DataFrame:
@@ -360,7 +362,7 @@ def _by_index(snippets: DataFrame, match: int, k: int) -> DataFrame:
             parts, rids, starts = (batch.column(f).to_pylist() for f in ("part", "_rid", "start"))
             pieces = batch.column("piece").to_pylist()
             ends = np.cumsum(batch.column("c").value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            flat = [batch.column(f).flatten().to_numpy() for f in ("h", "c", "d", "n", "pos")]
+            flat = [batch.column(f).flatten().to_numpy() for f in ("h", "c", "n", "pos")]
             for i, (p, e) in enumerate(zip(parts, ends, strict=True)):
                 if p != part:
                     yield from close(rows, held, held_size)
@@ -386,7 +388,7 @@ def _spans(starts: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_keys(snippets: DataFrame, match: int, width: int) -> DataFrame:
-    """``c, d, n, off, w, v``: two keys of ``off`` and of the bytes that the windows
+    """``h, c, n, off, w, v``: two keys of ``off`` and of the bytes that the windows
     which begin ``off`` to ``off + width - 1`` bytes before the anchor have in common.
     With an array column ``offs``, only windows within RANGE of one of these."""
     near = "offs" in snippets.columns
@@ -394,7 +396,7 @@ def _window_keys(snippets: DataFrame, match: int, width: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = Hasher(), Hasher(OTHER_BASE)
         for batch in batches:
-            c, d, n, pos, start = (batch.column(x).to_numpy().astype(np.int64) for x in ("c", "d", "n", "pos", "start"))
+            h, c, n, pos, start = (batch.column(x).to_numpy().astype(np.int64) for x in ("h", "c", "n", "pos", "start"))
             pieces = batch.column("piece").to_pylist()
             size = np.array([len(p) for p in pieces], np.int64)
             base = np.cumsum(size) - size
@@ -409,17 +411,17 @@ def _window_keys(snippets: DataFrame, match: int, width: int) -> DataFrame:
                 i = np.flatnonzero(ok)
                 a = base[i] + high[i] - off
                 w, v = (mix(x.between(p, a, a + match - width + 1) ^ np.uint64(off)).view(np.int64) for x, p in zip(hashers, prefixes, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(d[i]), pa.array(n[i]), pa.array(np.full(len(i), off, np.int32)), pa.array(w), pa.array(v)], names=["c", "d", "n", "off", "w", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(c[i]), pa.array(n[i]), pa.array(np.full(len(i), off, np.int32)), pa.array(w), pa.array(v)], names=["h", "c", "n", "off", "w", "v"])
 
-    cols = ["c", "d", "n", "pos", "start", "piece"] + ["offs"] * near
-    return snippets.select(cols).mapInArrow(keys, "c long, d long, n long, off int, w long, v long")
+    cols = ["h", "c", "n", "pos", "start", "piece"] + ["offs"] * near
+    return snippets.select(cols).mapInArrow(keys, "h long, c long, n long, off int, w long, v long")
 
 
 def _twice(keys: DataFrame) -> DataFrame:
     """Per context the offsets whose key occurs at least twice."""
     again = materialize(keys.groupBy("w", "v").agg(F.sum("n").alias("n")).where("n > 1").select("w", "v"), "twice")
     release(keys.sparkSession)
-    return keys.drop("n").join(small_side(again), ["w", "v"], "left_semi").groupBy("c", "d").agg(F.collect_list("off").alias("offs"))
+    return keys.drop("n").join(small_side(again), ["w", "v"], "left_semi").groupBy("h", "c").agg(F.collect_list("off").alias("offs"))
 
 
 def _by_window(snippets: DataFrame, match: int) -> DataFrame:
@@ -428,7 +430,7 @@ def _by_window(snippets: DataFrame, match: int) -> DataFrame:
     the ranges that repeat."""
     some = materialize(_twice(_window_keys(snippets, match, RANGE)), "ranges")
     release(snippets.sparkSession)
-    fine = _twice(_window_keys(snippets.join(some, ["c", "d"]), match, 1))
+    fine = _twice(_window_keys(snippets.join(some, ["h", "c"]), match, 1))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -467,8 +469,8 @@ def repeated_runs(texts: DataFrame, match: int = MATCH, k: int = K, many: int =
     again = materialize(found.join(small_side(grams, 1 << 20), "h"), "again")
     discard(found, grams, collect=True)
     first = F.min(F.struct("_rid", "pos")).alias("f")
-    contexts = again.groupBy("c", "d").agg(F.count("*").alias("n"), first, F.first("h").alias("h"), F.first("part").alias("part"))
-    contexts = materialize(contexts.select("h", "c", "d", "n", "part", "f._rid", "f.pos"), "contexts")
+    contexts = again.groupBy("h", "c").agg(F.count("*").alias("n"), first, F.first("part").alias("part"))
+    contexts = materialize(contexts.select("h", "c", "n", "part", "f._rid", "f.pos"), "contexts")
     release(texts.sparkSession)
     hot = materialize(contexts.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > many).select("h", F.lit(True).alias("hot")), "hot")
     asked = contexts.join(small_side(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
@@ -476,11 +478,11 @@ def repeated_runs(texts: DataFrame, match: int = MATCH, k: int = K, many: int =
     discard(contexts, collect=True)
     marks = _by_index(snippets.where("not hot"), match, k)
     if hot._row_bytes:
-        one = [F.get(f, 0).alias(f) for f in ("c", "d", "n", "pos")]
+        one = [F.get(f, 0).alias(f) for f in ("h", "c", "n", "pos")]
         marks = marks.unionByName(_by_window(snippets.where("hot").select(*one, "start", "piece"), match))
     marks = materialize(marks, "marks")
     discard(snippets, collect=True)
-    placed = again.select("c", "d", "_rid", "pos").join(small_side(marks), ["c", "d"]).select("_rid", F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b")).alias("s"))
+    placed = again.select("h", "c", "_rid", "pos").join(small_side(marks), ["h", "c"]).select("_rid", F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b")).alias("s"))
     return placed.groupBy("_rid").agg(F.collect_list("s").alias("some")).mapInArrow(_joined, f"_rid long, runs {SPAN_TYPE}")
 
 
