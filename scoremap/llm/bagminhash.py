@@ -261,14 +261,18 @@ def _rest(texts: DataFrame, buckets: DataFrame, checked: DataFrame, labels: Data
     n, slack = F.col("n"), 1e-9
     probe = n - F.ceil(n * threshold - slack).cast("int") + 1
     index = n - F.ceil(n * (2 * threshold / (1 + threshold)) - slack).cast("int") + 1
-    first = rarest.select("_rid", "c", "n", index.alias("index"), F.posexplode(F.slice("t", F.lit(1), probe)).alias("pos", "x")).select("_rid", "c", "n", "pos", (F.col("pos") < F.col("index")).alias("indexed"), F.col("x.token").alias("token"))
-    first = materialize(first, "rarest")
+    own = F.transform(F.slice("t", F.lit(1), probe), lambda s: s["token"])
+    rarest = materialize(rarest.select("_rid", "c", "n", index.alias("index"), own.alias("t")), "rarest")
+    # with the shingles before it, so that a pair meets at the first that it shares only
+    first = rarest.select("_rid", "c", "n", "index", "t", F.posexplode("t").alias("pos", "token"))
+    first = first.select("_rid", "c", "n", "pos", (F.col("pos") < F.col("index")).alias("indexed"), "token", F.slice("t", F.lit(1), F.col("pos")).alias("before"))
     x, y = first.where("indexed").alias("x"), first.alias("y")
     size = lambda side: F.struct(f"{side}.n", f"{side}._rid")
     # the first shingle that two bags share leaves room for the overlap they need
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     enough = room >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - slack
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.c") != F.col("y.c")) & (size("x") < size("y")) & (F.col("x.n") >= F.col("y.n") * (threshold - slack)) & enough)
+    new = ~F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.c") != F.col("y.c")) & (size("x") < size("y")) & (F.col("x.n") >= F.col("y.n") * (threshold - slack)) & enough & new)
     pairs = met.select(F.least("x._rid", "y._rid").alias("a"), F.greatest("x._rid", "y._rid").alias("b")).distinct()
     seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialize(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
