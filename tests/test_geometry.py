@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoremap.functions import geometry as G
 from scoremap.operators import layers as L
-from scoremap.operators.pick import pick, pick_top
+from scoremap.operators.pick import _over_shapes, _small, pick, pick_top
 from scoremap.operators.simplify import EdgeGrid, _crosses, simplify, simplify_ring
 from scoremap.sources import literals
 
@@ -129,6 +129,23 @@ def test_pick_top(spark):
     assert sorted(map(tuple, pick_top(p, f, 8.0).collect())) == [(1, 1, "walks 1"), (2, 1, "walks 2"), (3, 2, "sites 3")]
 
 
+def _copies(spark):
+    """40 points at each of three places, two of them in the 50 copies of two disks."""
+    p = spark.range(120).selectExpr("id AS point_id", "(id % 3) * 10.0D AS x", "0.0D AS y")
+    k = F.col("feature_id")
+    f = spark.range(100).withColumnRenamed("id", "feature_id")
+    f = f.select("feature_id", (k % 3).alias("draw_order"), (k < 90).alias("pickable"), G.buffer_point(k % 2 * 10.0, F.lit(0.0), F.lit(3.0), 4).alias("geometry"))
+    return p, f
+
+
+def test_pick_tests_copies_once(spark):
+    p, f = _copies(spark)
+    small = _small(f.select(F.col("feature_id").alias("_f"), F.col("geometry")["polys"].alias("_polys")), 256)
+    assert sorted(r["x"] for r in _over_shapes(p, small, 4.0).collect()) == [0.0, 10.0]
+    got = sorted(map(tuple, pick(p, f, 4.0).collect()))
+    assert got == [(i, k) for i in range(120) if i % 3 < 2 for k in range(100) if k % 2 == i % 3]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 4), st.sampled_from([0, 1, 8]))
 def test_the_grid_finds_all_crossings(seed, n_rings, digits):
