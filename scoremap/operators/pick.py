@@ -119,10 +119,17 @@ def pick(points: DataFrame, features: DataFrame, cell: float, point_id: str = "p
     return (found if large is None else found.unionByName(large)).withColumnRenamed("_f", feature_id)
 
 
-def pick_top(points: DataFrame, features: DataFrame, cell: float, order: str = "draw_order", pickable: str = "pickable", point_id: str = "point_id", feature_id: str = "feature_id", geometry: str = "geometry") -> DataFrame:
+def pick_top(points: DataFrame, features: DataFrame, cell: float, order: str = "draw_order", pickable: str = "pickable", point_id: str = "point_id", feature_id: str = "feature_id", geometry: str = "geometry", whole: int = WHOLE) -> DataFrame:
     """``<point_id>, <order>, <feature_id>``: of the features under a point in layers that
     may be picked, the one drawn last (in the highest layer, there the largest id).
-    Points over none of these are left out; a point id gives one row."""
+    Points over none of these are left out; a point id gives one row. Of features of equal
+    shape only the one drawn last takes part, and each place is looked up once."""
     ranked = features.where(F.col(pickable)).withColumn("_drawn", F.struct(order, feature_id))
-    found = pick(points, ranked, cell, point_id, "_drawn", geometry)
-    return found.groupBy(point_id).agg(F.max("_drawn").alias("_top")).select(point_id, "_top.*")
+    asked, every = _inputs(points, ranked, point_id, "_drawn", geometry)
+    small = _small(every, whole)
+    last = small.groupBy("_shape").agg(F.max("_f").alias("_f"))
+    at = _over_shapes(asked, small, cell).join(last, "_shape").groupBy("x", "y").agg(F.max("_f").alias("_f"))
+    found = asked.join(at, ["x", "y"]).select(point_id, "_f")
+    large = _over_large(asked, every, cell, point_id, whole)
+    found = found if large is None else found.unionByName(large)
+    return found.groupBy(point_id).agg(F.max("_f").alias("_top")).select(point_id, "_top.*")

@@ -146,6 +146,14 @@ def test_pick_tests_copies_once(spark):
     assert got == [(i, k) for i in range(120) if i % 3 < 2 for k in range(100) if k % 2 == i % 3]
 
 
+def test_pick_top_of_copies(spark):
+    """Also where copies are tested edge by edge; the last drawn of equal shapes counts."""
+    p, f = _copies(spark)
+    expected = [(i, 2, (86, 89)[i % 3]) for i in range(120) if i % 3 < 2]
+    assert sorted(map(tuple, pick_top(p, f, 4.0).collect())) == expected
+    assert sorted(map(tuple, pick_top(p, f, 4.0, whole=0).collect())) == expected
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 4), st.sampled_from([0, 1, 8]))
 def test_the_grid_finds_all_crossings(seed, n_rings, digits):
