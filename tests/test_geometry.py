@@ -2,6 +2,7 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from scoremap.functions import geometry as G
 from scoremap.operators import layers as L
 from scoremap.operators.pick import _over_shapes, _small, pick, pick_top
-from scoremap.operators.simplify import EdgeGrid, _crosses, simplify, simplify_ring
+from scoremap.operators.simplify import EdgeGrid, _crosses, simplify, simplify_polys, simplify_ring
 from scoremap.sources import literals
 
 
@@ -184,3 +185,31 @@ def test_simplify_a_large_ring():
     assert time.time() - began < 60 and 4 <= len(out) < n / 20
     edges = EdgeGrid([out])
     assert not any(edges.crossed(out[k], out[k + 1], (k, k + 1)) for k in range(len(out) - 1))
+
+
+def test_small_geometries_are_simplified_together():
+    """The same rings as one by one, whatever the geometries beside them; and quickly."""
+    rng = np.random.default_rng(5)
+
+    def ring():
+        n = int(rng.integers(0, 12 if rng.random() < 0.9 else 90))
+        v = rng.integers(0, 30, (n, 2)).astype(float) if rng.random() < 0.7 else rng.normal(size=(n, 2)) * 20
+        v = v * 0 + 3 if rng.random() < 0.1 else v
+        return [{"x": x, "y": y} for x, y in [*v.tolist(), *v[:1].tolist()]]
+
+    rows = [None if rng.random() < 0.05 else [[ring() for _ in range(rng.integers(0, 4))] for _ in range(rng.integers(0, 3))] for _ in range(400)]
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    for tolerance in (0.0, 2.0, 10.0, 1e9):
+        got = simplify_polys(pa.array([[], *rows], kind).slice(1), tolerance).to_pylist()
+        for before, after in zip(rows, got, strict=True):
+            if before is None:
+                assert after is None
+                continue
+            rings = [np.array([(v["x"], v["y"]) for v in r]).reshape(-1, 2) for part in before for r in part]
+            grid = EdgeGrid(rings)
+            alone = [simplify_ring(r, tolerance, grid, int(grid.base[k])).tolist() for k, r in enumerate(rings)]
+            assert alone == [[[v["x"], v["y"]] for v in r] for part in after for r in part]
+    many = pa.array([[[[{"x": float(x), "y": float(y)} for x, y in rng.integers(0, 30, (7, 2))]]]] * 20_000, kind)
+    began = time.time()
+    simplify_polys(many, 10.0)
+    assert time.time() - began < 3
