@@ -75,6 +75,7 @@ def dome_geographic(sites: DataFrame, radius: float = 0.004, height: float = 250
 def vertices(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """One row per vertex: the other columns with ``poly, loop, k, x, y``."""
     rest = [c for c in df.columns if c != geometry]
-    polys = df.select(*rest, F.posexplode(F.col(geometry)["polys"]).alias("poly", "_p"))
+    # of an inner explode Spark infers a filter, which would compute the geometry again
+    polys = df.select(*rest, F.posexplode_outer(F.col(geometry)["polys"]).alias("poly", "_p")).where("poly is not null")
     loops = polys.select(*rest, "poly", F.posexplode("_p").alias("loop", "_r"))
     return loops.select(*rest, "poly", "loop", F.posexplode("_r").alias("k", "_v")).select(*rest, "poly", "loop", "k", "_v.x", "_v.y")

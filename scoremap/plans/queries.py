@@ -138,8 +138,9 @@ def circle_vertices(spark, sf_dir):
 
 def dome_planar(spark, sf_dir):
     sites = sites_of(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")
-    rings = L.described(L.dome_planar(sites)).select("ordinal", "description", "ring", "radius", "height", "geometry")
-    return L.vertices(rings).select("ordinal", "description", "ring", F.round("radius", 6).alias("radius"), F.round("height", 6).alias("height"), "k", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
+    # what a ring has once is rounded before it becomes vertices
+    rings = L.described(L.dome_planar(sites)).select("ordinal", "description", "ring", F.round("radius", 6).alias("radius"), F.round("height", 6).alias("height"), "geometry")
+    return L.vertices(rings).select("ordinal", "description", "ring", "radius", "height", "k", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
 
 def dome_rings(spark, sf_dir):

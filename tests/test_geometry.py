@@ -213,3 +213,14 @@ def test_small_geometries_are_simplified_together():
     began = time.time()
     simplify_polys(many, 10.0)
     assert time.time() - began < 3
+
+
+def test_vertices_compute_a_geometry_once(spark):
+    """No filter repeats the geometry; empty and null ones have no vertices."""
+    sites = spark.createDataFrame([(1, "a", 40.7, -74.0)], "ordinal int, name string, lat double, lon double")
+    out = L.vertices(L.dome_planar(sites, keep_empty=True))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("transform" in line for line in plan.splitlines() if "Filter" in line)
+    assert out.count() == 7 * 65
+    g = spark.createDataFrame([(1, None), (2, ("Polygon", 2263, []))], f"i int, geometry {G.GEOM}")
+    assert L.vertices(g).count() == 0
