@@ -476,11 +476,14 @@ def selection_changes(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, answer):
-    """What a stream over the events, run until it has read all, has written to its sink."""
+    """What a stream over the events, run until it has read all, has written to its sink.
+
+    The table's files stand in no order of time, so all of them are one micro-batch:
+    clicks of a later one would come late and be dropped, or be applied too late."""
     place = _place(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # the path may be a file or a folder: a stream reads folders
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxBytesPerTrigger", 128 << 20).parquet(f"{sf_dir}/events*.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     clicks = events.select("event_id", "ts", "user_id", F.when(F.col("value") >= 5, F.col("event_type")).alias("item"))
     with rocksdb(spark):
         query = answer(clicks).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()

@@ -75,3 +75,20 @@ def test_clicks_behind_the_watermark_are_dropped(spark, tmp_path, behind):
     written(spark, tmp_path, files)
     got = [r[0] for r in streamed(spark, tmp_path, lambda s: selection_by_event_time(s, "300 seconds"))]
     assert got == ([1, 2, 3, 4] if behind < 300 else [1, 2, 4])
+
+
+@pytest.mark.parametrize("answer", [lambda s: selection_by_event_time(s, "120 seconds", buckets=4), lambda s: selection_stream(s, buckets=4)])
+def test_users_share_entries_of_state(spark, tmp_path, answer):
+    """3000 users and clicks without one, over two micro-batches: state grows with
+    buckets (their clicks, items and timers), and answers are those of the batch form."""
+    rng = random.Random(5)
+    rows = [(i, START + datetime.timedelta(seconds=i // 20), rng.choice([None, *range(3000)]), rng.choice(["a", "b", None, "a"])) for i in range(9000)]
+    written(spark, tmp_path, [rows[:4500], rows[4500:]])
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    with rocksdb(spark):
+        query = answer(source).writeStream.format("memory").queryName(f"shared_{id(answer)}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    kept = sorted(map(tuple, spark.table(f"shared_{id(answer)}").collect()))
+    assert state and max(state) < 100
+    assert len(kept) >= 6000 and set(kept) <= set(map(tuple, batch(spark, rows).collect()))
