@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoremap.llm.common import free_name, shared_dir
+from scoremap.llm.common import free_name, release, shared_dir
 
 #: Buckets of the literal pair map, so that a look-up compares a few keys.
 BUCKETS = 1 << 15
@@ -197,6 +197,23 @@ class _Made(dict):
         return got
 
 
+def words_of(parts: set[str], find) -> set[str]:
+    """The words of ``spaced`` parts, each with its space: parts of plain letters are one;
+    others are searched behind each other, as they split like each alone."""
+    some = [x for x in parts if not (x.isascii() and x.isalpha())]
+    out = {" " + x for x in parts.difference(some)}
+    for k in range(0, len(some), 1 << 14):
+        out.update(find(" " + " ".join(some[k : k + (1 << 14)])))
+    return out
+
+
+def part_ids(part: str, ids: dict[str, bytes], find) -> bytes:
+    """The ids of a ``spaced`` part with its space, by those of words: one that is a known
+    word is that word alone."""
+    whole = ids.get(" " + part)
+    return b"".join(map(ids.__getitem__, find(" " + part))) if whole is None else whole
+
+
 #: Bits of a block's number that count the blocks of a partition.
 PARTITION_SHIFT = 24
 
@@ -239,10 +256,7 @@ class Tokenizer:
                     yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
 
             def found(firsts: set[str], parts: set[str]) -> set[str]:
-                # parts behind each other, each with its space, split like each alone
-                out, some = set(), list(parts)
-                for k in range(0, len(some), 1 << 14):
-                    out.update(find(" " + " ".join(some[k : k + (1 << 14)])))
+                out = words_of(parts, find)
                 for x in firsts:
                     out.update(find(x))
                 return out
@@ -281,7 +295,9 @@ class Tokenizer:
         span = F.shiftright("block", PARTITION_SHIFT + SPAN.bit_length() - 1)
         held = self._words(slim.select(text)).groupBy("word", span.alias("span")).agg(F.collect_list("block").alias("blocks"))
         coded = self.encode_words(held).select(F.explode("blocks").alias("block"), "word", "ids")
+        release(rows.sparkSession)  # what earlier steps left in the driver, the rank map comes on top of it
         coded.repartition(parts, "block").write.partitionBy("block").parquet(folder)
+        release(rows.sparkSession)
         pattern, ranks, parts_of = self.pattern, self.ranks, self.parts
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,21 +320,8 @@ class Tokenizer:
                 return np.array(merge_by_heap(word.encode("utf-8", "replace"), ranks), np.int32).tobytes()
 
             ids = _Made(alone)
-            seen: dict[str, bytes] = {}
-
-            def learn(parts: set[str]) -> None:
-                """Note the ids of new parts: all in one search; a word that begins with
-                a space begins a part, as parts of single words hold no other space."""
-                plain = [x for x in parts if " " not in x]
-                for k in range(0, len(plain), 1 << 14):
-                    some = plain[k : k + (1 << 14)]
-                    words = find(" " + " ".join(some))
-                    made = list(map(ids.__getitem__, words))
-                    begin = [i for i, w in enumerate(words) if w[0] == " "]
-                    seen.update(zip(some, (made[a] if b - a == 1 else b"".join(made[a:b]) for a, b in zip(begin, [*begin[1:], len(words)], strict=True)), strict=True))
-                for x in parts:
-                    if " " in x:
-                        seen[x] = b"".join(map(ids.__getitem__, find(" " + x)))
+
+            seen = _Made(lambda x: part_ids(x, ids, find))
 
             for batch, texts, blocks in _texts(batches):
                 at = 0
@@ -333,7 +336,6 @@ class Tokenizer:
                         cut.append(parts_of(texts[at]))
                         size += len(texts[at])
                         at += 1
-                    learn(set().union(*(rest for _, rest in cut)).difference(seen))
                     out = [b"".join(map(ids.__getitem__, find(x))) + b"".join(map(seen.__getitem__, rest)) for x, rest in cut]
                     some = batch.slice(first, at - first)
                     offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)

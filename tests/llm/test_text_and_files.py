@@ -286,6 +286,23 @@ def test_bpe_of_other_patterns(spark, tokenizer, pattern):
     assert got == {i: plain.encode_ordinary(t or "") for i, t in rows}
 
 
+def test_bpe_searches_no_plain_or_known_part():
+    """Parts that are words cost no search by the pattern; the others split as before."""
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    parts, asked = {"the", "ma\u00f1ana", "end.", "x1", "'s", "it's", "\u4f60\u597d", "a\nb", "..."}, []
+
+    def noted(text):
+        asked.append(text)
+        return find(text)
+
+    assert bpe.words_of(parts, noted) == {w for x in parts for w in find(" " + x)}
+    assert len(asked) == 1 and "the" not in asked[0].split(" ")
+    asked.clear()
+    ids = {w: w.encode() for x in parts for w in find(" " + x)}
+    assert all(bpe.part_ids(x, ids, noted) == (" " + x).encode() for x in parts)
+    assert {x[1:] for x in asked} == {"end.", "x1", "'s", "it's", "a\nb"}
+
+
 def test_bpe_clashing_names_and_repeats(spark, tokenizer):
     frame = spark.createDataFrame([(1, "same text here", 7, "k")] * 3 + [(2, None, None, None)], "doc_id long, text string, ids int, _text string")
     got = tokenizer.encode(frame, ["doc_id", "ids", "_text"]).collect()
