@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoremap.llm.common import discard, materialize, row_id, small_side, without_rows
+from scoremap.llm.common import discard, materialize, release, row_id, small_side, without_rows
 from scoremap.llm.components import contracted, joined, merged, order_of
 from scoremap.llm.shingles import Hasher, bags, mix, overlap
 
@@ -190,10 +190,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centres = materialize(members.groupBy("key").agg(first, F.count("*").alias("k")).where("k > 1").select("key", F.col("r.o.v").alias("centre"), F.col("r.n").alias("cn")), "centres")
     # both sides are plain reads, so that Spark can split the members of a large bucket
     buckets = materialize(members.join(small_side(centres), "key"), "buckets")
-    discard(centres)
+    discard(centres, collect=True)  # here and below: each step's files go before the next
     ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
     star = buckets.where(F.col("_rid") != F.col("centre")).select(F.col("centre").alias("a"), F.col("_rid").alias("b"), ratio(F.col("cn"), F.col("n")).alias("bound")).distinct()
-    checked = materialize(verify(texts, materialize(star.where(F.col("bound") >= threshold).select("a", "b"), "star")), "checked")
+    stars = materialize(star.where(F.col("bound") >= threshold).select("a", "b"), "star")
+    release(docs.sparkSession)
+    checked = materialize(verify(texts, stars), "checked")
+    discard(stars, collect=True)
     linked = lambda pairs: pairs.where(F.col("j") >= threshold).select("a", "b")
     labels = joined(linked(checked))
     for turn in range(TURNS):
@@ -203,14 +206,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         got = materialize(verify(texts, pairs), "got")
         # only what links different components goes on
         labels = _extended(labels, linked(got))
-        checked = materialize(checked.unionByName(got), "checked")
+        before, checked = checked, materialize(checked.unionByName(got), "checked")
+        discard(pairs, before, got, collect=True)
     rest = _rest(texts, buckets, checked, labels, threshold, ratio)
+    discard(buckets, checked, collect=True)
     if rest._row_bytes:
         more = materialize(verify(texts, rest), "more")
         labels = _extended(labels, linked(more))
+        discard(more)
+    discard(rest, collect=True)
     of_rep = copies.join(labels, F.col("rep") == F.col("v"), "left").select("bag", F.coalesce("c", "rep").alias("c"))
     of_row = made.select("_rid", "bag").join(of_rep, "bag").select("_rid", "c")
     every = materialize(of_row.join(base.select("_rid", "_id"), "_rid"), "classes")
+    discard(made, copies, labels, collect=True)
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
     groups = every.groupBy("c").agg(F.count("*").alias("class_size"), first.alias("f"))
     return every.join(groups, "c").select("_rid", F.col("_id").alias(id_col), F.col("f.id").alias("class_id"), "class_size", (F.col("f.rid") == F.col("_rid")).alias("kept"))
@@ -250,11 +258,13 @@ def _rest(texts: DataFrame, buckets: DataFrame, checked: DataFrame, labels: Data
         )
     )
     placed = materialize(placed, "placed")
+    release(texts.sparkSession)
     # strays near enough to another stray or to a row of the centre's own component
     strays = placed.where("c <> cc").groupBy("key").agg(F.min("lo").alias("least"), F.count("*").alias("strays"))
     left = placed.join(strays, "key").where((F.col("_rid") != F.col("centre")) & ((F.col("c") != F.col("cc")) | (F.col("hi") >= F.col("least") - far)))
     groups = left.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     alone = materialize(left.join(groups, "key", "left_semi").select("_rid", "c").distinct(), "left")
+    discard(placed, collect=True)
     tokens = materialize(texts.join(small_side(alone), "_rid").select("_rid", "c", "_text").mapInArrow(_tokens, "_rid long, c long, n int, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     rarest = tokens.join(often, "token").groupBy("_rid", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
@@ -263,6 +273,7 @@ def _rest(texts: DataFrame, buckets: DataFrame, checked: DataFrame, labels: Data
     index = n - F.ceil(n * (2 * threshold / (1 + threshold)) - slack).cast("int") + 1
     own = F.transform(F.slice("t", F.lit(1), probe), lambda s: s["token"])
     rarest = materialize(rarest.select("_rid", "c", "n", index.alias("index"), own.alias("t")), "rarest")
+    discard(alone, tokens, collect=True)
     # with the shingles before it, so that a pair meets at the first that it shares only
     first = rarest.select("_rid", "c", "n", "index", "t", F.posexplode("t").alias("pos", "token"))
     first = first.select("_rid", "c", "n", "pos", (F.col("pos") < F.col("index")).alias("indexed"), "token", F.slice("t", F.lit(1), F.col("pos")).alias("before"))
@@ -275,7 +286,9 @@ def _rest(texts: DataFrame, buckets: DataFrame, checked: DataFrame, labels: Data
     met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.c") != F.col("y.c")) & (size("x") < size("y")) & (F.col("x.n") >= F.col("y.n") * (threshold - slack)) & enough & new)
     pairs = met.select(F.least("x._rid", "y._rid").alias("a"), F.greatest("x._rid", "y._rid").alias("b")).distinct()
     seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialize(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "rest")
+    discard(rarest, collect=True)
+    return rest
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

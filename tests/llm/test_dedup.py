@@ -289,3 +289,18 @@ def test_run_index_equals_brute_force():
         m = rng.randint(1, 8)
         seen = collections.Counter(p[i : i + m] for p in pieces for i in range(len(p) - m + 1))
         assert [x.tolist() for x in suffix_dedup.match_starts(pieces, m)] == [[i for i in range(len(p) - m + 1) if seen[p[i : i + m]] > 1] for p in pieces]
+
+
+def test_near_dedup_leaves_no_inner_steps(spark):
+    """Only classes stay in the shared folder; pairs, buckets and shingles go on the way."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "scoremap"
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") * 3 + str(k) for k in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 7], *(f"w{i % 5}x{k}" for k in range(i % 12))])) for i in range(60)]
+    there = set(shared.glob("*/*")) if shared.exists() else set()
+    got = bagminhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 60
+    left = {p.name for p in set(shared.glob("*/*")) - there}
+    assert "classes" in left and not left & {"sketches", "copies", "buckets", "star", "checked", "got", "placed", "left", "tokens", "rarest", "rest", "more"}
